@@ -11,13 +11,13 @@ import sys
 
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, functions as F, types as T
 
 # Executors need not have this package installed: its functions travel by value.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 TASK = "struct<op:string,text:string,patterns:array<string>,flags:string>"
-OUTCOME = "struct<n:bigint,error:string>"
+OUTCOME = T.StructType([T.StructField("n", T.LongType()), T.StructField("error", T.StringType())])
 
 
 def _decide(task):
@@ -47,7 +47,7 @@ def _outcome(task):
         return {"n": None, "error": f"{type(problem).__name__}: {problem}"}
 
 
-@F.pandas_udf(f"array<{OUTCOME}>")
+@F.pandas_udf(T.ArrayType(OUTCOME))
 def decide_tasks(tasks: pd.Series) -> pd.Series:
     return tasks.map(lambda row: None if row is None else [_outcome(t) for t in row])
 

@@ -225,6 +225,23 @@ def scores_long(scored: DataFrame, keys=("run_file", "sample_pos")) -> DataFrame
     return scored.select(*keys, F.inline("scores"))
 
 
+def parsed_instructions(samples: DataFrame, options=None) -> DataFrame:
+    """One row per scored instruction with its parsed arguments."""
+    return with_instructions(samples, options).select(*ROW_KEYS, F.inline("_instructions"))
+
+
+def accepted_args(samples: DataFrame, registry: DataFrame, options=None) -> DataFrame:
+    """Per instruction: whether the registry knows it, and which of the given
+    argument names it takes. The registry is a small fixed table."""
+    rows = parsed_instructions(samples, options)
+    given = F.coalesce(F.json_object_keys("raw"), F.array().cast("array<string>"))
+    return rows.join(F.broadcast(registry), "inst_id", "left").select(
+        *ROW_KEYS, "inst_pos", "inst_id",
+        F.coalesce("enabled", F.lit(False)).alias("known"),
+        F.array_intersect(given, F.coalesce("arg_keys", F.array().cast("array<string>"))).alias("accepted"),
+    )
+
+
 def describe_instructions(samples: DataFrame, options=None) -> DataFrame:
     """The wording of every known instruction, one row each."""
     options = options or _DEFAULT

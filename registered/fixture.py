@@ -92,7 +92,8 @@ def args_sql(inst_id, dialect):
                "CASE WHEN doc_id % 2 = 0 THEN substr(replace(escaped, chr(92), ''), 1, 12) ELSE 'Tell me' END", True)),
             "'{}'"),
         "detectable_content:number_placeholders": lambda: optional(
-            j(("num_placeholders", "doc_id % 4", False)), j(("num_placeholders", "-1", False))),
+            j(("num_placeholders", "doc_id % 4", False), ("extra", "1", False)),
+            j(("num_placeholders", "-1", False))),
         "detectable_content:postscript": lambda: optional(
             j(("postscript_marker",
                "CASE doc_id % 3 WHEN 0 THEN 'P.S.' WHEN 1 THEN 'P.P.S' ELSE 'thanks' END", True)), "'{}'"),
@@ -204,3 +205,33 @@ def check_samples_sql(inst_id, dialect):
     {array(literal)} AS instruction_id_list,
     {array(f"CASE WHEN doc_id % 17 = 0 THEN 'not json' ELSE {args_sql(inst_id, dialect)} END")} AS kwargs
   FROM ({responses_sql(dialect)}) r"""
+
+
+def runs_sql(dialect):
+    """One scored run per source, its measures taken from the documents."""
+    string = "STRING" if dialect == "spark" else "VARCHAR"
+    share = lambda test: f"CAST(sum(CASE WHEN {test} THEN 1 ELSE 0 END) AS DOUBLE) / count(*)"
+    return f"""SELECT source, source || '.json' AS file, n, 'org/model-' || source AS model_name,
+    CASE WHEN n % 4 = 0 THEN './lora_' || source || '/' WHEN n % 4 = 1 THEN '' END AS lora_path,
+    CASE n % 3 WHEN 0 THEN 'bf16' WHEN 1 THEN '4bit' END AS precision,
+    CASE n % 5 WHEN 0 THEN 'Pretrained_' || source WHEN 1 THEN 'sft_' || source WHEN 2 THEN NULL ELSE 'org_' || source END AS run_name,
+    CASE WHEN n % 7 <> 3 THEN '2026012' || CAST(n % 5 AS {string}) || '_0247' || CAST(10 + n % 2 AS {string}) END AS ts,
+    num_samples, CASE n % 3 WHEN 0 THEN 20.5e0 WHEN 1 THEN 0e0 END AS gpu,
+    chars / 1e3 AS generation_seconds, num_samples / 1e3 AS scoring_seconds,
+    inst_strict, inst_loose, prompt_strict, prompt_loose
+  FROM (SELECT source, CAST(substr(source, 4) AS INT) AS n, count(*) AS num_samples, sum(n_chars) AS chars,
+      {share("lang = 'en'")} AS inst_strict, {share("lang <> 'de'")} AS inst_loose,
+      {share("n_chars > 2000")} AS prompt_strict, {share("n_chars > 1000")} AS prompt_loose
+    FROM documents GROUP BY source) g"""
+
+
+def turns_sql():
+    """Conversations in which some user turns reset the history."""
+    return """SELECT conv_id, turn, role,
+    CASE WHEN role = 'user' AND (conv_id + turn) % 5 = 2 THEN ' Clear ' ELSE text END AS text FROM conversations"""
+
+
+def instructions_sql():
+    return """SELECT doc_id, 'Summarize in ' || lang AS instruction,
+    CASE doc_id % 4 WHEN 0 THEN '   ' WHEN 1 THEN NULL WHEN 2 THEN '' ELSE text END AS input, text AS output
+  FROM documents"""
