@@ -6,12 +6,14 @@ partitioning or a lost executor gives the same value.
 
 from pyspark.sql import Column, functions as F
 
+from adherence.functions.text import constants
+
 
 def draw(row_id, field, n) -> Column:
     """An integer in 0..n-1 from the digest of (row, field)."""
     digest = F.md5(F.concat(row_id, F.lit(f"|{field}")))
     number = F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint")
-    return F.pmod(number, n if isinstance(n, Column) else F.lit(n)).cast("bigint")
+    return F.pmod(number, n if isinstance(n, Column) else F.lit(n))
 
 
 def draw_between(row_id, field, low, high) -> Column:
@@ -20,14 +22,12 @@ def draw_between(row_id, field, low, high) -> Column:
 
 
 def draw_from(row_id, field, options) -> Column:
-    values = F.array(*[F.lit(o) for o in options])
-    return F.get(values, draw(row_id, field, len(options)).cast("int"))
+    return F.get(constants(options), draw(row_id, field, len(options)).cast("int"))
 
 
 def sample_words(row_id, field, pool, n) -> Column:
     """`n` different words of `pool`, in digest order."""
-    values = F.array(*[F.lit(w) for w in pool])
     keyed = F.transform(
-        values, lambda w: F.struct(F.md5(F.concat(row_id, F.lit(f"|{field}|"), w)).alias("k"), w.alias("w"))
+        constants(pool), lambda w: F.struct(F.md5(F.concat(row_id, F.lit(f"|{field}|"), w)).alias("k"), w.alias("w"))
     )
     return F.transform(F.slice(F.array_sort(keyed), 1, n), lambda s: s["w"])

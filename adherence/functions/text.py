@@ -29,6 +29,11 @@ def let(value, body):
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def constants(values) -> Column:
+    """A constant array of strings, as one literal instead of one per value."""
+    return F.split(F.lit("\x1f".join(values)), "\x1f")
+
+
 def strip(c) -> Column:
     return F.btrim(c, F.lit(SPACES))
 

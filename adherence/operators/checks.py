@@ -79,9 +79,8 @@ class Instruction:
 
     def keywords(self, name, n):
         given = self.arg(name)
-        return F.when(F.size(given) > 0, given).otherwise(
-            sample_words(self.row_id, name, self.keyword_pool, n)
-        )
+        drawn = sample_words(self.row_id, name, self.keyword_pool, n)
+        return F.when(F.size(given) > 0, given).otherwise(drawn)
 
     def keyword(self, name, missing):
         drawn = F.get(sample_words(self.row_id, name, self.keyword_pool, 1), F.lit(0))
@@ -374,7 +373,7 @@ def _rephrase_problem(i):
 
 def _key_sentences(i):
     given = F.when(F.size(i.arg("key_sentences")) > 0, i.arg("key_sentences")).otherwise(
-        F.array(*[F.lit(s) for s in DEFAULT_KEY_SENTENCES])
+        t.constants(DEFAULT_KEY_SENTENCES)
     )
 
     def body(wanted):
@@ -452,8 +451,7 @@ _CHECKS = [
           lambda i: _bullets(i.text) == i.number("num_bullets", 1, 5),
           defaulted=_unset("num_bullets")),
     Check("detectable_format:constrained_response", (),
-          lambda i: F.exists(F.array(*[F.lit(o) for o in CONSTRAINED_RESPONSES]),
-                             lambda o: F.contains(i.text, o))),
+          lambda i: F.exists(t.constants(CONSTRAINED_RESPONSES), lambda o: F.contains(i.text, o))),
     Check("detectable_format:number_highlighted_sections", ("num_highlights",),
           _counted(_highlights, "num_highlights", 1, 4), defaulted=_unset("num_highlights")),
     Check("detectable_format:multiple_sections", ("section_spliter", "num_sections"), _sections,

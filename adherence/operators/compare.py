@@ -2,6 +2,8 @@
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from adherence.operators.scoring import unnest
+
 # Fixed values of the comparison.
 TIE_BELOW = 0.001
 TYPE_LEVEL, CATEGORY_LEVEL, OVERALL_LEVEL = "type", "category", "overall"
@@ -10,7 +12,7 @@ TYPE_LEVEL, CATEGORY_LEVEL, OVERALL_LEVEL = "type", "category", "overall"
 def type_stats(scored: DataFrame, by=("run_file",)) -> DataFrame:
     """Passes and totals per instruction type. Partial sums are taken before the
     shuffle, so what moves is one row per type, group and task."""
-    long = scored.select(*by, F.inline("scores"))
+    long = unnest(scored, by, "scores")
     return long.groupBy(*by, "category", "inst_id").agg(
         F.count_if("strict").alias("strict_pass"),
         F.count_if("loose").alias("loose_pass"),

@@ -5,6 +5,7 @@ import json
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from adherence.operators.checks import _CHECKS
+from adherence.operators.scoring import ROW_KEYS, unnest
 
 REGISTERED = [c.inst_id for c in _CHECKS if c.enabled]
 
@@ -92,8 +93,5 @@ def conflicting_pairs(samples: DataFrame, ids="instruction_id_list") -> DataFram
             ),
         )
     )
-    return (
-        samples.select("run_file", "sample_pos", ids)
-        .withColumn("_conflicts", _conflict_map())
-        .select("run_file", "sample_pos", F.inline(F.array_distinct(pairs)))
-    )
+    rows = samples.select("run_file", "sample_pos", ids).withColumn("_conflicts", _conflict_map())
+    return unnest(rows, ROW_KEYS, F.array_distinct(pairs), present="inst_id")

@@ -96,8 +96,8 @@ def fill(template, **values) -> Column:
 
 def _language_name(i):
     code = i.choice("language", list(k.LANGUAGE_NAMES))
-    names = F.create_map(*[F.lit(x) for pair in k.LANGUAGE_NAMES.items() for x in pair])
-    return names[code]
+    names = F.lit(",".join(f"{c}:{n}" for c, n in k.LANGUAGE_NAMES.items()))
+    return F.str_to_map(names, F.lit(","), F.lit(":"))[code]
 
 
 def _nth(i):

@@ -134,10 +134,12 @@ def _tasks(options):
     tasked = [c for c in options.registry.enabled() if c.task is not None]
     if not tasked:
         return None
-    return F.transform(
-        "_instructions",
-        lambda x: _dispatch(x["inst_id"], tasked, lambda c: c.task(_view(x, options)), no_task()),
-    )
+
+    def needed(x):
+        inst = _view(x, options)
+        return _dispatch(x["inst_id"], tasked, lambda c: c.task(inst), no_task())
+
+    return F.transform("_instructions", needed)
 
 
 def _scores(options):
@@ -220,14 +222,23 @@ def score_samples(samples: DataFrame, options: ScoringOptions | None = None, kee
     )
 
 
+def unnest(rows: DataFrame, keys, structs, present="inst_pos") -> DataFrame:
+    """One row per struct of an array column.
+
+    The outer form with a filter behind it: for the inner form the optimizer adds
+    a size test on the array and pushes it down to the scan, so that a computed
+    array would be computed twice."""
+    return rows.select(*keys, F.inline_outer(structs)).where(F.col(present).isNotNull())
+
+
 def scores_long(scored: DataFrame, keys=("run_file", "sample_pos")) -> DataFrame:
     """One narrow row per scored instruction."""
-    return scored.select(*keys, F.inline("scores"))
+    return unnest(scored, keys, "scores")
 
 
 def parsed_instructions(samples: DataFrame, options=None) -> DataFrame:
     """One row per scored instruction with its parsed arguments."""
-    return with_instructions(samples, options).select(*ROW_KEYS, F.inline("_instructions"))
+    return unnest(with_instructions(samples, options), ROW_KEYS, "_instructions")
 
 
 def accepted_args(samples: DataFrame, registry: DataFrame, options=None) -> DataFrame:
@@ -246,22 +257,22 @@ def describe_instructions(samples: DataFrame, options=None) -> DataFrame:
     """The wording of every known instruction, one row each."""
     options = options or _DEFAULT
     rows = with_instructions(samples, options)
-    return rows.select(*ROW_KEYS, F.inline(options.columns("descriptions", _descriptions)))
+    return unnest(rows, ROW_KEYS, options.columns("descriptions", _descriptions))
 
 
 def _descriptions(options):
     checks = [c for c in options.registry.enabled() if c.describe is not None]
-    return F.transform(
-        "_instructions",
-        lambda x: F.struct(
-            x["inst_pos"].alias("inst_pos"),
-            x["inst_id"].alias("inst_id"),
-            _dispatch(
-                x["inst_id"], checks, lambda c: c.describe(_view(x, options)),
-                F.lit(None).cast("string"),
-            ).alias("description"),
-        ),
-    )
+
+    def described(x):
+        inst = _view(x, options)
+        text = _dispatch(
+            x["inst_id"], checks, lambda c: c.describe(inst), F.lit(None).cast("string")
+        )
+        return F.struct(
+            x["inst_pos"].alias("inst_pos"), x["inst_id"].alias("inst_id"), text.alias("description")
+        )
+
+    return F.transform("_instructions", described)
 
 
 def _passes(name):

@@ -57,6 +57,7 @@ if __name__ == "__main__":
     parser = argparse.ArgumentParser()
     parser.add_argument("names", nargs="*")
     parser.add_argument("--sf", default="0.01")
+    parser.add_argument("--after", help="start behind this query")
     args = parser.parse_args()
     from __spark_entry__ import oracle_sql, queries
     from adherence.session import local_session
@@ -64,7 +65,10 @@ if __name__ == "__main__":
     sf_dir = f"/root/testdata/sf{args.sf}"
     spark, con = local_session(cpus=8), connect(sf_dir)
     oracles, bad = oracle_sql(), []
-    for name, run in queries().items():
+    todo = list(queries().items())
+    if args.after:
+        todo = todo[[n for n, _ in todo].index(args.after) + 1:]
+    for name, run in todo:
         if args.names and name not in args.names:
             continue
         start = time.time()
