@@ -13,8 +13,9 @@ SPACES = (
     "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005"
     "\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 )
-WS = f"[{SPACES}]"
-NOT_WS = f"[^{SPACES}]"
+_RANGES = "\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+WS = f"[{_RANGES}]"
+NOT_WS = f"[^{_RANGES}]"
 WORD = r"[\p{L}\p{N}_]"
 DIGIT = r"\p{Nd}"
 BOUNDARY = rf"(?:(?<={WORD})(?!{WORD})|(?<!{WORD})(?={WORD}))"
@@ -139,27 +140,20 @@ ABBREVIATIONS = (
 CLOSERS = "[\"'”’)\\]}]*"
 
 
-def sentence_rules(abbreviations=ABBREVIATIONS):
-    """Rewrites that hide the full stops which end no sentence."""
-    known = "|".join(a.replace(".", "[.]") for a in sorted(abbreviations, key=len, reverse=True))
-    return [
-        # an ellipsis goes on unless a capital follows
-        (rf"[.]{{2,}}({WS}+[^\p{{Lu}}{SPACES}])", "<prd>$1"),
-        # acronyms and initials: single letters with a stop
-        (rf"(?<![\p{{L}}\p{{N}}])((?:\p{{L}}[.])*\p{{L}})[.](?={WS})", "$1<prd>"),
-        (rf"(?<![\p{{L}}\p{{N}}])({known})[.](?={WS})", "$1<prd>"),
-    ]
-
-
 def sentence_count(c, abbreviations=ABBREVIATIONS) -> Column:
     """Number of sentences: a run of end marks closes a sentence when white space
-    follows and the mark belongs to no abbreviation, initial or running ellipsis."""
-    text = strip(c)
-    for pattern, replacement in sentence_rules(abbreviations):
-        text = F.regexp_replace(text, pattern, replacement)
+    follows, unless the mark belongs to an abbreviation or an initial, or is an
+    ellipsis no capital comes after. Those are counted and taken off, so the text
+    is never rewritten."""
+    known = "|".join(a.replace(".", "[.]") for a in sorted(abbreviations, key=len, reverse=True))
+    ends = rf"[.?!]+{CLOSERS}{WS}+"
+    short = rf"[.](?<=(?<![\p{{L}}\p{{N}}])(?:\p{{L}}|{known})[.]){WS}+"
+    running = rf"[.]{{2,}}{WS}+[^\p{{Lu}}{SPACES}]"
     return let(
-        text,
-        lambda t: F.when(t == "", 0).otherwise(count_matches(t, rf"[.?!]+{CLOSERS}{WS}+") + 1),
+        strip(c),
+        lambda t: F.when(t == "", 0).otherwise(
+            count_matches(t, ends) - count_matches(t, short) - count_matches(t, running) + 1
+        ),
     )
 
 
@@ -168,39 +162,39 @@ def sentence_count(c, abbreviations=ABBREVIATIONS) -> Column:
 # Treebank-style separation: punctuation and contractions become tokens of their
 # own, hyphenated words stay whole, only a text-final full stop is split off.
 TOKEN_RULES = [
-    (r"([«“‘„»”’])", " $1 "),
     (r'(^|[ (\[{<])"', "$1 `` "),
-    (r"([:,])([^0-9])", " $1 $2"),
-    (r"([:,])$", " $1 "),
-    (r"(\.{2,})", " $1 "),
-    (r"([;@#$%&?!*])", " $1 "),
+    (r"([:,])([^0-9]|$)", " $1 $2"),
     (r"([^.])(\.)([\])}>\"'»”’ ]*)$", "$1 $2 $3 "),
-    (r"([\[\](){}<>])", " $1 "),
-    (r"(--)", " $1 "),
+    (r"([«“‘„»”’;@#$%&?!*\[\](){}<>]|\.{2,}|--)", " $1 "),
     (r'"', " '' "),
-    (r"([^' ])('[sSmMdD]|') ", "$1 $2 "),
-    (r"([^' ])('ll|'LL|'re|'RE|'ve|'VE|n't|N'T) ", "$1 $2 "),
-    (r"(?i)(^| )(can)(not) ", "$1$2 $3 "),
-    (r"(?i)(^| )(gim|lem)(me) ", "$1$2 $3 "),
-    (r"(?i)(^| )(gon|wan)(na) ", "$1$2 $3 "),
-    (r"(?i)(^| )(got)(ta) ", "$1$2 $3 "),
-    (r"(?i)(^| )(d)('ye) ", "$1$2 $3 "),
-    (r"(?i)(^| )('t)(is|was) ", "$1$2 $3 "),
+    (r"([^' ])('[sSmMdD]|'ll|'LL|'re|'RE|'ve|'VE|n't|N'T|') ", "$1 $2 "),
+    (r"(?i)(?<= can)(?=not )|(?<= (?:gim|lem))(?=me )|(?<= (?:gon|wan))(?=na )"
+     r"|(?<= got)(?=ta )|(?<= d)(?='ye )|(?<= 't)(?=is |was )", " "),
 ]
 
 
-def word_tokens(c) -> Column:
-    text = F.regexp_replace(strip(c), f"{WS}+", " ")
-    for pattern, replacement in TOKEN_RULES[:7]:
+def single_spaced(c) -> Column:
+    return F.regexp_replace(strip(c), f"{WS}+", " ")
+
+
+def _tokens(text) -> Column:
+    for pattern, replacement in TOKEN_RULES[:3]:
         text = F.regexp_replace(text, pattern, replacement)
     text = F.concat(F.lit(" "), text, F.lit(" "))
-    for pattern, replacement in TOKEN_RULES[7:]:
+    for pattern, replacement in TOKEN_RULES[3:]:
         text = F.regexp_replace(text, pattern, replacement)
     return F.filter(F.split(text, " +", -1), lambda t: t != "")
 
 
+def word_tokens(c) -> Column:
+    return _tokens(single_spaced(c))
+
+
 def capital_word_count(c) -> Column:
-    return F.size(F.filter(word_tokens(c), is_upper))
+    """Tokens in capitals. Only a stretch with a capital can hold one, and no rule
+    makes a token out of two stretches, so the others are taken out beforehand."""
+    capitals = F.regexp_replace(single_spaced(c), r"(?U)(?<![^ ])[^ \p{Upper}]++(?![^ ]) ?", "")
+    return F.size(F.filter(_tokens(capitals), is_upper))
 
 
 # --- multisets -------------------------------------------------------------

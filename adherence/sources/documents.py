@@ -49,6 +49,13 @@ def named(documents: DataFrame) -> DataFrame:
     return documents.withColumn("display_name", display_name())
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Deal the rows out when the input has fewer splits than there are cores (one
+    JSON document is one split, as is a small file). A large input stays as it is."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def samples_of(documents: DataFrame) -> DataFrame:
     """One row per sample. A sample is known by its file and place, as keys need
     not be unique."""

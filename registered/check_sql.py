@@ -7,7 +7,7 @@ Formulated on their own: string functions and RE2 patterns, no look-around.
 """
 
 from adherence.functions.text import (
-    ABBREVIATIONS, CLOSERS, DOMAINS, SENTENCE_QUOTES, SPACES, SUFFIXES, TITLES, TOKEN_RULES,
+    ABBREVIATIONS, CLOSERS, DOMAINS, SENTENCE_QUOTES, SPACES, SUFFIXES, TITLES,
 )
 from adherence.operators import checks as k
 
@@ -153,12 +153,34 @@ def sentence_count(x):
     return f"CASE WHEN {strip(x)} = '' THEN 0 ELSE {count(t, '[.?!]+' + CLOSERS + ws + '+')} + 1 END"
 
 
+# Token rules one by one: (pattern, replacement); the last ones need spaces around.
+TOKEN_RULES = [
+    (r'(^|[ (\[{<])"', "$1 `` "),
+    (r"([:,])([^0-9])", " $1 $2"),
+    (r"([:,])$", " $1 "),
+    (r"([^.])(\.)([\])}>\"'»”’ ]*)$", "$1 $2 $3 "),
+    (r"([«“‘„»”’])", " $1 "),
+    (r"(\.{2,})", " $1 "),
+    (r"([;@#$%&?!*])", " $1 "),
+    (r"([\[\](){}<>])", " $1 "),
+    (r"(--)", " $1 "),
+    (r'"', " '' "),
+    (r"([^' ])('[sSmMdD]|'|'ll|'LL|'re|'RE|'ve|'VE|n't|N'T) ", "$1 $2 "),
+    (r"(?i)(^| )(can)(not) ", "$1$2 $3 "),
+    (r"(?i)(^| )(gim|lem)(me) ", "$1$2 $3 "),
+    (r"(?i)(^| )(gon|wan)(na) ", "$1$2 $3 "),
+    (r"(?i)(^| )(got)(ta) ", "$1$2 $3 "),
+    (r"(?i)(^| )(d)('ye) ", "$1$2 $3 "),
+    (r"(?i)(^| )('t)(is|was) ", "$1$2 $3 "),
+]
+
+
 def tokens(x):
     t = sub(strip(x), f"[{SPACES}]+", " ")
-    for pattern, replacement in TOKEN_RULES[:7]:
+    for pattern, replacement in TOKEN_RULES[:4]:
         t = sub(t, pattern, replacement)
     t = f"(' ' || {t} || ' ')"
-    for pattern, replacement in TOKEN_RULES[7:]:
+    for pattern, replacement in TOKEN_RULES[4:]:
         t = sub(t, pattern, replacement)
     return f"list_filter(string_split_regex({t}, ' +'), lambda w: w <> '')"
 

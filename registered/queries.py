@@ -39,7 +39,7 @@ def kept(spark, sf, name, build):
 
 
 def table(spark, sf, name) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    return docs.spread(spark.read.parquet(f"{sf}/{name}.parquet"))
 
 
 def sql(spark, sf, statement, *tables) -> DataFrame:
