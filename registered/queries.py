@@ -281,7 +281,7 @@ def run_headers(spark, sf):
         F.struct(
             "model_name", "lora_path", F.coalesce("precision", F.lit("fp16")).alias("precision"),
             F.lit(2048).alias("max_seq_length"), F.lit(64).alias("batch_size"), _generation(),
-            F.lit("llama-3.1").alias("chat_template"), F.lit("default").alias("loader"),
+            F.lit("role-headers").alias("chat_template"), F.lit("default").alias("loader"),
         ).alias("config"),
         F.struct(
             runs.run_name(F.col("model_name"), F.col("lora_path"), F.col("n") % 2 == 1).alias("run_name"),
