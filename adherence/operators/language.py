@@ -1,14 +1,15 @@
 """Language identification: a naive Bayes model over character trigrams.
 
-Training counts trigrams over the labelled texts on the cluster. Applying the
-model is row-local, so nothing is shuffled; rows without a text to judge cost an
+Training counts trigrams over the labelled texts with one aggregation; the most
+frequent ones, with a number per language, make the model. Applying it is row-local, so nothing is shuffled; rows without a text to judge cost an
 empty array. The model is bounded by `vocab_size` x number of languages.
 """
 
 from __future__ import annotations
 
 from pyspark.ml.classification import NaiveBayes, NaiveBayesModel
-from pyspark.ml.feature import CountVectorizer, CountVectorizerModel, StringIndexer, StringIndexerModel
+from pyspark.ml.feature import CountVectorizerModel, StringIndexerModel
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame, functions as F
 
 # Addresses say nothing about the language around them.
@@ -31,18 +32,38 @@ class LanguageModel:
 
     @classmethod
     def fit(cls, labelled: DataFrame, text="text", label="lang", vocab_size=VOCAB_SIZE) -> "LanguageModel":
-        rows = labelled.select(
-            F.col(label).alias("_label"), trigrams(clean(F.col(text))).alias("_grams")
-        ).where(F.col("_label").isNotNull())
-        labels = StringIndexer(
-            inputCol="_label", outputCol="_y", stringOrderType="alphabetAsc"
-        ).fit(rows)
-        terms = CountVectorizer(inputCol="_grams", outputCol="_counts", vocabSize=vocab_size).fit(rows)
+        rows = labelled.select(F.col(label).alias("_label"), F.col(text).alias("_text")).where(
+            F.col("_label").isNotNull()
+        )
+        texts = {r["_label"]: r["count"] for r in rows.groupBy("_label").count().collect()}
+        names = sorted(texts)
+        # counted per task before the shuffle; the outer form as in scoring.unnest
+        grams = rows.select("_label", F.explode_outer(trigrams(clean(F.col("_text")))).alias("_gram"))
+        counts = (
+            grams.where(F.col("_gram").isNotNull())
+            .groupBy("_gram", "_label").count()
+            .groupBy("_gram").pivot("_label", names).agg(F.sum("count"))
+            .na.fill(0, names)
+        )
+        total = sum((F.col(f"`{n}`") for n in names), F.lit(0))
+        top = counts.orderBy(total.desc(), "_gram").limit(vocab_size).collect()
+
+        # from here on: vocabulary x languages numbers
+        vocabulary = [r["_gram"] for r in top]
+        sums = [
+            (float(y), float(texts[n]), Vectors.dense([r[n] / texts[n] for r in top]))
+            for y, n in enumerate(names)
+        ]
+        spark = labelled.sparkSession
         bayes = NaiveBayes(
-            featuresCol="_counts", labelCol="_y", predictionCol="_best",
+            featuresCol="_counts", labelCol="_y", predictionCol="_best", weightCol="_texts",
             rawPredictionCol="_scores", probabilityCol="_shares",
-        ).fit(terms.transform(labels.transform(rows)))
-        return cls(labels, terms, bayes)
+        ).fit(spark.createDataFrame(sums, ["_y", "_texts", "_counts"]))
+        return cls(
+            StringIndexerModel.from_labels(names, inputCol="_label", outputCol="_y"),
+            CountVectorizerModel.from_vocabulary(vocabulary, inputCol="_grams", outputCol="_counts"),
+            bayes,
+        )
 
     def detect(self, rows: DataFrame, text: Column, out="detected") -> DataFrame:
         """Add the language of `text`; null where the text shows none."""
