@@ -1,11 +1,13 @@
 """The five jobs end to end, out of the operators."""
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from adherence.operators import batching, chat, compare, runs, scoring
 from adherence.operators.generate import generate_responses
+from adherence.session import checkpoint_dir
 from adherence.sources import documents, sinks
 
 
@@ -16,12 +18,14 @@ class Scored:
     by_level: DataFrame
 
 
-def score_job(spark: SparkSession, samples: DataFrame, out, options=None, keep=()) -> Scored:
+def score_job(spark: SparkSession, samples: DataFrame, out=None, options=None, keep=()) -> Scored:
     """Score once, write the narrow outcomes, and take every roll-up from them.
 
     The written table is also what a comparison starts from, so no text is scored
-    twice, and it outlives any executor."""
-    path = f"{out.rstrip('/')}/outcomes"
+    twice, and it outlives any executor. Without `out` it goes to the shared
+    folder of the session."""
+    folder = out or f"{checkpoint_dir(spark)}/{uuid.uuid4().hex}"
+    path = f"{folder.rstrip('/')}/outcomes"
     sinks.write_table(scoring.score_samples(samples, options, keep), path)
     outcomes = spark.read.parquet(path)
     stats = compare.type_stats(outcomes)

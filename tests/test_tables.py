@@ -130,6 +130,16 @@ def test_responses_round_trip_with_both_argument_forms(spark, tmp_path):
     assert [s.strict for s in first.scores[:2]] == [True, False] and first.scores[2].arg_defaulted
 
 
+def test_score_job_uses_the_shared_folder(spark, make_samples, tmp_path):
+    spark.conf.set("spark.checkpoint.dir", str(tmp_path))
+    try:
+        scored = jobs.score_job(spark, make_samples(("x", [("punctuation:no_comma", "{}")])))
+        assert scored.by_level.where("level = 'overall'").first().strict_acc == 1.0
+        assert len(os.listdir(tmp_path)) == 1
+    finally:
+        spark.conf.unset("spark.checkpoint.dir")
+
+
 def test_documents_and_sinks(spark, make_samples, tmp_path):
     rows = make_samples(*[("x", [("punctuation:no_comma", "{}")])] * 5).withColumns({
         "config": F.struct(F.lit("org/m").alias("model_name"), F.lit("bf16").alias("precision")),
