@@ -34,13 +34,18 @@ def local_session(app="adherence", cpus="*", shuffle_partitions=8, memory="8g",
     return spark
 
 
+_LOCAL_FOLDERS = {}
+
+
 def checkpoint_dir(spark):
-    """The shared folder named by spark.checkpoint.dir; only where it is unset
-    (a local test session) a fresh temporary folder is taken."""
+    """The shared folder named by spark.checkpoint.dir. Only where it is unset, in a
+    local test session, a fresh temporary folder stands in."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a shared folder on a cluster")
-        shared = tempfile.mkdtemp(prefix="adherence-")
-        spark.conf.set("spark.checkpoint.dir", shared)
+        session = spark.sparkContext.applicationId
+        if session not in _LOCAL_FOLDERS:
+            _LOCAL_FOLDERS[session] = tempfile.mkdtemp(prefix="adherence-")
+        shared = _LOCAL_FOLDERS[session]
     return shared.rstrip("/")

@@ -10,6 +10,7 @@ from adherence.operators import batching, chat, compare, conflicts, runs, scorin
 from adherence.operators.language import LanguageModel
 from adherence.operators.scoring import ScoringOptions
 from adherence.plans import jobs
+from adherence.session import checkpoint_dir
 from adherence.sources import documents as docs, sinks
 from adherence.streaming import score_stream
 
@@ -130,14 +131,11 @@ def test_responses_round_trip_with_both_argument_forms(spark, tmp_path):
     assert [s.strict for s in first.scores[:2]] == [True, False] and first.scores[2].arg_defaulted
 
 
-def test_score_job_uses_the_shared_folder(spark, make_samples, tmp_path):
-    spark.conf.set("spark.checkpoint.dir", str(tmp_path))
-    try:
-        scored = jobs.score_job(spark, make_samples(("x", [("punctuation:no_comma", "{}")])))
-        assert scored.by_level.where("level = 'overall'").first().strict_acc == 1.0
-        assert len(os.listdir(tmp_path)) == 1
-    finally:
-        spark.conf.unset("spark.checkpoint.dir")
+def test_score_job_without_a_folder(spark, make_samples):
+    scored = jobs.score_job(spark, make_samples(("x", [("punctuation:no_comma", "{}")])))
+    assert scored.by_level.where("level = 'overall'").first().strict_acc == 1.0
+    assert checkpoint_dir(spark) == checkpoint_dir(spark)
+    assert len(os.listdir(checkpoint_dir(spark))) == 1
 
 
 def test_documents_and_sinks(spark, make_samples, tmp_path):
