@@ -24,6 +24,7 @@ def test_query(spark, name):
 
 
 def test_every_query_has_its_sql():
-    from __spark_entry__ import oracle_sql, queries
+    from registered.oracle import ORACLE
+    from registered.queries import QUERIES
 
-    assert set(queries()) == set(oracle_sql())
+    assert set(QUERIES) == set(ORACLE)
