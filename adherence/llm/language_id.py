@@ -292,7 +292,7 @@ def _entropies(shared, keep):
                 part = batch.slice(at, 512)
                 entropies, chars, letters = [], [], []
                 texts = [words_of(t) for t in part.column("text").to_pylist()]
-                new = set().union(*texts).difference(table)
+                new = set().union(*texts).difference(table) if model.languages else ()
                 if len(table) + len(new) > KEPT_WORDS:
                     table.clear()
                     table.scores = table.scores[:0]
@@ -301,8 +301,10 @@ def _entropies(shared, keep):
                     table.learn(sorted(new))
                 for words in texts:
                     n = sum(map(len, words)) + len(words)
-                    rows = np.fromiter(map(table.__getitem__, words), np.int64, len(words))
-                    total = table.scores[rows].sum(axis=0, dtype=np.float64) if words else np.zeros(len(model.languages))
+                    total = np.zeros(len(model.languages))
+                    if words and model.languages:
+                        rows = np.fromiter(map(table.__getitem__, words), np.int64, len(words))
+                        total = table.scores[rows].sum(axis=0, dtype=np.float64)
                     entropies.append((-total / max(n, 1)).tolist())
                     chars.append(n)
                     letters.append(any(c.isalpha() for w in words for c in w))
