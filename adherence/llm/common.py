@@ -44,6 +44,27 @@ def keyed_texts(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
     )
 
 
+def text_blocks(texts, characters: int):
+    """(position of the first, list of texts) of an Arrow column, in blocks of about so
+    many characters; a longer text is a block of its own."""
+    block, first, size = [], 0, 0
+    for k, value in enumerate(texts):
+        text = value.as_py()
+        block.append(text)
+        size += len(text)
+        if size >= characters or k == len(texts) - 1:
+            yield first, block
+            block, first, size = [], k + 1, 0
+
+
+def bounded_batches(spark: SparkSession, rows=1_000) -> None:
+    """Job setting: Arrow batches of so many rows, since texts are long. Python workers
+    hold a batch or two; the cluster's own setting stays where it is smaller."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key, "10000")) > rows:
+        spark.conf.set(key, str(rows))
+
+
 def text_mod(col: Column, modulus: int) -> Column:
     """crc32 of an id written as text, modulo a number; the fold of a row."""
     return F.crc32(col.cast("string")) % modulus

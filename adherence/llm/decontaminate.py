@@ -21,7 +21,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from adherence.llm.common import schema, written
+from adherence.llm.common import schema, text_blocks, written
 
 WINDOW = 8
 COVERAGE = 0.8
@@ -30,7 +30,9 @@ RUN = 13
 #: thin the document windows out before the join; beyond, all windows are joined.
 FILTERED = 4_000_000
 #: Words kept with their canonical form in a worker.
-KEPT_WORDS = 400_000
+KEPT_WORDS = 200_000
+#: Characters of texts taken at once.
+BLOCK_CHARACTERS = 400_000
 
 # Units of measure and currency, as written after or before a number.
 UNITS = frozenset("""
@@ -65,16 +67,19 @@ def split_word(raw: str) -> list[str]:
 
 
 class Forms(dict):
-    """raw word -> number of its canonical form, with the forms' properties in lists."""
+    """raw word -> number of its canonical form; the forms' properties lie in arrays."""
 
     def __init__(self):
         super().__init__()
-        self.kinds, self.hashes, self.values, self.titles, self.stops = [], [], [], [], []
+        self.rows, self.values = [], []
+        self.table = np.zeros(0, [("kind", np.int8), ("own", np.uint64), ("title", bool), ("stop", bool)])
 
     def __missing__(self, raw):
-        if len(self) >= KEPT_WORDS and raw not in self:
-            # A worker keeps a bounded table; numbers given out stay valid for the text at hand.
-            self.clear()
+        # Most new words are letters, or letters and one mark: no pattern is needed.
+        word = raw if raw.isalpha() else raw[:-1] if raw[-1] in ",.;:!?" and raw[:-1].isalpha() else None
+        if word is not None:
+            value = word.lower()
+            return self.add(raw, UNIT if value in UNITS else WORD, value, word, raw[-1] in ".!?:")
         word = EDGES.sub("", raw)
         value = word.lower()
         if len(split_word(raw)) > 1:
@@ -87,45 +92,65 @@ class Forms(dict):
             kind = UNIT
         else:
             kind = WORD
-        self[raw] = at = len(self.kinds)
-        self.kinds.append(kind)
+        return self.add(raw, kind, value, word, bool(re.search(r"[.!?:]\W*$", raw)))
+
+    def add(self, raw, kind, value, word, stop):
+        self[raw] = at = len(self.values)
         self.values.append(value)
-        self.hashes.append(xxhash.xxh64_intdigest(value.encode("utf-8", "surrogatepass")))
-        self.titles.append(kind == WORD and len(word) > 1 and word[0].isupper() and word[1:].islower())
-        self.stops.append(bool(re.search(r"[.!?:]\W*$", raw)))
+        title = kind == WORD and len(word) > 1 and word[0].isupper() and word[1:].islower()
+        self.rows.append((kind, xxhash.xxh64_intdigest(value.encode("utf-8", "surrogatepass")), title, stop))
         return at
 
+    def properties(self):
+        """The table of all forms met so far."""
+        if self.rows:
+            self.table = np.concatenate([self.table, np.array(self.rows, self.table.dtype)])
+            self.rows = []
+        return self.table
+
 
 _FORMS = []
 
 
-def canonical(text: str):
-    """(kinds, template hashes, own hashes, values) of a text's canonical words."""
-    if not _FORMS or len(_FORMS[0].kinds) > 2 * KEPT_WORDS:
-        _FORMS[:] = [Forms()]
-    forms = _FORMS[0]
-    words = text.split()
-    ids = [forms[w] for w in words]
-    if any(forms.kinds[k] == SPLIT for k in set(ids)):
-        words = [part for w in words for part in split_word(w)]
-        ids = [forms[w] for w in words]
-    distinct, where = np.unique(np.array(ids, np.int64), return_inverse=True)
-    pick = lambda values, kind: np.array([values[k] for k in distinct], kind)[where]
-    kinds, own = pick(forms.kinds, np.int8), pick(forms.hashes, np.uint64)
-    titles, stops = pick(forms.titles, bool), pick(forms.stops, bool)
-    there = kinds != NOTHING
-    # A sign after the sentence's end counts for the word before it.
-    kinds, own, titles, stops, ids = kinds[there], own[there], titles[there], stops[there], np.array(ids, np.int64)[there]
-    inner = np.zeros(len(kinds), bool)
-    inner[1:] = ~stops[:-1]
-    kinds = np.where(titles & inner, NAME, kinds)
-    # A unit is one only beside a number.
-    beside = np.zeros(len(kinds), bool)
-    beside[1:] |= kinds[:-1] == NUM
-    beside[:-1] |= kinds[1:] == NUM
-    kinds = np.where((kinds == UNIT) & ~beside, WORD, kinds)
-    template = np.where(kinds == WORD, own, _KIND_HASH[np.where(kinds == WORD, 0, kinds)])
-    return kinds, template, own, [forms.values[k] for k in ids]
+class Canonical:
+    """The canonical words of several texts, one after another: kinds, join hashes as a
+    template and as they are, and the number of words of each text."""
+
+    def __init__(self, texts: list[str]):
+        if not _FORMS or len(_FORMS[0]) > KEPT_WORDS:
+            _FORMS[:] = [Forms()]  # a worker keeps a bounded table
+        self.forms = forms = _FORMS[0]
+        lists = [text.split() for text in texts]
+        ids = [np.fromiter(map(forms.__getitem__, words), np.int64, len(words)) for words in lists]
+        table = forms.properties()
+        for k, words in enumerate(lists):
+            if (table["kind"][ids[k]] == SPLIT).any():
+                parts = [part for w in words for part in split_word(w)]
+                ids[k] = np.fromiter(map(forms.__getitem__, parts), np.int64, len(parts))
+        del lists
+        table = forms.properties()
+        owner = np.repeat(np.arange(len(ids)), [len(x) for x in ids])
+        flat = np.concatenate(ids) if ids else np.zeros(0, np.int64)
+        there = table["kind"][flat] != NOTHING
+        self.ids, owner = flat[there], owner[there]
+        self.sizes = np.bincount(owner, minlength=len(texts))
+        rows = table[self.ids]
+        kinds = rows["kind"].copy()
+        # A name stands inside a sentence; a text's first word does not.
+        after = np.zeros(len(kinds), bool)
+        after[1:] = (owner[1:] == owner[:-1]) & ~rows["stop"][:-1]
+        kinds[rows["title"] & after] = NAME
+        # A unit is one only beside a number of the same text.
+        number, same = kinds == NUM, owner[1:] == owner[:-1]
+        beside = np.zeros(len(kinds), bool)
+        beside[1:] |= number[:-1] & same
+        beside[:-1] |= number[1:] & same
+        kinds[(kinds == UNIT) & ~beside] = WORD
+        self.kinds, self.own = kinds, rows["own"]
+        self.template = np.where(kinds == WORD, self.own, _KIND_HASH[np.where(kinds == WORD, 0, kinds)])
+
+    def value(self, k: int) -> str:
+        return self.forms.values[self.ids[k]]
 
 
 def window_hashes(kinds, template, own, length):
@@ -133,30 +158,33 @@ def window_hashes(kinds, template, own, length):
     n = len(kinds) - length + 1
     if n <= 0:
         return np.zeros(0, np.uint64), np.zeros(0, bool)
-    total, raw = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
+    words = np.concatenate(([0], np.cumsum(kinds == WORD)))
+    is_template = 2 * (words[length:] - words[:-length]) >= length
+    total = np.zeros(n, np.uint64)
     for j in range(length):
         total += template[j: j + n] * _POWERS[j]
-        raw += own[j: j + n] * _POWERS[j]
-    words = np.concatenate(([0], np.cumsum(kinds == WORD)))
-    literal = words[length:] - words[:-length]
-    is_template = 2 * literal >= length
-    hashes = np.where(is_template, total, raw ^ _OWN_WORDS)
-    hashes ^= hashes >> np.uint64(31)
-    hashes *= np.uint64(0xBF58476D1CE4E5B9)
-    return hashes ^ (hashes >> np.uint64(29)), is_template
-
-
-def window_row(kinds, values, at, length, is_template):
+    few = np.flatnonzero(~is_template)
+    if len(few):
+        raw = np.zeros(len(few), np.uint64)
+        for j in range(length):
+            raw += own[few + j] * _POWERS[j]
+        total[few] = raw ^ _OWN_WORDS
+    total ^= total >> np.uint64(31)
+    total *= np.uint64(0xBF58476D1CE4E5B9)
+    return total ^ (total >> np.uint64(29)), is_template
+
+
+def window_row(texts: Canonical, at, length, is_template):
     """(canonical text, slots) of one window."""
     names = {NUM: "<num>", UNIT: "<unit>", NAME: "<name>"}
     words, slots = [], []
     for k in range(at, at + length):
-        kind = int(kinds[k])
+        kind = int(texts.kinds[k])
         if is_template and kind != WORD:
             words.append(names[kind])
-            slots.append(names[kind] + values[k])
+            slots.append(names[kind] + texts.value(k))
         else:
-            words.append(values[k])
+            words.append(texts.value(k))
     return " ".join(words), slots
 
 
@@ -171,33 +199,40 @@ def _windows(id_type, wanted, lengths):
     or None; lengths: the window lengths to make, or None for an item's own one."""
     out = pa.schema([("id", id_type), *_WINDOW_FIELDS, ("windows", pa.int32()), ("words", pa.int32())])
 
+    def block_rows(ids, texts, allowed):
+        words = Canonical(texts)
+        ends = np.cumsum(words.sizes)
+        firsts = ends - words.sizes
+        owner = np.repeat(np.arange(len(texts)), words.sizes)
+        rows, owners = [], []
+        for length in lengths if lengths is not None else sorted({min(int(n), WINDOW) for n in words.sizes if n}):
+            hashes, is_template = window_hashes(words.kinds, words.template, words.own, length)
+            hits = np.arange(len(hashes))
+            if allowed is not None:
+                found = np.searchsorted(allowed, hashes)
+                found[found == len(allowed)] = 0
+                hits = np.flatnonzero(allowed[found] == hashes)
+            hits = hits[hits + length <= ends[owner[hits]]]
+            if lengths is None:
+                hits = hits[np.minimum(words.sizes[owner[hits]], WINDOW) == length]
+            for p in hits.tolist():
+                k, n = int(owner[p]), int(words.sizes[owner[p]])
+                text, slots = window_row(words, p, length, is_template[p])
+                rows.append((p - int(firsts[k]), length, int(hashes[p].astype(np.int64)), text, slots, n - length + 1, n))
+                owners.append(k)
+        if rows:
+            columns = list(zip(*rows))
+            return pa.RecordBatch.from_arrays(
+                [ids.take(pa.array(owners, pa.int64()))]
+                + [pa.array(c, f.type) for c, f in zip(columns, list(out)[1:])], schema=out)
+
     def run(batches):
         allowed = wanted.value if wanted is not None else None
         for batch in batches:
-            ids = batch.column("id")
-            for at in range(0, batch.num_rows, 256):
-                rows, owners = [], []
-                for k in range(at, min(at + 256, batch.num_rows)):
-                    kinds, template, own, values = canonical(batch.column("text")[k].as_py())
-                    n = len(kinds)
-                    if not n:
-                        continue
-                    for length in lengths if lengths is not None else [min(n, WINDOW)]:
-                        hashes, is_template = window_hashes(kinds, template, own, length)
-                        hits = np.arange(len(hashes))
-                        if allowed is not None:
-                            found = np.searchsorted(allowed, hashes)
-                            found[found == len(allowed)] = 0
-                            hits = np.flatnonzero(allowed[found] == hashes)
-                        for p in hits:
-                            text, slots = window_row(kinds, values, p, length, is_template[p])
-                            rows.append((int(p), length, int(hashes[p].astype(np.int64)), text, slots, len(hashes), n))
-                            owners.append(k)
-                if rows:
-                    columns = list(zip(*rows))
-                    yield pa.RecordBatch.from_arrays(
-                        [ids.take(pa.array(owners, pa.int64()))]
-                        + [pa.array(c, f.type) for c, f in zip(columns, list(out)[1:])], schema=out)
+            for first, texts in text_blocks(batch.column("text"), BLOCK_CHARACTERS):
+                rows = block_rows(batch.column("id").slice(first, len(texts)), texts, allowed)
+                if rows is not None:
+                    yield rows
 
     return run
 

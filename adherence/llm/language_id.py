@@ -31,9 +31,9 @@ MAX_LANGUAGES = 1_000
 #: Standard deviations beyond the usual cross-entropy at which a text is rejected.
 REJECT_AT = 8.0
 #: Words kept with their scores in a worker.
-KEPT_WORDS = 400_000
+KEPT_WORDS = 250_000
 #: Characters of new words scored at once.
-BLOCK = 200_000
+BLOCK = 50_000
 
 WORD = re.compile(r"[^\W\d_]+")
 # Odd multipliers of the gram hash, by a rule: powers of one 64-bit constant.
@@ -288,8 +288,8 @@ def _entropies(shared, keep):
             _SCORED[:] = [_Words(model)]
         table = _SCORED[0]
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
+            for at in range(0, batch.num_rows, 200):
+                part = batch.slice(at, 200)
                 entropies, chars, letters = [], [], []
                 texts = [words_of(t) for t in part.column("text").to_pylist()]
                 new = set().union(*texts).difference(table) if model.languages else ()

@@ -2,7 +2,9 @@
 
 from pyspark.sql import DataFrame, functions as F
 
-from adherence.llm import bpe, common, decontaminate, exact_dedup, language_id, simhash
+from adherence.llm import (
+    bpe, common, decontaminate, exact_dedup, language_id, passages, quality, secret_scan, sharding, simhash, token_counts,
+)
 
 QUERIES = {}
 ORACLE = {}
@@ -14,6 +16,7 @@ def query(fn):
 
 
 def table(spark, sf_dir, name) -> DataFrame:
+    common.bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -32,11 +35,33 @@ def op2_simhash_near_dedup(spark, sf_dir):
     return simhash.simhash_components(table(spark, sf_dir, "documents"), shingle=3, max_distance=2)
 
 
+@query
+def op3_token_counts(spark, sf_dir):
+    import public_tokenizers as vocabularies
+
+    vocabulary = vocabularies.path("byte_bpe_multi_50k.tiktoken")
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), vocabulary, vocabularies.PATTERN)
+
+
+@query
+def op4_substring_dedup(spark, sf_dir):
+    return passages.find_passages(table(spark, sf_dir, "documents"))
+
+
 @query
 def op5_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+@query
+def op6_quality_classifier(spark, sf_dir):
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = quality.fit(docs, labels.where(common.text_mod(labels.doc_id, 3) != 1))
+    scored = docs.select("doc_id", (common.text_mod(docs.doc_id, 3) == 1).alias("held_out"),
+                         quality.score_column(model, spark, docs.text).alias("score"))
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def token_rows(docs):
     import public_tokenizers as vocabularies
 
@@ -71,3 +96,15 @@ def op8_language_id(spark, sf_dir):
     folds = docs.select("doc_id", (common.text_mod(docs.doc_id, 5) == 0).alias("held_out"),
                         language_id.identify_column(model, spark, docs.text).alias("judged"))
     return folds.select("doc_id", "held_out", "judged.lang_pred", "judged.score", "judged.rejected")
+
+
+@query
+def op9_sharding(spark, sf_dir):
+    return sharding.shard_documents(table(spark, sf_dir, "documents"), shards=16).select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query
+def op10_secret_scan(spark, sf_dir):
+    return secret_scan.digests(secret_scan.scan(table(spark, sf_dir, "documents")))

@@ -11,26 +11,31 @@ from adherence.llm import common, decontaminate, exact_dedup, language_id, queri
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a learned language; those that are rejected go."""
+    common.bounded_batches(spark)
     return language_id.keep_identified(docs, queries.fitted_languages(docs))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts."""
+    common.bounded_batches(spark)
     return exact_dedup.drop_copies(docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies."""
+    common.bounded_batches(spark)
     return simhash.drop_near_copies(docs, shingle=3, max_distance=2)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
+    common.bounded_batches(spark)
     return decontaminate.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of what stayed."""
+    common.bounded_batches(spark)
     return queries.token_rows(docs)
 
 
