@@ -93,11 +93,11 @@ TITLES = "Mr|St|Mrs|Ms|Dr"
 SUFFIXES = "Inc|Ltd|Jr|Sr|Co"
 DOMAINS = "com|net|org|io|gov|edu|me"
 STARTERS = (
-    "Mr|Mrs|Ms|Dr|Prof|Capt|Cpt|Lt|He{s}|She{s}|It{s}|They{s}|Their{s}|Our{s}|We{s}|"
-    "But{s}|However{s}|That{s}|This{s}|Wherever"
-).replace("{s}", WS)
+    f"Mr|Mrs|Ms|Dr|Prof|Capt|Cpt|Lt|He{WS}|She{WS}|It{WS}|They{WS}|Their{WS}|Our{WS}|We{WS}|"
+    f"But{WS}|However{WS}|That{WS}|This{WS}|Wherever"
+)
 
-# Ordered rewrites; a protected full stop becomes <prd>, a sentence end <stop>.
+# Ordered rewrites; a protected full stop becomes <prd>, a sentence end <stop>.
 SENTENCE_RULES = [
     (rf"({TITLES})[.]", "$1<prd>"),
     (rf"[.]({DOMAINS})", "<prd>$1"),

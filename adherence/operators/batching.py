@@ -2,55 +2,48 @@
 
 import math
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from adherence.functions.text import WS, strip
+from adherence.functions.text import NOT_WS, WS, strip
 from adherence.operators.chat import MAX_SEQ_LENGTH, token_count
-
-ROWS_PER_BLOCK = 1_000_000
-MAX_BLOCKS = 10_000
-
+from adherence.session import written
 
 def first_rows(rows: DataFrame, n, order) -> DataFrame:
     """The first `n` rows in dataset order; 0 or None means all."""
     return rows.orderBy(order).limit(n) if n else rows
 
 
-def with_position(rows: DataFrame, order, out="position", rows_per_block=ROWS_PER_BLOCK) -> DataFrame:
-    """Number the rows 0, 1, ... by a numeric, unique `order` column.
+def with_position(rows: DataFrame, order, out="position", rows_per_block=None) -> DataFrame:
+    """Number the rows 0, 1, ... by an `order` column of any sortable type, nulls first;
+    equal keys are numbered in some order.
 
-    Rows are cut into blocks of about equal size at quantiles of `order`, numbered
-    within their block, and moved up by the sizes of the blocks before. The block
-    sizes (at most MAX_BLOCKS numbers) are all that is broadcast. The numbers do
-    not depend on where the cuts fall.
+    The rows are range-partitioned once, sorted, and written to the shared folder with
+    their place in their partition; a partition's count (one number each) moves it up
+    by those before. `rows_per_block` asks for partitions of about that size, else
+    Spark's own number stands; the result does not depend on it.
     """
-    n = rows.count()
-    blocks = min(MAX_BLOCKS, math.ceil(n / rows_per_block))
-    cuts = []
-    if blocks > 1:
-        shares = [i / blocks for i in range(1, blocks)]
-        cuts = sorted(set(rows.approxQuantile(order, shares, 0.1 / blocks)))
-    if cuts:
-        splits = [float("-inf"), *cuts, float("inf")]
-        cut = rows.withColumn("_order", F.col(order).cast("double"))
-        blocked = Bucketizer(splits=splits, inputCol="_order", outputCol="_block").transform(cut)
-    else:
-        blocked = rows.withColumn("_order", F.lit(0.0)).withColumn("_block", F.lit(0.0))
-    within = Window.partitionBy("_block").orderBy(order)
+    key = F.col(order).asc_nulls_first()
+    dealt = rows.repartitionByRange(key)
+    if rows_per_block:
+        dealt = rows.repartitionByRange(max(1, math.ceil(rows.count() / rows_per_block)), key)
+    # the id holds the partition in its upper bits, the place in the partition below
+    placed = written(
+        dealt.sortWithinPartitions(key).withColumn("_at", F.monotonically_increasing_id())
+        .withColumn("_block", F.shiftright("_at", 33)).withColumn("_n", F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))),
+        "positions",
+    )
     before = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = blocked.groupBy("_block").count().select(
+    starts = placed.groupBy("_block").count().select(
         "_block", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_start")
     )
     return (
-        blocked.withColumn("_n", F.row_number().over(within) - 1)
-        .join(F.broadcast(starts), "_block")
+        placed.join(F.broadcast(starts), "_block")
         .withColumn(out, (F.col("_start") + F.col("_n")).cast("bigint"))
-        .drop("_order", "_block", "_n", "_start")
+        .select(*rows.columns, out)
     )
 
 
-def prompt_batches(rows: DataFrame, batch_size, order, rows_per_block=ROWS_PER_BLOCK) -> DataFrame:
+def prompt_batches(rows: DataFrame, batch_size, order, rows_per_block=None) -> DataFrame:
     """Consecutive prompts in batches of `batch_size`."""
     placed = with_position(rows, order, rows_per_block=rows_per_block)
     return placed.withColumn("batch_id", F.floor(F.col("position") / batch_size))
@@ -73,11 +66,13 @@ def batch_padding(batches: DataFrame, text="text") -> DataFrame:
 
 
 def truncate_tokens(text, max_tokens=MAX_SEQ_LENGTH) -> Column:
-    """The text cut to a budget of white-space tokens; within it, unchanged."""
-    pieces = F.split(strip(text), f"{WS}+", -1)
-    return F.when(F.size(pieces) <= max_tokens, text).otherwise(
-        F.array_join(F.slice(pieces, 1, max_tokens), " ")
-    )
+    """The text up to the end of its `max_tokens`-th white-space token; what stays is
+    unchanged, white space included."""
+    tokens = F.split(strip(text), f"{WS}+", -1)
+    gaps = F.split(strip(text), f"{NOT_WS}+", -1)  # the first stands before the first token and is empty
+    kept = F.zip_with(F.slice(gaps, 1, max_tokens), F.slice(tokens, 1, max_tokens), lambda g, w: F.concat(g, w))
+    lead = F.regexp_extract(text, rf"\A{WS}*", 0)
+    return F.when(F.size(tokens) <= max_tokens, text).otherwise(F.concat(lead, F.array_join(kept, "")))
 
 
 def throughput(tokens, seconds) -> Column:

@@ -57,7 +57,8 @@ TURNS_PER_PART = 1024
 
 def conversation_text(turns: DataFrame, use_chat=True, template=TEMPLATE,
                       turns_per_part=TURNS_PER_PART) -> DataFrame:
-    """Each conversation as text, a leading system message first.
+    """Each conversation as text, in the order of its turns; a system message that
+    opens it comes first, a later one stays where it is.
 
     A conversation longer than `turns_per_part` turns comes in several numbered
     parts whose texts follow each other, so no group is ever larger than that.
@@ -66,11 +67,8 @@ def conversation_text(turns: DataFrame, use_chat=True, template=TEMPLATE,
     """
     part = F.floor(F.col("turn") / turns_per_part)
     first = turns.groupBy("conv_id").agg(F.min("turn").alias("_first"))
-    # sorted by turn, the system message of a conversation leads its part
     grouped = turns.groupBy("conv_id", part.alias("part")).agg(
-        F.array_sort(F.collect_list(F.struct(
-            (F.col("role") != "system").alias("later"), "turn", "role", "text"
-        ))).alias("messages"),
+        F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("messages"),
         F.min("turn").alias("_from"),
     )
     if not use_chat:
@@ -94,31 +92,24 @@ MAX_NEW_TOKENS = 512
 
 
 def trim_history(turns: DataFrame, keep_last=KEEP_LAST, budget=MAX_SEQ_LENGTH - MAX_NEW_TOKENS) -> DataFrame:
-    """A conversation over the token budget keeps its system message and its last
-    messages; others stay as they are. `budget=None` trims every conversation.
+    """A conversation over the token budget keeps the system message that opens it and
+    its last messages; others stay as they are. `budget=None` trims every conversation.
 
-    The ranks are limited, so each task drops all but a few rows per
-    conversation before anything is shuffled.
+    Rows are ranked, never made distinct: rows that share a turn number all count. One
+    aggregation gives the tokens, one join brings them to the rows, and the ranks use
+    that join's partitioning.
     """
-    newest = Window.partitionBy("conv_id").orderBy(F.desc("turn"))
-    oldest = Window.partitionBy("conv_id").orderBy("turn")
-    columns = turns.columns
-
-    def shortened(rows):
-        last = rows.withColumn("_rank", F.row_number().over(newest)).where(F.col("_rank") <= keep_last)
-        first = (
-            rows.withColumn("_rank", F.row_number().over(oldest))
-            .where((F.col("_rank") <= 1) & (F.col("role") == "system"))
-        )
-        return last.select(*columns).union(first.select(*columns)).dropDuplicates(["conv_id", "turn"])
-
-    if budget is None:
-        return shortened(turns)
-    size = turns.groupBy("conv_id").agg(F.sum(token_count(F.col("text"))).alias("_tokens"))
-    over = size.where(F.col("_tokens") > budget).select("conv_id")
-    return shortened(turns.join(over, "conv_id", "left_semi")).union(
-        turns.join(over, "conv_id", "left_anti").select(*columns)
-    )
+    ties = ["role", "text"]
+    newest = Window.partitionBy("conv_id").orderBy(F.desc("turn"), *[F.desc(c) for c in ties])
+    oldest = Window.partitionBy("conv_id").orderBy("turn", *ties)
+    rows, stays = turns, F.lit(False)
+    if budget is not None:
+        size = turns.groupBy("conv_id").agg(F.sum(token_count(F.col("text"))).alias("_tokens"))
+        rows = turns.join(size, turns.conv_id.eqNullSafe(size.conv_id)).drop(size.conv_id)
+        stays = F.coalesce(F.col("_tokens") <= budget, F.lit(True))
+    ranked = rows.withColumn("_down", F.row_number().over(newest)).withColumn("_up", F.row_number().over(oldest))
+    opens = (F.col("_up") == 1) & (F.col("role") == "system")
+    return ranked.where(stays | (F.col("_down") <= keep_last) | opens).select(*turns.columns)
 
 
 def running_total(rows: DataFrame, key, order, value: Column, out, block=TURNS_PER_PART) -> DataFrame:
@@ -150,12 +141,11 @@ def history_segments(turns: DataFrame, reset="clear", block=TURNS_PER_PART) -> D
 
 
 def active_history(turns: DataFrame, reset="clear") -> DataFrame:
-    """Turns since the last reset; the system message is kept, the resets are not."""
-    segments = history_segments(turns, reset)
-    last = segments.groupBy("conv_id").agg(F.max("segment").alias("_last"))
-    is_reset = (F.col("role") == "user") & (F.lower(strip(F.col("text"))) == reset)
+    """Turns since the last reset; system messages are kept, the resets are not."""
+    is_reset = F.coalesce((F.col("role") == "user") & (F.lower(strip(F.col("text"))) == reset), F.lit(False))
+    last = turns.groupBy("conv_id").agg(F.max(F.when(is_reset, F.col("turn"))).alias("_last"))
+    since = F.col("_last").isNull() | (F.col("turn") > F.col("_last")) | (F.col("role") == "system")
     return (
-        segments.join(last, "conv_id")
-        .where(((F.col("segment") == F.col("_last")) & ~is_reset) | (F.col("role") == "system"))
-        .drop("segment", "_last")
+        turns.join(last, turns.conv_id.eqNullSafe(last.conv_id)).drop(last.conv_id)
+        .where(since & ~is_reset).select(*turns.columns)
     )

@@ -58,6 +58,7 @@ class Instruction:
     row_id: Column
     outcome: Column | None = None
     language: Column | None = None
+    languages: tuple = ()
     keyword_pool: tuple = tuple(DEFAULT_KEYWORD_POOL)
 
     def arg(self, name):
@@ -393,18 +394,32 @@ def _key_sentence_number(i, wanted):
 
 
 def _language(i):
-    wanted = i.choice("language", list(LANGUAGE_NAMES))
-    return F.coalesce(i.language == wanted, F.lit(True))
+    return F.coalesce(i.language == _wanted_language(i), F.lit(True))
 
 
 def _in_english(i):
     return F.coalesce(i.language == "en", F.lit(True))
 
 
-def _needs_language(i):
-    if i.language is None:
-        return F.lit("ValueError: no language model given")
-    return F.lit(None).cast("string")
+def _needs_language(wanted):
+    """A language the model does not know cannot be judged."""
+
+    def problem(i):
+        if i.language is None:
+            return F.lit("ValueError: no language model given")
+        code = wanted(i)
+        unknown = ~code.isin(list(i.languages)) if i.languages else F.lit(True)
+        return F.when(unknown, F.concat(F.lit("ValueError: language not in the model: "), code))
+
+    return problem
+
+
+def _wanted_language(i):
+    return i.choice("language", list(LANGUAGE_NAMES))
+
+
+def _english(i):
+    return F.lit("en")
 
 
 def _relation_and(*numbers, **kw):
@@ -428,7 +443,7 @@ _CHECKS = [
           problem=_bad_relation("let_relation"), defaulted=_letter_defaulted),
     Check("language:response_language", ("language",),
           lambda i: _language(i) if i.language is not None else F.lit(False),
-          problem=_needs_language, defaulted=_unset(null=("language",))),
+          problem=_needs_language(_wanted_language), defaulted=_unset(null=("language",))),
     Check("length_constraints:number_sentences", ("num_sentences", "relation"),
           lambda i: i.compare(t.sentence_count(i.text), i.number("num_sentences", 1, 20), i.relation()),
           problem=_bad_relation(), defaulted=_relation_and("num_sentences")),
@@ -474,10 +489,10 @@ _CHECKS = [
           defaulted=_unset(null=("capital_frequency", "capital_relation"))),
     Check("change_case:english_capital", (),
           lambda i: t.is_upper(i.text) & _in_english(i) if i.language is not None else F.lit(False),
-          problem=_needs_language),
+          problem=_needs_language(_english)),
     Check("change_case:english_lowercase", (),
           lambda i: t.is_lower(i.text) & _in_english(i) if i.language is not None else F.lit(False),
-          problem=_needs_language),
+          problem=_needs_language(_english)),
     Check("punctuation:no_comma", (), lambda i: ~F.contains(i.text, F.lit(","))),
     Check("startend:quotation", (), _quotation),
     # complete checks that are off unless asked for

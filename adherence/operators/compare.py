@@ -68,15 +68,18 @@ def compare_models(scored1: DataFrame, scored2: DataFrame, use_strict=True) -> D
     return compare_stats(level_stats(type_stats(sides, ("side",)), ("side",)), use_strict)
 
 
-def compare_stats(levels: DataFrame, use_strict=True) -> DataFrame:
+def compare_stats(levels: DataFrame, use_strict=True, with_stats=False) -> DataFrame:
+    """Comparison rows out of level statistics by `side`; with_stats keeps both sides' counts."""
     passed = F.col("strict_pass" if use_strict else "loose_pass")
 
     def side(n, value):
         return F.coalesce(F.sum(F.when(F.col("side") == n, value)), F.lit(0))
 
+    counts = F.struct("strict_pass", "loose_pass", "total")
     both = levels.groupBy("level", "category", "inst_id").agg(
         side(1, passed).alias("p1"), side(1, F.col("total")).alias("t1"),
         side(2, passed).alias("p2"), side(2, F.col("total")).alias("t2"),
+        *[F.max(F.when(F.col("side") == n, counts)).alias(f"stats{n}") for n in (1, 2)],
     )
     both = both.withColumns(
         {
@@ -90,6 +93,7 @@ def compare_stats(levels: DataFrame, use_strict=True) -> DataFrame:
         F.concat_ws("/", "p1", "t1").alias("model1_count"),
         F.concat_ws("/", "p2", "t2").alias("model2_count"),
         "diff", winner(F.col("diff"), F.col("level")).alias("winner"),
+        *(["stats1", "stats2"] if with_stats else []),
     )
 
 
@@ -110,36 +114,34 @@ def wins(comparison: DataFrame) -> DataFrame:
     )
 
 
-def comparison_document(comparison: DataFrame, levels: DataFrame, name1, name2) -> DataFrame:
-    """The comparison as one nested row: per model its statistics by type and by
-    category and the overall accuracy, and the list of type comparisons.
+def comparison_document(comparison: DataFrame, name1, name2, known_ids) -> DataFrame:
+    """The comparison (with its counts) as one nested row, by one aggregation: per model
+    its statistics by type and by category and the overall accuracy, and the list of
+    type comparisons.
 
-    One entry per instruction type is all that is gathered."""
-    stat = F.struct("strict_pass", "loose_pass", "total")
+    `known_ids` are the instruction types of the registry. Other ids are user data
+    without a bound; they stay in the comparison rows and count in the categories' and
+    overall figures, but are not listed here."""
+    known = F.col("instruction_type").isin(list(known_ids))
+    categories = sorted({i.split(":")[0] for i in known_ids})
+    types = (F.col("level") == TYPE_LEVEL) & known
+    by_category = (F.col("level") == CATEGORY_LEVEL) & F.col("category").isin(categories)
+
+    def entries(wanted, key, n):
+        return F.map_from_entries(F.array_sort(F.collect_list(F.when(
+            wanted & F.col(f"stats{n}").isNotNull(),
+            F.struct(F.col(key).alias("key"), F.col(f"stats{n}").alias("value"))))))
 
     def model(n, name):
-        entry = lambda level, key: F.map_from_entries(
-            F.array_sort(F.collect_list(F.when(
-                (F.col("side") == n) & (F.col("level") == level),
-                F.struct(F.col(key).alias("key"), stat.alias("value")),
-            )))
-        )
-        overall = F.coalesce(
-            F.max(F.when((F.col("side") == n) & (F.col("level") == OVERALL_LEVEL), F.col("strict_acc"))),
-            F.lit(0.0),
-        )
+        overall = F.max(F.when(F.col("level") == OVERALL_LEVEL, F.col(f"model{n}_acc")))
         return F.struct(
-            F.lit(name).alias("name"),
-            entry(TYPE_LEVEL, "inst_id").alias("by_type"),
-            entry(CATEGORY_LEVEL, "category").alias("by_category"),
-            overall.alias("overall"),
+            F.lit(name).alias("name"), entries(types, "instruction_type", n).alias("by_type"),
+            entries(by_category, "category", n).alias("by_category"),
+            F.coalesce(overall, F.lit(0.0)).alias("overall"),
         )
 
-    models = levels.agg(model(1, name1).alias("model1"), model(2, name2).alias("model2"))
-    rows = comparison.where(F.col("level") == TYPE_LEVEL).agg(
-        F.array_sort(F.collect_list(F.struct(
-            "instruction_type", "model1_acc", "model2_acc", "model1_count", "model2_count",
-            "diff", "winner",
-        ))).alias("comparison")
+    row = F.struct("instruction_type", "model1_acc", "model2_acc", "model1_count", "model2_count", "diff", "winner")
+    return comparison.agg(
+        model(1, name1).alias("model1"), model(2, name2).alias("model2"),
+        F.array_sort(F.collect_list(F.when(types, row))).alias("comparison"),
     )
-    return models.join(rows)  # one row each

@@ -5,6 +5,7 @@ from pyspark.sql import Column, functions as F
 from adherence.functions import text as t
 from adherence.functions.draws import draw_between
 from adherence.operators import checks as k
+from adherence.schemas import NUMBERS
 
 # The wording of the instructions.
 TEMPLATES = {
@@ -84,6 +85,13 @@ TEMPLATES = {
 }
 
 
+def spelled(number) -> Column:
+    """A whole number without a point."""
+    number = number.cast("double")
+    whole = number == F.floor(number)
+    return F.when(whole, number.cast("bigint").cast("string")).otherwise(number.cast("string"))
+
+
 def fill(template, **values) -> Column:
     """The template with its {names} replaced by columns."""
     parts, rest = [], template
@@ -170,7 +178,7 @@ def _describer(inst_id, template):
             values["num_sentences"] = (
                 _key_sentence_number(i) if key else i.number("num_sentences", 1, 20)
             )
-        return fill(template, **values)
+        return fill(template, **{n: spelled(v) if n in NUMBERS else v for n, v in values.items()})
 
     return describe
 

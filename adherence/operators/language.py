@@ -1,8 +1,10 @@
 """Language identification: a naive Bayes model over character trigrams.
 
-Training counts trigrams over the labelled texts with one aggregation; the most
-frequent ones, with a number per language, make the model. Applying it is row-local, so nothing is shuffled; rows without a text to judge cost an
-empty array. The model is bounded by `vocab_size` x number of languages.
+Training counts trigrams over a bounded sample of labelled texts (`sample_rows`, by a
+hash of the text; all rows where there are no more) with one aggregation, and keeps
+every trigram of the sample. Applying the model is row-local, so nothing is shuffled;
+rows without a text to judge cost an empty array. The model is bounded by the trigrams
+of the sample x number of languages.
 """
 
 from __future__ import annotations
@@ -14,7 +16,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 # Addresses say nothing about the language around them.
 ADDRESS = r"https?://[-_.?&~;+=/#0-9A-Za-z]+|[-_.0-9A-Za-z]+@[-_0-9A-Za-z]+[-_.0-9A-Za-z]+"
-VOCAB_SIZE = 1 << 16
+# Labelled rows a model is fitted on, in expectation.
+SAMPLE_ROWS = 200_000
+# A model has a number per language and trigram; more labels than this are an error.
+MAX_LANGUAGES = 1_000
 
 
 def clean(text) -> Column:
@@ -31,29 +36,30 @@ class LanguageModel:
         self.labels, self.terms, self.bayes = labels, terms, bayes
 
     @classmethod
-    def fit(cls, labelled: DataFrame, text="text", label="lang", vocab_size=VOCAB_SIZE) -> "LanguageModel":
+    def fit(cls, labelled: DataFrame, text="text", label="lang", sample_rows=SAMPLE_ROWS) -> "LanguageModel":
         rows = labelled.select(F.col(label).alias("_label"), F.col(text).alias("_text")).where(
             F.col("_label").isNotNull()
         )
-        texts = {r["_label"]: r["count"] for r in rows.groupBy("_label").count().collect()}
+        share = sample_rows / max(1, rows.count())
+        if share < 1:
+            rows = rows.where(F.pmod(F.xxhash64("_text"), F.lit(1 << 40)) < int(share * (1 << 40)))
+        texts = {r["_label"]: r["count"] for r in rows.groupBy("_label").count().limit(MAX_LANGUAGES + 1).collect()}
+        if len(texts) > MAX_LANGUAGES:
+            raise ValueError(f"more than {MAX_LANGUAGES} languages")
         names = sorted(texts)
         # counted per task before the shuffle; the outer form as in scoring.unnest
         grams = rows.select("_label", F.explode_outer(trigrams(clean(F.col("_text")))).alias("_gram"))
         counts = (
             grams.where(F.col("_gram").isNotNull())
             .groupBy("_gram", "_label").count()
-            .groupBy("_gram").pivot("_label", names).agg(F.sum("count"))
-            .na.fill(0, names)
-        )
-        total = sum((F.col(f"`{n}`") for n in names), F.lit(0))
-        top = counts.orderBy(total.desc(), "_gram").limit(vocab_size).collect()
-
-        # from here on: vocabulary x languages numbers
-        vocabulary = [r["_gram"] for r in top]
-        sums = [
-            (float(y), float(texts[n]), Vectors.dense([r[n] / texts[n] for r in top]))
-            for y, n in enumerate(names)
-        ]
+        ).collect()
+
+        # from here on: trigrams of the sample x languages numbers
+        vocabulary = sorted({r["_gram"] for r in counts})
+        place, means = {g: k for k, g in enumerate(vocabulary)}, {n: [0.0] * len(vocabulary) for n in names}
+        for r in counts:
+            means[r["_label"]][place[r["_gram"]]] = r["count"] / texts[r["_label"]]
+        sums = [(float(y), float(texts[n]), Vectors.dense(means[n])) for y, n in enumerate(names)]
         spark = labelled.sparkSession
         bayes = NaiveBayes(
             featuresCol="_counts", labelCol="_y", predictionCol="_best", weightCol="_texts",
@@ -65,6 +71,11 @@ class LanguageModel:
             bayes,
         )
 
+    @property
+    def names(self) -> list:
+        """The languages the model knows."""
+        return list(self.labels.labels)
+
     def detect(self, rows: DataFrame, text: Column, out="detected") -> DataFrame:
         """Add the language of `text`; null where the text shows none."""
         grams = F.coalesce(trigrams(F.col("_clean")), F.array().cast("array<string>"))

@@ -89,6 +89,7 @@ def run_metrics(results: DataFrame) -> DataFrame:
     return results.select(
         "file",
         _metric_map(
+            # Metric names of the tracking tables.
             ("ifeval/prompt_strict_acc", accuracy_of("prompt_level_strict_acc")),
             ("ifeval/prompt_loose_acc", accuracy_of("prompt_level_loose_acc")),
             ("ifeval/inst_strict_acc", accuracy_of("inst_level_strict_acc")),
@@ -120,6 +121,7 @@ def run_summaries(results: DataFrame) -> DataFrame:
 def flat_metrics(accuracies, generation_seconds, scoring_seconds, gpu_memory_gb) -> Column:
     """The `metrics_flat` map of a result document. `accuracies` maps names to columns."""
     return _metric_map(
+        # Metric names of the exchange format.
         *[(f"ifeval/{n}", c) for n, c in accuracies.items()],
         ("timing/generation_seconds", generation_seconds),
         ("timing/scoring_seconds", scoring_seconds),

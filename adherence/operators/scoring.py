@@ -10,8 +10,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark import SparkContext
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from adherence.functions.python_checks import decide_tasks, no_task
 from adherence.operators.checks import (
@@ -23,6 +22,7 @@ from adherence.operators.checks import (
 )
 from adherence.schemas import args_ddl
 
+END_OF_ARGS = "\u241fend of arguments"
 ROW_KEYS = ["run_file", "sample_pos"]
 
 
@@ -38,7 +38,7 @@ class ScoringOptions:
     def columns(self, name, build):
         """Column trees are built once per options and session; they refer to
         input columns by name only."""
-        key = (name, id(SparkContext._active_spark_context))
+        key = (name, SparkSession.active().sparkContext.applicationId)
         if key not in self._columns:
             self._columns[key] = build(self)
         return self._columns[key]
@@ -52,10 +52,14 @@ def category(inst_id) -> Column:
 
 
 def parse_args(kwargs, extra=None) -> Column:
-    """Arguments of one instruction; anything but a JSON object means none."""
+    """Arguments of one instruction; anything but one JSON object means none. The text is
+    also read as the first of two array elements: whatever follows the object keeps the
+    second from being the mark that was put there."""
     options = {"allowSingleQuotes": "false", "mode": "PERMISSIVE"}
     parsed = F.from_json(kwargs, args_ddl(extra), options)
-    whole = F.rlike(kwargs, F.lit(r"\A\s*\{[\s\S]*\}\s*\z"))
+    marked = F.concat(F.lit("["), kwargs, F.lit(f',"{END_OF_ARGS}"]'))
+    elements = F.from_json(marked, "array<string>", options)
+    whole = F.rlike(kwargs, F.lit(r"\A\s*\{")) & (F.size(elements) == 2) & (F.get(elements, F.lit(1)) == END_OF_ARGS)
     return F.when(whole, parsed)
 
 
@@ -102,8 +106,9 @@ def _view(x, options, outcome=None) -> Instruction:
         F.col("sample_pos").cast("string"), x["inst_pos"].cast("string"),
     )
     return Instruction(
-        text=F.col("response"), args=x["args"], raw=x["raw"], row_id=row_id, outcome=outcome,
+        text=F.col("response"), args=x["args"], raw=F.when(x["args"].isNotNull(), x["raw"]), row_id=row_id, outcome=outcome,
         language=None if options.language_model is None else F.col("_language"),
+        languages=() if options.language_model is None else tuple(options.language_model.names),
         keyword_pool=tuple(options.keyword_pool),
     )
 
@@ -245,7 +250,8 @@ def accepted_args(samples: DataFrame, registry: DataFrame, options=None) -> Data
     """Per instruction: whether the registry knows it, and which of the given
     argument names it takes. The registry is a small fixed table."""
     rows = parsed_instructions(samples, options)
-    given = F.coalesce(F.json_object_keys("raw"), F.array().cast("array<string>"))
+    valid = F.when(F.col("args").isNotNull(), F.col("raw"))
+    given = F.coalesce(F.json_object_keys(valid), F.array().cast("array<string>"))
     return rows.join(F.broadcast(registry), "inst_id", "left").select(
         *ROW_KEYS, "inst_pos", "inst_id",
         F.coalesce("enabled", F.lit(False)).alias("known"),

@@ -32,17 +32,33 @@ def score_job(spark: SparkSession, samples: DataFrame, out=None, options=None, k
     return Scored(outcomes, scoring.accuracy(outcomes), compare.level_stats(stats))
 
 
-def compare_job(outcomes1: DataFrame, outcomes2: DataFrame, name1, name2, use_strict=True):
-    """Comparison rows, tally of wins and the nested document of two scored models."""
+def compare_responses_job(spark: SparkSession, path1, path2, out=None, options=None, use_strict=True):
+    """The comparison straight from two responses documents, under their models' names.
+    Each is scored once, and the outcomes are written."""
+    scored, names = [], []
+    for n, path in enumerate((path1, path2), 1):
+        found = documents.read_responses(spark, path)
+        name = found.agg(F.min("display_name")).first()[0]
+        names.append(name if name is not None else f"model{n}")
+        samples = documents.laid_out(documents.samples_of(found), "samples")
+        scored.append(score_job(spark, samples, out and f"{out.rstrip('/')}/model{n}", options).outcomes)
+    registry = (options or scoring.ScoringOptions()).registry
+    return compare_job(*scored, *names, use_strict, [c.inst_id for c in registry])
+
+
+def compare_job(outcomes1: DataFrame, outcomes2: DataFrame, name1, name2, use_strict=True, known_ids=None):
+    """Comparison rows, tally of wins and the nested document of two scored models
+    (outcomes as score_job writes them)."""
+    known_ids = known_ids or [c.inst_id for c in scoring.default_registry()]
     sides = outcomes1.select(F.lit(1).alias("side"), "scores").unionByName(
         outcomes2.select(F.lit(2).alias("side"), "scores")
     )
     levels = compare.level_stats(compare.type_stats(sides, ("side",)), ("side",))
-    rows = compare.compare_stats(levels, use_strict)
+    rows = compare.compare_stats(levels, use_strict, with_stats=True)
     return (
-        compare.sorted_comparison(rows),
+        compare.sorted_comparison(rows.drop("stats1", "stats2")),
         compare.wins(rows),
-        compare.comparison_document(rows, levels, name1, name2),
+        compare.comparison_document(rows, name1, name2, known_ids),
     )
 
 

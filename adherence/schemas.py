@@ -3,38 +3,42 @@
 # The optional arguments an instruction may carry.
 ARG_TYPES = {
     "language": "string",
-    "num_sentences": "bigint",
+    "num_sentences": "double",
     "relation": "string",
-    "num_placeholders": "bigint",
-    "num_bullets": "bigint",
+    "num_placeholders": "double",
+    "num_bullets": "double",
     "starter": "string",
-    "num_highlights": "bigint",
+    "num_highlights": "double",
     "section_spliter": "string",
-    "num_sections": "bigint",
-    "num_paragraphs": "bigint",
+    "num_sections": "double",
+    "num_paragraphs": "double",
     "postscript_marker": "string",
     "original_message": "string",
     "keywords": "array<string>",
     "keyword": "string",
-    "frequency": "bigint",
-    "num_words": "bigint",
-    "nth_paragraph": "bigint",
+    "frequency": "double",
+    "num_words": "double",
+    "nth_paragraph": "double",
     "first_word": "string",
     "key_sentences": "array<string>",
     "forbidden_words": "array<string>",
     "original_paragraph": "string",
-    "low": "bigint",
-    "high": "bigint",
+    "low": "double",
+    "high": "double",
     "prompt_to_repeat": "string",
     "end_phrase": "string",
     "letter": "string",
-    "let_frequency": "bigint",
+    "let_frequency": "double",
     "let_relation": "string",
-    "capital_frequency": "bigint",
+    "capital_frequency": "double",
     "capital_relation": "string",
 }
 
 
+# A number may be written as 2, 2.0 or 2.5; texts are no numbers.
+NUMBERS = [name for name, kind in ARG_TYPES.items() if kind == "double"]
+
+
 def args_ddl(extra=None):
     return ", ".join(f"`{k}` {t}" for k, t in {**ARG_TYPES, **(extra or {})}.items())
 

@@ -1,6 +1,6 @@
 """Session settings the jobs rely on; everything else is left to the cluster."""
 
-import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -34,18 +34,17 @@ def local_session(app="adherence", cpus="*", shuffle_partitions=8, memory="8g",
     return spark
 
 
-_LOCAL_FOLDERS = {}
-
-
 def checkpoint_dir(spark):
-    """The shared folder named by spark.checkpoint.dir. Only where it is unset, in a
-    local test session, a fresh temporary folder stands in."""
+    """The shared folder named by spark.checkpoint.dir; there is no other place for
+    intermediate tables."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a shared folder on a cluster")
-        session = spark.sparkContext.applicationId
-        if session not in _LOCAL_FOLDERS:
-            _LOCAL_FOLDERS[session] = tempfile.mkdtemp(prefix="adherence-")
-        shared = _LOCAL_FOLDERS[session]
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     return shared.rstrip("/")
+
+
+def written(rows, label):
+    """`rows`, written once to the shared folder and read back."""
+    path = f"{checkpoint_dir(rows.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)

@@ -4,28 +4,35 @@ A JSON document is read by one task, so ingest runs are wide in files, and their
 rows go to Parquet (sinks.write_samples) before the heavy work.
 """
 
+import uuid
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from adherence import schemas
 from adherence.operators.batching import first_rows
 from adherence.operators.runs import display_name
+from adherence.session import checkpoint_dir
 
 CORRUPT = "_corrupt_record"
 
 
 def _read_json(spark, path, ddl):
-    """All documents under `path`, malformed ones marked; none if it is missing."""
-    schema = f"{ddl}, `{CORRUPT}` string"
+    """All documents under `path`, malformed ones marked; none if it is missing. One
+    document is one file, by its own name or in a folder named after it (sinks)."""
+    schema = f"{ddl}, document string, `{CORRUPT}` string"
     reader = spark.read.schema(schema).option("multiLine", True).option(
         "columnNameOfCorruptRecord", CORRUPT
     )
+    if "*" in path:
+        reader = reader.option("basePath", path.rsplit("/", 1)[0])
     try:
-        return reader.json(path).select("*", F.col("_metadata.file_name").alias("file"))
+        return reader.json(path).withColumn(
+            "file", F.coalesce("document", F.col("_metadata.file_name"))).drop("document")
     except AnalysisException as problem:
         if problem.getCondition() != "PATH_NOT_FOUND":
             raise
-        return spark.createDataFrame([], f"{schema}, file string")
+        return spark.createDataFrame([], f"{ddl}, `{CORRUPT}` string, file string")
 
 
 def parse_documents(texts: DataFrame, ddl, value="value") -> DataFrame:
@@ -49,11 +56,16 @@ def named(documents: DataFrame) -> DataFrame:
     return documents.withColumn("display_name", display_name())
 
 
-def spread(rows: DataFrame) -> DataFrame:
-    """Deal the rows out when the input has fewer splits than there are cores (one
-    JSON document is one split, as is a small file). A large input stays as it is."""
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+ROWS_PER_FILE = 500
+
+
+def laid_out(rows: DataFrame, label="rows", rows_per_file=ROWS_PER_FILE) -> DataFrame:
+    """The rows, written once to the shared folder in files of at most `rows_per_file`
+    and read back. For inputs that come in one piece (a JSON document, a Parquet file of
+    one row group): the scan of many files has many tasks, and no text is shuffled."""
+    path = f"{checkpoint_dir(rows.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    rows.write.option("maxRecordsPerFile", rows_per_file).parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
 def samples_of(documents: DataFrame) -> DataFrame:

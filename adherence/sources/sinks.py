@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from adherence.operators.runs import document_name, flat_metrics
 
-SAMPLES_PER_DOCUMENT = 10_000
+BYTES_PER_DOCUMENT = 64 << 20
 RUN_KEYS = ["run_name", "precision", "timestamp"]
 
 
@@ -13,17 +13,21 @@ def write_samples(samples: DataFrame, path, mode="append"):
     samples.write.mode(mode).partitionBy(*RUN_KEYS).parquet(path)
 
 
-def responses_documents(samples: DataFrame, per_document=SAMPLES_PER_DOCUMENT) -> DataFrame:
+def responses_documents(samples: DataFrame, bytes_per_document=BYTES_PER_DOCUMENT) -> DataFrame:
     """Samples (with `config` and `metadata` structs) as nested documents.
 
-    A run with more than `per_document` samples is written as several numbered
-    documents, so no row grows with the run."""
-    part = F.floor(F.col("sample_pos") / per_document)
-    docs = samples.groupBy("config", "metadata", part.alias("part")).agg(
-        F.array_sort(F.collect_list(F.struct(
-            "sample_pos", F.struct("key", "prompt", "response", "instruction_id_list", "kwargs").alias("s")
-        ))).alias("_s")
-    )
+    A run of more bytes than `bytes_per_document` comes in as many numbered documents
+    of about that size, in the order of its samples; the first has the run's name."""
+    keys = ["config", "metadata"]
+    sample = F.struct("key", "prompt", "response", "instruction_id_list", "kwargs")
+    size = F.octet_length(F.concat_ws("", F.col("prompt"), F.col("response"), F.array_join("kwargs", ""))) + 100
+    sizes = samples.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(
+        F.ceil(F.sum(size) / bytes_per_document).alias("_parts"), (F.max("sample_pos") + 1).alias("_end"))
+    part = F.floor(F.col("sample_pos") * F.col("_parts") / F.col("_end"))
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+    sized = samples.join(sizes, same).select(*keys, "sample_pos", part.alias("part"), sample.alias("s"))
+    docs = sized.groupBy(*keys, "part").agg(
+        F.array_sort(F.collect_list(F.struct("sample_pos", "s"))).alias("_s"))
     name = document_name("metadata.run_name", "config.precision", "metadata.timestamp")
     numbered = F.regexp_replace(name, r"\.json$", F.concat(F.lit("."), F.col("part"), F.lit(".json")))
     return docs.select(
@@ -32,14 +36,19 @@ def responses_documents(samples: DataFrame, per_document=SAMPLES_PER_DOCUMENT) -
     )
 
 
-def result_documents(accuracies: DataFrame, runs: DataFrame, timestamp, scoring_seconds) -> DataFrame:
+def result_documents(accuracies: DataFrame, runs: DataFrame, timestamp, scoring_seconds, scored=None) -> DataFrame:
     """One nested result per run. `accuracies` has a row per run_file, `runs` the
-    run's `config` and `metadata` next to run_file; a run without samples scores 0."""
+    run's `config` and `metadata` next to run_file; a run without samples scores 0.
+    With `scored` (samples kept with their texts) each holds its scored samples."""
     acc = lambda n: F.coalesce(F.col(n), F.lit(0.0))
     names = ["inst_level_strict_acc", "inst_level_loose_acc", "prompt_level_strict_acc", "prompt_level_loose_acc"]
     generation, scoring = F.col("metadata.generation_time_seconds"), scoring_seconds
     gpu = F.col("metadata.gpu_memory_gb")
     joined = runs.join(accuracies.select("run_file", *names), "run_file", "left")
+    inside = []
+    if scored is not None:
+        joined = joined.join(samples_by_run(scored), "run_file", "left")
+        inside = ["scored_samples"]
     return joined.select(
         document_name("metadata.run_name", "config.precision", timestamp).alias("document"),
         F.struct(
@@ -58,6 +67,7 @@ def result_documents(accuracies: DataFrame, runs: DataFrame, timestamp, scoring_
         ).alias("timing"),
         F.struct(F.struct(*[acc(n).alias(n) for n in names]).alias("ifeval")).alias("results"),
         flat_metrics({n: acc(n) for n in names}, generation, scoring, gpu).alias("metrics_flat"),
+        *inside,
     )
 
 
@@ -69,8 +79,28 @@ def scored_sample_rows(scored: DataFrame) -> DataFrame:
     )
 
 
-def write_documents(documents: DataFrame, path, mode="append"):
-    documents.write.mode(mode).json(path)
+def samples_by_run(scored: DataFrame) -> DataFrame:
+    """The scored samples of each run in order, as one array: an exchange format for
+    runs that fit a document, tables (write_table) are for the others."""
+    rows = scored_sample_rows(scored)
+    sample = F.struct("sample_pos", *[c for c in rows.columns if c not in {"run_file", "sample_pos"}])
+    return rows.groupBy("run_file").agg(F.array_sort(F.collect_list(sample)).alias("scored_samples"))
+
+
+def training_metadata_documents(runs: DataFrame) -> DataFrame:
+    """Training runs (base_model, precision, dataset, samples, loss, ...) as documents
+    named after the model and its time."""
+    name = F.concat_ws("_", F.lit("training_metadata"), F.regexp_replace("base_model", "/", "_"), "precision", "timestamp")
+    return runs.withColumn("document", F.concat(name, F.lit(".json")))
+
+
+def write_documents(documents: DataFrame, path, mode="overwrite"):
+    """One file per row, in a folder named after its `document`; a document written
+    again replaces itself, others stay. The readers of documents.py give the name back."""
+    writer = documents.write.mode(mode).option("maxRecordsPerFile", 1)
+    if "document" in documents.columns:
+        writer = writer.partitionBy("document").option("partitionOverwriteMode", "dynamic")
+    writer.json(path)
 
 
 def write_table(rows: DataFrame, path, mode="overwrite"):

@@ -6,10 +6,8 @@
 Formulated on their own: string functions and RE2 patterns, no look-around.
 """
 
-from adherence.functions.text import (
-    ABBREVIATIONS, CLOSERS, DOMAINS, SENTENCE_QUOTES, SPACES, SUFFIXES, TITLES,
-)
-from adherence.operators import checks as k
+from registered import expected as k
+from registered.expected import ABBREVIATIONS, CLOSERS, DOMAINS, SENTENCE_QUOTES, SPACES, SUFFIXES, TITLES
 
 
 def lit(text):
@@ -38,7 +36,7 @@ def text(name):
 
 
 def number(name):
-    return f"CAST({text(name)} AS BIGINT)"
+    return f"CAST({text(name)} AS DOUBLE)"
 
 
 def words(name):
@@ -213,7 +211,7 @@ def _nth():
            f"THEN {between('nth_paragraph', 1, f'({total}) + 1')} ELSE {given} END")
     wanted = f"lower(coalesce({text('first_word')}, ({sampled('first_word', 1)})[1]))"
     full = f"len(list_filter(p, lambda q: {strip('q')} <> ''))"
-    paragraph = strip(f"p[{nth}]")
+    paragraph = strip(f"p[CAST(floor({nth}) AS BIGINT)]")
     token = f"regexp_extract({paragraph}, {lit('^[^' + SPACES + ']+')})"
     token = f"ltrim(ltrim({token}, ''''), '\"')"
     first = f"lower(regexp_extract({token}, {lit('^[^.,?!' + chr(39) + chr(34) + ']*')}))"
@@ -266,6 +264,7 @@ def _key_sentences():
 
 
 WS1 = "[" + SPACES + "]"
+NOT_WS1 = "[^" + SPACES + "]"
 CHANGE = r"\*[^\n]*\*"
 
 # id: (passes, cannot be checked, argument was drawn)
@@ -286,7 +285,8 @@ CHECKS = {
         bad_rel("let_relation"),
         f"NOT coalesce(regexp_matches(lower({text('letter')}), '^[a-z]$'), FALSE) OR {unset('let_frequency')} OR {text('let_relation')} IS NULL"),
     "language:response_language": (
-        f"coalesce(det = {choice('language', list(k.LANGUAGE_NAMES))}, TRUE)", "FALSE", f"{text('language')} IS NULL"),
+        f"coalesce(det = {choice('language', list(k.LANGUAGE_NAMES))}, TRUE)",
+        f"{choice('language', list(k.LANGUAGE_NAMES))} NOT IN (SELECT lang FROM documents)", f"{text('language')} IS NULL"),
     "length_constraints:number_sentences": (
         compare(sentence_count("v"), num("num_sentences", 1, 20), rel()),
         bad_rel(), f"{unset('num_sentences')} OR {text('relation')} IS NULL"),

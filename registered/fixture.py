@@ -46,8 +46,8 @@ SHAPES = """CASE (doc_id + {shift}) % 26
     WHEN 19 THEN body || '******' || body
     WHEN 20 THEN body || ' Any other questions?'
     WHEN 21 THEN 'My answer is yes. ' || body
-    WHEN 22 THEN {digits}
-    WHEN 23 THEN ''
+    WHEN 22 THEN '12345 67890 ' || body
+    WHEN 23 THEN body || chr(10) || chr(10) || body
     WHEN 24 THEN '   ' || body || '  ' || chr(10)
     ELSE 'Mr. Smith paid 3.50 to Acme Inc. He left... Really? "Yes!" Dr. A. B. Lee, Ph.D. saw www.a.com. IT WAS WELL-KNOWN. I DON' || chr(39) || 'T. ' || body
   END"""
@@ -130,7 +130,8 @@ def args_sql(inst_id, dialect):
         "length_constraints:number_sentences": lambda: optional(
             j(("num_sentences", "doc_id % 60", False), relation), j(("num_sentences", "doc_id % 60", False))),
         "length_constraints:number_words": lambda: optional(
-            j(("num_words", "doc_id % 700", False), relation), j(relation)),
+            j(("num_words", f"{_text('doc_id % 700', dialect)} || CASE doc_id % 6 WHEN 1 THEN '.0' WHEN 2 THEN '.5' ELSE '' END", False),
+              relation), j(relation)),
         "startend:end_checker": lambda: optional(
             j(("end_phrase", "CASE doc_id % 3 WHEN 0 THEN ' Any other questions?' WHEN 1 THEN 'thanks' ELSE '.' END", True)),
             "'{}'"),
@@ -153,18 +154,15 @@ def args_sql(inst_id, dialect):
 
 def documents_sql(dialect):
     """Documents with the text forms the shapes are made of."""
-    flags = ", 'g'" if dialect != "spark" else ""
-    letters = "\\\\p{L}" if dialect == "spark" else "\\p{L}"
     return f"""SELECT *,
     replace(replace(replace(body, chr(92), chr(92) || chr(92)), '"', chr(92) || '"'), chr(10), chr(92) || 'n') AS escaped,
-    replace(body, chr(10), ' ') AS flat,
-    regexp_replace(body, '{letters}', ''{flags}) AS unlettered
+    replace(body, chr(10), ' ') AS flat
   FROM (SELECT doc_id, lang, source, text, replace(text, '***', '') AS body FROM documents) b"""
 
 
 def responses_sql(dialect, shift=0):
     """One response per document; another `shift` stands for another model."""
-    shapes = SHAPES.format(shift=shift, digits="unlettered")
+    shapes = SHAPES.format(shift=shift)
     return f"""SELECT doc_id, lang, source, escaped, {shapes} AS response
   FROM ({documents_sql(dialect)}) d"""
 
@@ -197,14 +195,18 @@ def samples_sql(dialect, shift=0):
       FROM ({responses_sql(dialect, shift)}) r) i) a"""
 
 
-def check_samples_sql(inst_id, dialect):
-    """Every response with one and the same instruction."""
+TRAILING = "CASE doc_id % 23 WHEN 4 THEN ' x}' WHEN 9 THEN '}' WHEN 11 THEN ' , 1]' WHEN 15 THEN ' ' ELSE '' END"
+
+
+def check_samples_sql(inst_id, dialect, shift=0):
+    """Every response with one and the same instruction; some arguments are no JSON,
+    or are followed by something else."""
     array = (lambda x: f"array({x})") if dialect == "spark" else (lambda x: f"[{x}]")
     literal = f"'{inst_id}'"
     return f"""SELECT source AS run_file, doc_id AS sample_pos, doc_id AS key, '' AS prompt, response, lang,
     {array(literal)} AS instruction_id_list,
-    {array(f"CASE WHEN doc_id % 17 = 0 THEN 'not json' ELSE {args_sql(inst_id, dialect)} END")} AS kwargs
-  FROM ({responses_sql(dialect)}) r"""
+    {array(f"CASE WHEN doc_id % 17 = 0 THEN 'not json' ELSE {args_sql(inst_id, dialect)} END || {TRAILING}")} AS kwargs
+  FROM ({responses_sql(dialect, shift)}) r"""
 
 
 def runs_sql(dialect):
@@ -232,6 +234,6 @@ def turns_sql():
 
 
 def instructions_sql():
-    return """SELECT doc_id, 'Summarize in ' || lang AS instruction,
+    return """SELECT doc_id, 'Summarize in ' || lang || ': ' || text AS instruction,
     CASE doc_id % 4 WHEN 0 THEN '   ' WHEN 1 THEN NULL WHEN 2 THEN '' ELSE text END AS input, text AS output
   FROM documents"""

@@ -2,11 +2,12 @@
 
 import re
 
-from adherence.operators import checks as k, conflicts as _conflicts
-from adherence.operators.descriptions import TEMPLATES
+from adherence.operators import conflicts as _conflicts
 from registered import check_sql as c
+from registered import expected as k
 from registered import fixture as f
 from registered.check_sql import lit, strip
+from registered.expected import TEMPLATES
 
 SEED = 42
 
@@ -75,14 +76,12 @@ ORACLE["paired_instructions"] = f"""SELECT s.sample_pos, {DROPPED} AS dropped, x
 FROM ({SAMPLES}) s LEFT JOIN ({PAIRS}) p ON p.sample_pos = s.sample_pos"""
 
 ORACLE["parsed_args"] = f"""SELECT sample_pos, inst_pos, json_extract_string(j, '$.relation') AS relation,
-  CAST(json_extract_string(j, '$.num_words') AS BIGINT) AS num_words, CAST(json_extract_string(j, '$.num_sections') AS BIGINT) AS num_sections,
+  CAST(json_extract_string(j, '$.num_words') AS DOUBLE) AS num_words, CAST(json_extract_string(j, '$.num_sections') AS DOUBLE) AS num_sections,
   json_extract_string(j, '$.letter') AS letter, json_extract_string(j, '$.end_phrase') AS end_phrase,
   CASE WHEN json_extract(j, '$.keywords') IS NOT NULL THEN array_to_string(json_extract_string(j, '$.keywords[*]'), ',') END AS keywords
 FROM ({PARSED}) p"""
 
-_KEYS = ", ".join(
-    f"('{x.inst_id}', [{', '.join(lit(a) for a in x.arg_keys)}]::VARCHAR[])" for x in k._CHECKS if x.enabled
-)
+_KEYS = ", ".join(f"('{i}', [{', '.join(lit(a) for a in names)}]::VARCHAR[])" for i, names in k.ARG_KEYS.items())
 ORACLE["accepted_args"] = f"""SELECT sample_pos, inst_pos, p.inst_id, r.inst_id IS NOT NULL AS known,
   array_to_string(list_sort(list_filter(json_keys(j), lambda a: list_contains(coalesce(r.arg_keys, []), a))), ',') AS accepted
 FROM ({PARSED}) p LEFT JOIN (VALUES {_KEYS}) r(inst_id, arg_keys) ON r.inst_id = p.inst_id"""
@@ -148,11 +147,29 @@ ORACLE["model_comparison"] = f"WITH {BOTH}\n{COMPARISON}"
 ORACLE["comparison_wins"] = f"""WITH {BOTH}
 SELECT level, count(*) FILTER (winner LIKE '<-%') AS model1_wins, count(*) FILTER (winner LIKE '->%') AS model2_wins,
   count(*) FILTER (winner = 'tie') AS ties FROM ({COMPARISON}) c WHERE level <> 'overall' GROUP BY level"""
+_KNOWN = "inst_id <> 'unknown:thing'"
+
+
+def _listed(name, key, where="TRUE"):
+    return f"""(SELECT string_agg(k || ':' || p || '/' || p || '/' || t, ',' ORDER BY k) FROM (
+  SELECT {key} AS k, count(*) FILTER (strict) AS p, count(*) AS t FROM {name} WHERE {where} GROUP BY ALL))"""
+
+
 ORACLE["comparison_document"] = f"""WITH {BOTH}
 SELECT 'first' AS name1, 'second' AS name2, (SELECT count(*) FILTER (strict) / count(*)::DOUBLE FROM o) AS overall1,
-  (SELECT count(*) FILTER (strict) / count(*)::DOUBLE FROM b) AS overall2, (SELECT count(DISTINCT inst_id) FROM o) AS types1,
-  (SELECT count(DISTINCT category) FROM o) AS categories1, (SELECT count(*) FILTER (strict) FROM o) AS passes1,
-  (SELECT count(*) FROM (SELECT inst_id FROM o UNION SELECT inst_id FROM b)) AS compared"""
+  (SELECT count(*) FILTER (strict) / count(*)::DOUBLE FROM b) AS overall2,
+  {_listed('o', 'inst_id', _KNOWN)} AS types1, {_listed('b', 'inst_id', _KNOWN)} AS types2,
+  {_listed('o', 'category', "category <> 'unknown'")} AS categories1, {_listed('b', 'category', "category <> 'unknown'")} AS categories2,
+  (SELECT string_agg(concat_ws('|', instruction_type, model1_count, model2_count, winner), ',' ORDER BY instruction_type)
+   FROM ({COMPARISON}) c WHERE level = 'type' AND instruction_type <> 'unknown:thing') AS compared"""
+
+_SHORT = lambda shift: f"SELECT length(response) <= 3000 AS loose FROM ({f.responses_sql('duckdb', shift)}) r"
+ORACLE["loose_comparison"] = f"""SELECT level, CASE WHEN level <> 'overall' THEN 'custom' END AS category,
+  CASE WHEN level = 'type' THEN 'custom:short' END AS instruction_type, x.p / x.t::DOUBLE AS model1_acc, y.p / y.t::DOUBLE AS model2_acc,
+  x.p || '/' || x.t AS model1_count, y.p || '/' || y.t AS model2_count, x.p / x.t::DOUBLE - y.p / y.t::DOUBLE AS diff,
+  CASE WHEN abs(x.p / x.t::DOUBLE - y.p / y.t::DOUBLE) < 0.001 THEN 'tie' WHEN x.p / x.t::DOUBLE > y.p / y.t::DOUBLE THEN '<- M1' || w ELSE '-> M2' || w END AS winner
+FROM (SELECT count(*) FILTER (loose) AS p, count(*) AS t FROM ({_SHORT(0)})) x, (SELECT count(*) FILTER (loose) AS p, count(*) AS t FROM ({_SHORT(5)})) y,
+  (VALUES ('type', ''), ('category', ' wins'), ('overall', '')) l(level, w)"""
 
 _DECLARED = ", ".join(f"('{a}', '{b}')" for a, b in _conflicts.declared_pairs())
 _IDS = ", ".join(f"('{i}')" for i in _conflicts.REGISTERED)
@@ -163,6 +180,10 @@ SELECT DISTINCT x.sample_pos, x.id AS inst_id, y.id AS other_id
 FROM e x JOIN e y ON x.sample_pos = y.sample_pos AND x.pos < y.pos JOIN closed ON a = x.id AND b = y.id"""
 
 
+_SPELLED = {"num_sentences", "num_placeholders", "num_bullets", "num_highlights", "num_sections", "num_paragraphs", "num_words",
+            "frequency", "let_frequency", "capital_frequency", "nth_paragraph"}
+
+
 def _description(inst_id):
     template = TEMPLATES[inst_id]
     text = c.text
@@ -192,7 +213,10 @@ def _description(inst_id):
     out = lit(template)
     for name, value in values.items():
         if "{" + name + "}" in template:
-            out = f"replace({out}, '{{{name}}}', CAST({value} AS VARCHAR))"
+            shown = f"CAST({value} AS VARCHAR)"
+            if name in _SPELLED:
+                shown = f"CASE WHEN ({value}) = floor({value}) THEN CAST(CAST(({value}) AS BIGINT) AS VARCHAR) ELSE {shown} END"
+            out = f"replace({out}, '{{{name}}}', {shown})"
     return out
 
 
@@ -224,8 +248,15 @@ HEADERS = f"SELECT *, {DISPLAY} AS display_name, {RUN_NAME} AS out_name, coalesc
 ORACLE["display_names"] = f"SELECT source AS run_file, display_name, out_name AS run_name FROM ({HEADERS}) h"
 ORACLE["read_responses"] = f"""SELECT h.display_name, s.key, s.prompt, s.response, array_to_string(s.instruction_id_list, ',') AS ids,
   array_to_string(s.kwargs, ',') AS kwargs FROM ({SAMPLES}) s JOIN ({HEADERS}) h ON h.source = s.run_file"""
-ORACLE["responses_documents"] = f"""SELECT out_name || '_' || prec || '_' || stamp || CASE WHEN part = 0 THEN '' ELSE '.' || part END || '.json' AS document, count(*) AS n
-FROM (SELECT h.*, s.sample_pos // 10000 AS part FROM ({SAMPLES}) s JOIN ({HEADERS}) h ON h.source = s.run_file) x GROUP BY ALL"""
+DOCUMENT = "out_name || '_' || prec || '_' || stamp || '.json'"
+ORACLE["responses_documents"] = f"""SELECT {DOCUMENT} AS document, count(*) AS n,
+  md5(string_agg(concat_ws('|', key, prompt, response, array_to_string(instruction_id_list, ','), array_to_string(kwargs, ',')), '~' ORDER BY sample_pos)) AS content
+FROM ({SAMPLES}) s JOIN ({HEADERS}) h ON h.source = s.run_file GROUP BY ALL"""
+ORACLE["responses_round_trip"] = f"""SELECT {DOCUMENT} AS file, h.display_name, s.key, s.prompt, s.response,
+  array_to_string(s.instruction_id_list, ',') AS ids, array_to_string(s.kwargs, ',') AS kwargs
+FROM ({SAMPLES}) s JOIN ({HEADERS}) h ON h.source = s.run_file"""
+ORACLE["read_instructions"] = f"SELECT instruction, input, output FROM ({INSTRUCTIONS}) i"
+ORACLE["read_benchmark"] = "SELECT item_id AS key, text AS prompt, 'punctuation:no_comma' AS ids, '{}' AS kwargs FROM benchmark"
 
 TYPE = "CASE WHEN " + _LORA + " OR regexp_matches(lower(coalesce(run_name, '')), 'sft|finetune|lora|trained') THEN 'finetuned' ELSE 'base' END"
 LOADED = f"SELECT *, {TYPE} AS model_type, coalesce(precision, 'unknown') AS prec, coalesce(run_name, 'unknown') AS rname FROM ({RUNS}) r0 WHERE n % 10 <> 9"
@@ -257,6 +288,10 @@ _DOC = "h.out_name || '_' || h.prec || '_20260201_000000.json'"
 ORACLE["result_documents"] = f"""WITH {OUTCOMES}
 SELECT {_DOC} AS document, h.out_name AS run_name, h.model_name, h.num_samples, a.inst_level_strict_acc, a.inst_level_loose_acc,
   a.prompt_level_strict_acc, a.prompt_level_loose_acc FROM ({HEADERS}) h JOIN ({RUN_ACC}) a ON a.run_file = h.source"""
+ORACLE["result_documents_with_samples"] = f"""WITH {OUTCOMES}
+SELECT {_DOC} AS document, count(*) AS n, md5(string_agg(concat_ws('|', p.key, p.response, p.marks), '~' ORDER BY p.sample_pos)) AS content
+FROM ({HEADERS}) h JOIN (SELECT s.run_file, s.sample_pos, s.key, s.response, coalesce(string_agg(CAST(o.strict AS VARCHAR), ',' ORDER BY inst_pos), '') AS marks
+  FROM o_s s LEFT JOIN o ON o.run_file = s.run_file AND o.sample_pos = s.sample_pos GROUP BY ALL) p ON p.run_file = h.source GROUP BY ALL"""
 _FLAT = [f"('ifeval/{x}', a.{x})" for x in ["inst_level_strict_acc", "inst_level_loose_acc", "prompt_level_strict_acc", "prompt_level_loose_acc"]] + [
     "('timing/generation_seconds', h.generation_seconds)", "('timing/scoring_seconds', 0.5::DOUBLE)",
     "('timing/total_seconds', h.generation_seconds + 0.5)", "('eval/gpu_memory_gb', nullif(h.gpu, 0))"]
@@ -267,8 +302,12 @@ FROM ({HEADERS}) h JOIN ({RUN_ACC}) a ON a.run_file = h.source, LATERAL (VALUES
 ORACLE["mmlu_rows"] = f"""SELECT 'mmlu_' || source || '_2026' AS run_name, CASE WHEN n % 4 <> 2 THEN model_name ELSE 'unknown' END AS model_name,
   coalesce(precision, 'float16') AS dtype, '16' AS batch_size, num_samples AS n_samples, prompt_strict AS acc_norm,
   generation_seconds AS eval_time_seconds, coalesce(precision, 'unknown') AS dtype_tag FROM ({RUNS}) r"""
+TRAINING = f"SELECT *, model_name || CASE WHEN n % 2 = 0 THEN '' ELSE '-x' END AS base_model FROM ({RUNS}) r0"
 ORACLE["training_metadata_runs"] = f"""SELECT l.file, t.num_samples AS dataset_samples, t.inst_strict AS training_loss, t.generation_seconds AS training_time_seconds
-FROM ({LOADED}) l LEFT JOIN (SELECT * FROM ({RUNS}) WHERE n % 2 = 0) t ON t.model_name = l.model_name AND t.precision = l.precision"""
+FROM ({LOADED}) l LEFT JOIN ({TRAINING}) t ON t.base_model = l.model_name AND t.precision = l.precision"""
+ORACLE["training_metadata_documents"] = f"""SELECT concat_ws('_', 'training_metadata', replace(base_model, '/', '_'), precision, '20260101') || '.json' AS file,
+  base_model, precision, 'docs' AS dataset, num_samples AS samples, inst_strict AS loss, generation_seconds AS runtime_s, '20260101' AS timestamp
+FROM ({TRAINING}) t"""
 
 ORACLE["first_rows"] = "SELECT doc_id, text FROM documents ORDER BY doc_id LIMIT 25"
 USER = f"CASE WHEN {strip('input')} <> '' THEN instruction || chr(10) || chr(10) || input ELSE instruction END"
@@ -284,7 +323,9 @@ ORACLE["training_text"] = f"""SELECT '<|begin_of_text|>' || {_message("'user'",
 _CHAT = f"""'<|begin_of_text|>' || {_message("'user'", 'text')} || {_REPLY}"""
 ORACLE["prompt_text"] = f"SELECT item_id, CASE WHEN item_id % 2 = 0 THEN {_CHAT} ELSE text END AS text FROM benchmark"
 _TOK = f"regexp_split_to_array({strip('text')}, {lit(c.WS1 + '+')})"
-ORACLE["truncated_prompts"] = f"""SELECT doc_id, CASE WHEN len({_TOK}) <= 2048 THEN text ELSE array_to_string({_TOK}[1:2048], ' ') END AS text FROM documents"""
+_GAPS = f"regexp_split_to_array({strip('text')}, {lit(c.NOT_WS1 + '+')})"
+ORACLE["truncated_prompts"] = f"""SELECT doc_id, CASE WHEN len({_TOK}) <= 2048 THEN text ELSE regexp_extract(text, {lit(f'^{c.WS1}*')}) || array_to_string(
+  list_transform(list_zip({_GAPS}[1:2048], {_TOK}[1:2048]), lambda x: x[1] || x[2]), '') END AS text FROM documents"""
 _NTOK = f"CASE WHEN {strip('text')} = '' THEN 0 ELSE len({_TOK}) END"
 ORACLE["request_throughput"] = f"""SELECT doc_id, tokens, round(s, 2) AS time, round(tokens / s, 1) AS tok_per_s
 FROM (SELECT doc_id, CAST({_NTOK} AS BIGINT) AS tokens, n_chars / 997.0::DOUBLE AS s FROM documents) d"""
@@ -296,9 +337,9 @@ FROM (SELECT item_id, CAST((row_number() OVER (ORDER BY item_id) - 1) // 8 AS BI
 WINDOW b AS (PARTITION BY batch_id)"""
 ORACLE["generated_responses"] = f"SELECT item_id, {strip(f'''('  You said: ' || {_CHAT} || chr(10))''')} AS response FROM benchmark"
 
-ORACLE["conversation_text"] = f"""SELECT conv_id, CAST(0 AS BIGINT) AS part, '<|begin_of_text|>' || string_agg({_message('role', 'text')}, '' ORDER BY role <> 'system', turn) AS text
+ORACLE["conversation_text"] = f"""SELECT conv_id, CAST(0 AS BIGINT) AS part, '<|begin_of_text|>' || string_agg({_message('role', 'text')}, '' ORDER BY turn) AS text
 FROM conversations GROUP BY conv_id"""
-ORACLE["conversation_plain_text"] = """SELECT conv_id, CAST(0 AS BIGINT) AS part, string_agg(text, chr(10) || chr(10) ORDER BY role <> 'system', turn) AS text
+ORACLE["conversation_plain_text"] = """SELECT conv_id, CAST(0 AS BIGINT) AS part, string_agg(text, chr(10) || chr(10) ORDER BY turn) AS text
 FROM conversations GROUP BY conv_id"""
 _RANKED = f"""SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS up, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS down,
   sum({_NTOK}) OVER (PARTITION BY conv_id) AS tokens FROM conversations"""

@@ -1,5 +1,6 @@
 """The registered queries: every operator over the given tables."""
 
+import uuid
 from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -11,6 +12,7 @@ from adherence.operators.generate import generate_responses
 from adherence.operators.language import LanguageModel
 from adherence.operators.scoring import ScoringOptions
 from adherence.schemas import MMLU_DOCUMENT, RESPONSES_DOCUMENT, RESULT_DOCUMENT, TRAINING_METADATA
+from adherence.session import checkpoint_dir
 from adherence.sources import documents as docs, sinks
 from registered import fixture
 
@@ -39,7 +41,9 @@ def kept(spark, sf, name, build):
 
 
 def table(spark, sf, name) -> DataFrame:
-    return docs.spread(spark.read.parquet(f"{sf}/{name}.parquet"))
+    """A given table; its one piece is laid out in small files once per session."""
+    read = lambda: docs.laid_out(spark.read.parquet(f"{sf}/{name}.parquet"), name)
+    return kept(spark, sf, f"table {name}", read)
 
 
 def sql(spark, sf, statement, *tables) -> DataFrame:
@@ -182,17 +186,38 @@ def _(spark, sf):
     sides = scored(spark, sf).select(F.lit(1).alias("side"), "scores").unionByName(
         scored(spark, sf, 5).select(F.lit(2).alias("side"), "scores"))
     levels = compare.level_stats(compare.type_stats(sides, ("side",)), ("side",))
-    doc = compare.comparison_document(compare.compare_stats(levels), levels, "first", "second")
+    rows = compare.compare_stats(levels, with_stats=True)
+    doc = compare.comparison_document(rows, "first", "second", [c.inst_id for c in default_registry()])
+    listed = lambda m: F.array_join(F.transform(F.map_entries(m), lambda e: F.concat(
+        e["key"], F.lit(":"), F.concat_ws("/", e["value"]["strict_pass"], e["value"]["loose_pass"], e["value"]["total"]))), ",")
+    compared = F.transform("comparison", lambda c: F.concat_ws(
+        "|", c["instruction_type"], c["model1_count"], c["model2_count"], c["winner"]))
     return doc.select(
         F.col("model1.name").alias("name1"), F.col("model2.name").alias("name2"),
         F.col("model1.overall").alias("overall1"), F.col("model2.overall").alias("overall2"),
-        F.size("model1.by_type").cast("bigint").alias("types1"),
-        F.size("model1.by_category").cast("bigint").alias("categories1"),
-        F.aggregate(F.map_values("model1.by_type"), F.lit(0).cast("bigint"), lambda a, s: a + s["strict_pass"]).alias("passes1"),
-        F.size("comparison").cast("bigint").alias("compared"),
+        listed("model1.by_type").alias("types1"), listed("model2.by_type").alias("types2"),
+        listed("model1.by_category").alias("categories1"), listed("model2.by_category").alias("categories2"),
+        F.array_join(compared, ",").alias("compared"),
     )
 
 
+LOOSE_CHECK = "custom:short"
+
+
+def short_registry():
+    """A check of the caller's own whose loose form lets more pass."""
+    return Registry().register_check(
+        LOOSE_CHECK, [], lambda v, a: F.length(v) <= 1000, loose=lambda v, a: F.length(v) <= 3000)
+
+
+@query("loose_comparison")
+def _(spark, sf):
+    chosen = kept(spark, sf, LOOSE_CHECK, lambda: ScoringOptions(registry=short_registry()))
+    a, b = (scoring.score_samples(sql(spark, sf, fixture.check_samples_sql(LOOSE_CHECK, "spark", n)).drop("lang"), chosen)
+            for n in (0, 5))
+    return compare.sorted_comparison(compare.compare_models(a, b, use_strict=False))
+
+
 @query("conflicting_pairs")
 def _(spark, sf):
     return conflicts.conflicting_pairs(samples(spark, sf)).drop("run_file")
@@ -293,9 +318,9 @@ def run_headers(spark, sf):
 
 @query("read_responses")
 def _(spark, sf):
-    """Documents of at most 64 samples as JSON text, read back into sample rows."""
+    """Documents of about 64 kB as JSON text, read back into sample rows."""
     rows = samples(spark, sf).join(run_headers(spark, sf), "run_file")
-    texts = sinks.responses_documents(rows, per_document=64).select(
+    texts = sinks.responses_documents(rows, bytes_per_document=1 << 16).select(
         F.col("document").alias("file"), F.to_json(F.struct("config", "metadata", "samples")).alias("value"))
     parsed = docs.named(docs.well_formed(docs.parse_documents(texts, RESPONSES_DOCUMENT)))
     return parsed.select("display_name", F.explode("samples").alias("s")).select(
@@ -306,7 +331,66 @@ def _(spark, sf):
 @query("responses_documents")
 def _(spark, sf):
     rows = samples(spark, sf).join(run_headers(spark, sf), "run_file")
-    return sinks.responses_documents(rows).select("document", F.size("samples").cast("bigint").alias("n"))
+    content = F.transform("samples", lambda s: F.concat_ws(
+        "|", s["key"].cast("string"), s["prompt"], s["response"], F.array_join(s["instruction_id_list"], ","),
+        F.array_join(s["kwargs"], ",")))
+    return sinks.responses_documents(rows).select(
+        "document", F.size("samples").cast("bigint").alias("n"), F.md5(F.array_join(content, "~")).alias("content"))
+
+
+def scratch(spark, label):
+    return f"{checkpoint_dir(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+@query("responses_round_trip")
+def _(spark, sf):
+    """Responses documents written as files and read again."""
+    path = scratch(spark, "responses")
+    rows = samples(spark, sf).join(run_headers(spark, sf), "run_file")
+    sinks.write_documents(sinks.responses_documents(rows), path)
+    found = docs.read_responses(spark, path)
+    return found.select("file", "display_name", F.explode("samples").alias("s")).select(
+        "file", "display_name", "s.key", "s.prompt", "s.response",
+        F.array_join("s.instruction_id_list", ",").alias("ids"), F.array_join("s.kwargs", ",").alias("kwargs"))
+
+
+@query("read_instructions")
+def _(spark, sf):
+    path = scratch(spark, "instructions")
+    sql(spark, sf, fixture.instructions_sql()).drop("doc_id").write.option("ignoreNullFields", False).json(path)
+    return docs.read_instructions(spark, path, "json")
+
+
+@query("read_benchmark")
+def _(spark, sf):
+    path = scratch(spark, "benchmark")
+    rows = table(spark, sf, "benchmark").select(
+        F.col("item_id").alias("key"), F.col("text").alias("prompt"),
+        F.array(F.lit("punctuation:no_comma")).alias("instruction_id_list"), F.array(F.lit("{}")).alias("kwargs"))
+    rows.write.json(path)
+    found = docs.read_benchmark(spark, path, "json")
+    return found.select("key", "prompt", F.array_join("instruction_id_list", ",").alias("ids"), F.array_join("kwargs", ",").alias("kwargs"))
+
+
+@query("training_metadata_documents")
+def _(spark, sf):
+    """Training metadata written as documents and read again."""
+    path = scratch(spark, "training")
+    sinks.write_documents(sinks.training_metadata_documents(training_runs(spark, sf)), path)
+    found = docs.read_training_metadata(spark, path)
+    return found.select("file", "base_model", "precision", "dataset", "samples", "loss", "runtime_s", "timestamp")
+
+
+@query("result_documents_with_samples")
+def _(spark, sf):
+    rows = kept(spark, sf, "scored with texts", lambda: docs.laid_out(
+        scoring.score_samples(samples(spark, sf), options(spark, sf), keep=("response",)), "scored"))
+    built = sinks.result_documents(
+        scoring.accuracy(rows), run_headers(spark, sf), F.lit("20260201_000000"), F.lit(0.5), rows)
+    marks = lambda s: F.array_join(F.transform(s["scores"]["strict"], lambda b: b.cast("string")), ",")
+    content = F.transform("scored_samples", lambda s: F.concat_ws("|", s["key"].cast("string"), s["response"], marks(s)))
+    return built.select("document", F.size("scored_samples").cast("bigint").alias("n"),
+                        F.md5(F.array_join(content, "~")).alias("content"))
 
 
 @query("display_names")
@@ -412,13 +496,19 @@ def _(spark, sf):
     return runs.mmlu_rows(docs.well_formed(docs.parse_documents(texts, MMLU_DOCUMENT)))
 
 
+def training_runs(spark, sf):
+    """A training run per scored run; every second one is of another model."""
+    other = F.when(F.col("n") % 2 == 0, F.lit("")).otherwise(F.lit("-x"))
+    return run_rows(spark, sf).select(
+        "file", F.concat("model_name", other).alias("base_model"), "precision", F.lit("docs").alias("dataset"),
+        F.col("num_samples").alias("samples"), F.col("inst_strict").alias("loss"),
+        F.col("generation_seconds").alias("runtime_s"), F.lit(21.5).alias("peak_gpu_gb"), F.lit("20260101").alias("timestamp"))
+
+
 @query("training_metadata_runs")
 def _(spark, sf):
-    rows = run_rows(spark, sf).where("n % 2 = 0")
-    doc = F.struct(F.col("model_name").alias("base_model"), "precision", F.lit("docs").alias("dataset"),
-                   F.col("num_samples").alias("samples"), F.col("inst_strict").alias("loss"),
-                   F.col("generation_seconds").alias("runtime_s"), F.lit(21.5).alias("peak_gpu_gb"),
-                   F.lit("20260101").alias("timestamp"))
+    rows = training_runs(spark, sf)
+    doc = F.struct(*[c for c in rows.columns if c != "file"])
     training = docs.well_formed(docs.parse_documents(
         rows.select("file", F.to_json(doc).alias("value")), TRAINING_METADATA))
     joined = runs.with_training_metadata(results(spark, sf), training)

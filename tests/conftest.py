@@ -1,5 +1,6 @@
 import os
 import sys
+import tempfile
 
 import pytest
 
@@ -11,7 +12,8 @@ from adherence.session import local_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    session = local_session(app="adherence-tests", cpus=4, shuffle_partitions=4)
+    shared = {"spark.checkpoint.dir": tempfile.mkdtemp(prefix="adherence-tests-")}
+    session = local_session(app="adherence-tests", cpus=4, shuffle_partitions=4, extra=shared)
     yield session
     session.stop()
 

@@ -144,7 +144,7 @@ def test_documents_and_sinks(spark, make_samples, tmp_path):
     })
     whole = sinks.responses_documents(rows).collect()
     assert [(d.document, len(d.samples)) for d in whole] == [("m_bf16_t.json", 5)]
-    parts = {d.document: [s.key for s in d.samples] for d in sinks.responses_documents(rows, 2).collect()}
+    parts = {d.document: [s.key for s in d.samples] for d in sinks.responses_documents(rows, 218).collect()}
     assert parts == {"m_bf16_t.json": [0, 1], "m_bf16_t.1.json": [2, 3], "m_bf16_t.2.json": [4]}
     keyed = rows.select("*", F.lit("m").alias("run_name"), F.lit("bf16").alias("precision"), F.lit("t").alias("timestamp"))
     sinks.write_samples(keyed.drop("config", "metadata"), str(tmp_path / "s"))
@@ -155,6 +155,32 @@ def test_documents_and_sinks(spark, make_samples, tmp_path):
     assert spark.read.json(str(tmp_path / "j")).first().scores.strict == [True]
 
 
+def test_documents_written_and_read_again(spark, tmp_path):
+    acc = "inst_level_strict_acc", "inst_level_loose_acc", "prompt_level_strict_acc", "prompt_level_loose_acc"
+    rows = [(f"run/{n}: {n}.json", n / 10) for n in range(5)]
+    docs_ = spark.createDataFrame(rows, "document string, x double").select(
+        "document", F.struct(F.col("document").alias("run_name")).alias("metadata"),
+        F.struct(F.struct(*[F.col("x").alias(a) for a in acc]).alias("ifeval")).alias("results")).coalesce(1)
+    for _ in range(2):  # a document written again replaces itself
+        sinks.write_documents(docs_, str(tmp_path / "d"))
+    found = docs.read_results(spark, str(tmp_path / "d")).collect()
+    assert sorted((r.file, r.metadata.run_name, r.results.ifeval.inst_level_strict_acc) for r in found) == [(n, n, x) for n, x in rows]
+    sinks.write_documents(docs_.limit(1), str(tmp_path / "d"))
+    assert docs.read_results(spark, str(tmp_path / "d")).count() == 5
+
+
+def test_large_runs_come_in_documents_of_bounded_size(spark):
+    rows = spark.range(40).select(
+        F.struct(F.lit("bf16").alias("precision")).alias("config"),
+        F.struct(F.lit("m").alias("run_name"), F.lit("t").alias("timestamp")).alias("metadata"),
+        F.col("id").alias("sample_pos"), F.col("id").alias("key"), F.lit("p" * 50).alias("prompt"),
+        F.lit("r" * 850).alias("response"), F.array(F.lit("i")).alias("instruction_id_list"), F.array(F.lit("{}")).alias("kwargs"))
+    found = sinks.responses_documents(rows, bytes_per_document=10_000).collect()
+    assert sorted(r.document for r in found) == sorted(["m_bf16_t.json"] + [f"m_bf16_t.{n}.json" for n in range(1, len(found))])
+    assert sorted(s.key for r in found for s in r.samples) == list(range(40)) and max(len(r.samples) for r in found) <= 11
+    assert [r.document for r in sinks.responses_documents(rows).collect()] == ["m_bf16_t.json"]
+
+
 def test_comparison_job(make_samples):
     a = scoring.score_samples(make_samples(("x", [("punctuation:no_comma", "{}")])))
     b = scoring.score_samples(make_samples(("x,", [("punctuation:no_comma", "{}"), ("startend:quotation", "{}")])))
@@ -197,14 +223,41 @@ def test_conversation_text_in_parts(spark):
     assert whole.startswith("<|begin_of_text|><|start_header_id|>system<|end_header_id|>\n\nbe kind<|eot_id|>")
 
 
-def test_trimmed_history_limits_before_the_shuffle(spark):
-    df = spark.createDataFrame([(1, 0, "user", "a")], TURNS)
-    plan = chat.trim_history(df, budget=None)._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("WindowGroupLimit") >= 2
+def test_late_system_messages_and_shared_turn_numbers(spark):
+    rows = [(1, n, "system" if n in (0, 5) else "user", f"m{n}") for n in range(8)]
+    df = spark.createDataFrame(rows, TURNS)
+    for size in (1024, 4, 1):
+        parts = chat.conversation_text(df, use_chat=False, turns_per_part=size).orderBy("part").collect()
+        assert "\n\n".join(r.text for r in parts) == "\n\n".join(f"m{n}" for n in range(8))
+    shared = spark.createDataFrame([(1, 0, "user", "a"), (1, 1, "user", "b"), (1, 1, "assistant", "c"), (1, 1, "assistant", "c")], TURNS)
+    assert chat.trim_history(shared, budget=None).count() == 4
+    assert chat.trim_history(shared, budget=1).count() == 4
+    assert chat.trim_history(shared, keep_last=2, budget=None).count() == 2
+
+
+def test_history_plans_read_the_turns_twice_at_most(spark, tmp_path):
+    spark.createDataFrame([(1, 0, "user", "a")], TURNS).write.parquet(str(tmp_path / "t"))
+    turns = spark.read.parquet(str(tmp_path / "t"))
+    for df in (chat.trim_history(turns), chat.trim_history(turns, budget=None), chat.active_history(turns)):
+        assert df._jdf.queryExecution().optimizedPlan().toString().count("Relation ") <= 2
+
+
+def test_truncation_keeps_white_space(spark):
+    texts = ["a  b\n\nc\td ", "\n a\n b c", "a b", "", None]
+    got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(
+        batching.truncate_tokens(F.col("t"), 2)).collect()]
+    assert got == ["a  b", "\n a\n b", "a b", "", None]
 
 
 def test_positions_and_batches(spark):
     rows = spark.range(1000).select(((F.col("id") * 7919) % 1000 * 3).alias("key")).repartition(5)
+    for blocks in (2, 90, 1_000_000, None):
+        some = rows.limit(20).select(F.when(F.col("key") % 2 == 0, F.col("key")).alias("key")).union(rows.limit(1)).where("true")
+        for name, frame in (("key", some), ("name", some.select(F.col("key").cast("string").alias("name")))):
+            found = batching.with_position(frame, name, rows_per_block=blocks).orderBy("position").collect()
+            values = [r[name] for r in found]
+            assert [r.position for r in found] == list(range(21))
+            assert values == sorted(values, key=lambda v: (v is not None, v if v is not None else 0))
     placed = batching.with_position(rows, "key", rows_per_block=90)
     assert [r.position for r in placed.orderBy("key").collect()] == list(range(1000))
     batches = batching.prompt_batches(rows, 64, "key", rows_per_block=90).groupBy("batch_id").count()
@@ -245,7 +298,10 @@ def test_language_checks(make_samples, language, tmp_path):
     language.save(str(tmp_path / "model"))
     for model in (language, LanguageModel.load(str(tmp_path / "model"))):
         got = scoring.score_samples(rows, ScoringOptions(language_model=model)).orderBy("sample_pos").collect()
-        assert [[s.strict for s in r.scores] for r in got] == [[True], [False], [True, True], [True, False], [True]]
+        assert [[s.strict for s in r.scores] for r in got] == [[True], [False], [True, True], [False, False], [True]]
+    unknown = make_samples(("le chat", [("language:response_language", '{"language": "fi"}')]))
+    verdict = scoring.score_samples(unknown, ScoringOptions(language_model=language)).first().scores[0]
+    assert not verdict.strict and "not in the model: fi" in verdict.error
     without = scoring.score_samples(rows).first().scores[0]
     assert without.error and not without.strict
 
