@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, functions as F
 
 from adherence.llm import (
-    bpe, common, decontaminate, exact_dedup, language_id, passages, quality, secret_scan, sharding, simhash, token_counts,
+    bpe, common, decontaminate, exact_dedup, language_id, passages, quality, secret_scan, secret_sql, sharding, simhash, token_counts,
 )
 
 QUERIES = {}
@@ -108,3 +108,6 @@ def op9_sharding(spark, sf_dir):
 @query
 def op10_secret_scan(spark, sf_dir):
     return secret_scan.digests(secret_scan.scan(table(spark, sf_dir, "documents")))
+
+
+ORACLE["op10_secret_scan"] = secret_sql.SQL
