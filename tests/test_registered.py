@@ -4,27 +4,20 @@ import os
 
 import pytest
 
+from registered.oracle import ORACLE
+from registered.queries import QUERIES
+
 SF = "/root/testdata/sf0.001"
-NAMES = [
-    "check_keywords_frequency", "check_detectable_format_json_format", "check_length_constraints_number_sentences",
-    "accuracy_by_run", "sample_outcomes", "model_comparison", "conflicting_pairs", "instruction_descriptions",
-    "text_sentences", "text_tokens", "text_language", "read_responses", "load_results", "run_metrics",
-    "base_vs_finetuned", "prompt_batches", "conversation_text", "trimmed_history_over_budget", "history_segments",
-]
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
-@pytest.mark.parametrize("name", NAMES)
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, name):
-    from __spark_entry__ import oracle_sql, queries
     from tests.compare import connect, differences
 
-    n, m, left, right = differences(queries()[name](spark, SF), connect(SF), oracle_sql()[name])
+    n, m, left, right = differences(QUERIES[name](spark, SF), connect(SF), ORACLE[name])
     assert n == m and not left and not right
 
 
 def test_every_query_has_its_sql():
-    from registered.oracle import ORACLE
-    from registered.queries import QUERIES
-
     assert set(QUERIES) == set(ORACLE)
