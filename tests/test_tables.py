@@ -191,6 +191,21 @@ def test_comparison_job(make_samples):
     assert d.model1.by_type["punctuation:no_comma"].total == 1
 
 
+def test_comparison_straight_from_two_responses_documents(spark, make_samples, tmp_path):
+    for name, text in (("a", "x"), ("b", "x,")):
+        rows = make_samples((text, [("punctuation:no_comma", "{}")]), (text, [("unknown:thing", "{}")])).withColumns({
+            "config": F.struct(F.lit(f"org/{name}").alias("model_name"), F.lit("bf16").alias("precision")),
+            "metadata": F.struct(F.lit(name).alias("run_name"), F.lit("t").alias("timestamp")),
+        })
+        sinks.write_documents(sinks.responses_documents(rows), str(tmp_path / name))
+    rows, _, doc = jobs.compare_responses_job(spark, str(tmp_path / "a"), str(tmp_path / "b"), str(tmp_path / "out"))
+    found = {r.instruction_type: (r.model1_count, r.model2_count) for r in rows.where("level = 'type'").collect()}
+    assert found == {"punctuation:no_comma": ("1/1", "0/1"), "unknown:thing": ("0/1", "0/1")}
+    d = doc.first()
+    assert (d.model1.name, d.model2.name) == ("org/a", "org/b") and set(d.model1.by_type) == {"punctuation:no_comma"}
+    assert (d.model1.overall, [c.instruction_type for c in d.comparison]) == (0.5, ["punctuation:no_comma"])
+
+
 TURNS = "conv_id bigint, turn bigint, role string, text string"
 
 
