@@ -7,6 +7,10 @@ matches of one (document, item, offset) must map slots one to one: the same valu
 of the item always to the same value of the document, and back. So a question with
 other numbers or names is caught, and text that merely has the same shape is not.
 
+Capitals and line breaks leave open what is a name, so each window also goes by its
+other readings: with a sentence start at a line break, without names, and by its own
+words; an item's first word also as one inside a sentence.
+
 A window in which placeholders outnumber the words says little, so it is joined by
 its own words instead. An item shorter than a window is one window.
 
@@ -112,6 +116,17 @@ class Forms(dict):
 _FORMS = []
 
 
+def _line_numbers(text, size):
+    lines = text.splitlines() if size else []
+    if len(lines) < 2:
+        return np.zeros(size, np.int64)
+    return np.repeat(np.arange(len(lines)), [len(line.split()) for line in lines])
+
+
+def templates(kinds, own):
+    return np.where(kinds == WORD, own, _KIND_HASH[np.where(kinds == WORD, 0, kinds)])
+
+
 class Canonical:
     """The canonical words of several texts, one after another: kinds, join hashes as a
     template and as they are, and the number of words of each text."""
@@ -121,25 +136,33 @@ class Canonical:
             _FORMS[:] = [Forms()]  # a worker keeps a bounded table
         self.forms = forms = _FORMS[0]
         lists = [text.split() for text in texts]
+        lines = [_line_numbers(text, len(words)) for text, words in zip(texts, lists)]
         ids = [np.fromiter(map(forms.__getitem__, words), np.int64, len(words)) for words in lists]
         table = forms.properties()
         for k, words in enumerate(lists):
             if (table["kind"][ids[k]] == SPLIT).any():
                 parts = [part for w in words for part in split_word(w)]
                 ids[k] = np.fromiter(map(forms.__getitem__, parts), np.int64, len(parts))
+                lines[k] = np.repeat(lines[k], [len(split_word(w)) for w in words])
         del lists
         table = forms.properties()
         owner = np.repeat(np.arange(len(ids)), [len(x) for x in ids])
         flat = np.concatenate(ids) if ids else np.zeros(0, np.int64)
         there = table["kind"][flat] != NOTHING
         self.ids, owner = flat[there], owner[there]
+        line = (np.concatenate(lines) if lines else np.zeros(0, np.int64))[there]
         self.sizes = np.bincount(owner, minlength=len(texts))
         rows = table[self.ids]
         kinds = rows["kind"].copy()
         # A name stands inside a sentence; a text's first word does not.
         after = np.zeros(len(kinds), bool)
         after[1:] = (owner[1:] == owner[:-1]) & ~rows["stop"][:-1]
-        kinds[rows["title"] & after] = NAME
+        title = rows["title"]
+        kinds[title & after] = NAME
+        inside = np.zeros(len(kinds), bool)
+        inside[1:] = (owner[1:] == owner[:-1]) & (line[1:] == line[:-1])
+        first = np.ones(len(kinds), bool)
+        first[1:] = owner[1:] != owner[:-1]
         # A unit is one only beside a number of the same text.
         number, same = kinds == NUM, owner[1:] == owner[:-1]
         beside = np.zeros(len(kinds), bool)
@@ -147,7 +170,16 @@ class Canonical:
         beside[:-1] |= number[1:] & same
         kinds[(kinds == UNIT) & ~beside] = WORD
         self.kinds, self.own = kinds, rows["own"]
-        self.template = np.where(kinds == WORD, self.own, _KIND_HASH[np.where(kinds == WORD, 0, kinds)])
+        self.template = templates(kinds, self.own)
+        # The same words read in other ways: a line break starts a sentence, the text's first
+        # word stands inside one, capitals say nothing, every word is itself.
+        named = (kinds == WORD) | (kinds == NAME)
+
+        def read(names):
+            return np.where(named, np.where(names, NAME, WORD), kinds).astype(kinds.dtype)
+
+        self.readings = [read(title & after & inside), read(np.zeros(len(kinds), bool)), np.zeros_like(kinds)]
+        self.first_readings = [read(title & (after | first)), read(title & ((after & inside) | first))]
 
     def value(self, k: int) -> str:
         return self.forms.values[self.ids[k]]
@@ -174,12 +206,30 @@ def window_hashes(kinds, template, own, length):
     return total ^ (total >> np.uint64(29)), is_template
 
 
-def window_row(texts: Canonical, at, length, is_template):
+def other_hashes(base, kinds, own, length):
+    """(places, join keys, which are templates) of the windows that another reading changes."""
+    n = len(kinds) - length + 1
+    differ = np.concatenate(([0], np.cumsum(base != kinds)))
+    at = np.flatnonzero(differ[length:] != differ[:-length]) if n > 0 else np.zeros(0, np.int64)
+    template, plain = templates(kinds, own), np.concatenate(([0], np.cumsum(kinds == WORD)))
+    words = plain[at + length] - plain[at]
+    is_template = 2 * words >= length
+    total, raw = np.zeros(len(at), np.uint64), np.zeros(len(at), np.uint64)
+    for j in range(length):
+        total += template[at + j] * _POWERS[j]
+        raw += own[at + j] * _POWERS[j]
+    total = np.where(is_template, total, raw ^ _OWN_WORDS)
+    total ^= total >> np.uint64(31)
+    total *= np.uint64(0xBF58476D1CE4E5B9)
+    return at, total ^ (total >> np.uint64(29)), is_template
+
+
+def window_row(texts: Canonical, kinds, at, length, is_template):
     """(canonical text, slots) of one window."""
     names = {NUM: "<num>", UNIT: "<unit>", NAME: "<name>"}
     words, slots = [], []
     for k in range(at, at + length):
-        kind = int(texts.kinds[k])
+        kind = int(kinds[k])
         if is_template and kind != WORD:
             words.append(names[kind])
             slots.append(names[kind] + texts.value(k))
@@ -190,7 +240,7 @@ def window_row(texts: Canonical, at, length, is_template):
 
 _WINDOW_FIELDS = [
     ("pos", pa.int32()), ("length", pa.int32()), ("hash", pa.int64()), ("canonical", pa.string()),
-    ("slots", pa.list_(pa.string())),
+    ("slots", pa.list_(pa.string())), ("reading", pa.int32()),
 ]
 
 
@@ -206,20 +256,27 @@ def _windows(id_type, wanted, lengths):
         owner = np.repeat(np.arange(len(texts)), words.sizes)
         rows, owners = [], []
         for length in lengths if lengths is not None else sorted({min(int(n), WINDOW) for n in words.sizes if n}):
-            hashes, is_template = window_hashes(words.kinds, words.template, words.own, length)
-            hits = np.arange(len(hashes))
-            if allowed is not None:
-                found = np.searchsorted(allowed, hashes)
-                found[found == len(allowed)] = 0
-                hits = np.flatnonzero(allowed[found] == hashes)
-            hits = hits[hits + length <= ends[owner[hits]]]
-            if lengths is None:
-                hits = hits[np.minimum(words.sizes[owner[hits]], WINDOW) == length]
-            for p in hits.tolist():
-                k, n = int(owner[p]), int(words.sizes[owner[p]])
-                text, slots = window_row(words, p, length, is_template[p])
-                rows.append((p - int(firsts[k]), length, int(hashes[p].astype(np.int64)), text, slots, n - length + 1, n))
-                owners.append(k)
+            for reading, kinds in enumerate([words.kinds, *words.readings, *(words.first_readings if lengths is None else [])]):
+                if reading:
+                    places, hashes, is_template = other_hashes(words.kinds, kinds, words.own, length)
+                else:
+                    hashes, is_template = window_hashes(kinds, words.template, words.own, length)
+                    places = np.arange(len(hashes))
+                hits = np.arange(len(hashes))
+                if allowed is not None:
+                    found = np.searchsorted(allowed, hashes)
+                    found[found == len(allowed)] = 0
+                    hits = np.flatnonzero(allowed[found] == hashes)
+                hits = hits[places[hits] + length <= ends[owner[places[hits]]]]
+                if lengths is None:
+                    hits = hits[np.minimum(words.sizes[owner[places[hits]]], WINDOW) == length]
+                for h in hits.tolist():
+                    p = int(places[h])
+                    k, n = int(owner[p]), int(words.sizes[owner[p]])
+                    text, slots = window_row(words, kinds, p, length, is_template[h])
+                    rows.append((p - int(firsts[k]), length, int(hashes[h].astype(np.int64)), text, slots,
+                                 int(reading > 0), n - length + 1, n))
+                    owners.append(k)
         if rows:
             columns = list(zip(*rows))
             return pa.RecordBatch.from_arrays(
@@ -243,7 +300,7 @@ def _window_table(df, id_col, text_col, wanted, lengths):
     kind = df.schema[id_col].dataType
     out = schema(
         id=kind, pos=T.IntegerType(), length=T.IntegerType(), hash=T.LongType(), canonical=T.StringType(),
-        slots=T.ArrayType(T.StringType()), windows=T.IntegerType(), words=T.IntegerType())
+        slots=T.ArrayType(T.StringType()), reading=T.IntegerType(), windows=T.IntegerType(), words=T.IntegerType())
     texts = df.select(df[id_col].alias("id"), F.coalesce(df[text_col], F.lit("")).alias("text"))
     return texts.mapInArrow(_windows(to_arrow_type(kind), wanted, lengths), out)
 
@@ -266,22 +323,32 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col="doc_id", text_co
         wanted = spark.sparkContext.broadcast(np.sort(hashes) if len(hashes) else np.zeros(1, np.uint64))
     found = _window_table(docs, id_col, text_col, wanted, lengths)
     found = found.select(F.col("id").alias("doc"), F.col("pos").alias("doc_pos"), "length", "hash", "canonical",
-                         F.col("slots").alias("doc_slots"))
+                         F.col("slots").alias("doc_slots"), F.col("reading").alias("doc_reading"))
     item_windows = items.select(
         F.col("id").alias("item"), F.col("pos").alias("item_pos"), "length", "hash", "canonical",
-        F.col("slots").alias("item_slots"), "windows", "words")
+        F.col("slots").alias("item_slots"), F.col("reading").alias("item_reading"), "windows", "words")
     matches = found.join(item_windows, ["hash", "length", "canonical"])
     # Per offset: the item's positions, and its slots with what stands there in the document. Both
     # are bounded by the item's length.
+    slots = F.arrays_zip(F.col("item_slots").alias("i"), F.col("doc_slots").alias("d"))
+    as_read = (F.col("doc_reading") == 0) & (F.col("item_reading") == 0)
+
+    def one_to_one(slots):
+        return (F.size(slots) == F.size(F.array_distinct(F.col(f"{slots}.i")))) & (
+            F.size(slots) == F.size(F.array_distinct(F.col(f"{slots}.d"))))
+
     offsets = matches.groupBy("doc", "item", (F.col("doc_pos") - F.col("item_pos")).alias("offset")).agg(
-        F.collect_set("item_pos").alias("positions"),
-        F.array_distinct(F.flatten(F.collect_set(
-            F.arrays_zip(F.col("item_slots").alias("i"), F.col("doc_slots").alias("d"))))).alias("slots"),
+        F.collect_set("item_pos").alias("all_positions"), F.collect_set(F.when(as_read, F.col("item_pos"))).alias("own_positions"),
+        F.array_distinct(F.flatten(F.collect_set(slots))).alias("all_slots"),
+        F.array_distinct(F.flatten(F.collect_set(F.when(as_read, slots)))).alias("own_slots"),
         F.max("windows").alias("windows"), F.max("length").alias("length"),
     )
-    one_to_one = (F.size("slots") == F.size(F.array_distinct(F.col("slots.i")))) & (
-        F.size("slots") == F.size(F.array_distinct(F.col("slots.d"))))
-    pairs = offsets.where(one_to_one).groupBy("doc", "item").agg(
+    # Other readings add windows; where their slots do not fit, the windows as they are still count.
+    offsets = offsets.withColumn("fits", one_to_one("all_slots")).select(
+        "doc", "item", "windows", "length",
+        F.when(F.col("fits"), F.col("all_positions")).otherwise(F.col("own_positions")).alias("positions"),
+        F.when(F.col("fits"), F.col("all_slots")).otherwise(F.col("own_slots")).alias("slots"))
+    pairs = offsets.where(one_to_one("slots") & (F.size("positions") > 0)).groupBy("doc", "item").agg(
         F.array_sort(F.array_distinct(F.flatten(F.collect_set("positions")))).alias("positions"),
         F.max("windows").alias("windows_total"), F.max("length").alias("length"),
         F.max(F.exists("slots", lambda s: s["i"] != s["d"])).alias("reparameterised"),

@@ -80,3 +80,19 @@ def test_clean_documents_stay(spark, texts):
     benchmark = spark.createDataFrame([(1, ITEM)], "item_id long, text string")
     kept = dec.drop_contaminated(docs, benchmark)
     assert kept.columns == docs.columns and sorted(map(repr, (r.doc_id for r in kept.collect()))) == ["4", "None"]
+
+
+def test_other_cases_headings_and_line_breaks(found):
+    short, named = "Bring Anna the red book today", "Why did Paul and Mary Smith leave old London with Peter Brown after Easter"
+    renamed = "Question 7)\nWhy did John and Jane Jones leave old Berlin with Frank Green after Christmas"
+    values = [
+        f"Exercise 4 {short}", f"A heading\n{short} and more", around(short.upper()), around(short.lower()),
+        around(named.upper()), around(named.lower()), f"A heading {named}", named.replace("old London", "old\nLondon"),
+        renamed, renamed.replace("\n", " "), "Bring nobody the red book today", around("bring anna a red book today"),
+    ]
+    assert sorted(found(values, [short, named])) == [(0, 0), (1, 0), (2, 0), (3, 0)] + [(k, 1) for k in range(4, 10)]
+
+
+def test_line_breaks_do_not_lose_windows(found):
+    got = found([around(" | ".join(ITEM.upper().split())), around(ITEM.replace(" ", "\n"))], [ITEM])
+    assert sorted(got) == [(0, 0), (1, 0)] and all(r.coverage >= 0.95 for r in got.values())
