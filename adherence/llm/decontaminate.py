@@ -3,9 +3,9 @@
 Words lose case and surrounding punctuation; numbers, names and units become typed
 placeholders, whose own values are kept as slots. Windows of eight canonical words
 are hash-joined between documents and benchmark items and compared in full. The
-matches of one (document, item, offset) must map slots one to one: the same value
-of the item always to the same value of the document, and back. So a question with
-other numbers or names is caught, and text that merely has the same shape is not.
+matches of one (document, item, offset) must map slots consistently: the same value
+of the item always to the same value of the document; different values may become
+equal. So a question with other numbers or names is caught.
 
 Capitals and line breaks leave open what is a name, so each window also goes by its
 other readings: with a sentence start at a line break, without names, and by its own
@@ -333,9 +333,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col="doc_id", text_co
     slots = F.arrays_zip(F.col("item_slots").alias("i"), F.col("doc_slots").alias("d"))
     as_read = (F.col("doc_reading") == 0) & (F.col("item_reading") == 0)
 
-    def one_to_one(slots):
-        return (F.size(slots) == F.size(F.array_distinct(F.col(f"{slots}.i")))) & (
-            F.size(slots) == F.size(F.array_distinct(F.col(f"{slots}.d"))))
+    def consistent(slots):
+        return F.size(slots) == F.size(F.array_distinct(F.col(f"{slots}.i")))
 
     offsets = matches.groupBy("doc", "item", (F.col("doc_pos") - F.col("item_pos")).alias("offset")).agg(
         F.collect_set("item_pos").alias("all_positions"), F.collect_set(F.when(as_read, F.col("item_pos"))).alias("own_positions"),
@@ -344,11 +343,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col="doc_id", text_co
         F.max("windows").alias("windows"), F.max("length").alias("length"),
     )
     # Other readings add windows; where their slots do not fit, the windows as they are still count.
-    offsets = offsets.withColumn("fits", one_to_one("all_slots")).select(
+    offsets = offsets.withColumn("fits", consistent("all_slots")).select(
         "doc", "item", "windows", "length",
         F.when(F.col("fits"), F.col("all_positions")).otherwise(F.col("own_positions")).alias("positions"),
         F.when(F.col("fits"), F.col("all_slots")).otherwise(F.col("own_slots")).alias("slots"))
-    pairs = offsets.where(one_to_one("slots") & (F.size("positions") > 0)).groupBy("doc", "item").agg(
+    pairs = offsets.where(consistent("slots") & (F.size("positions") > 0)).groupBy("doc", "item").agg(
         F.array_sort(F.array_distinct(F.flatten(F.collect_set("positions")))).alias("positions"),
         F.max("windows").alias("windows_total"), F.max("length").alias("length"),
         F.max(F.exists("slots", lambda s: s["i"] != s["d"])).alias("reparameterised"),

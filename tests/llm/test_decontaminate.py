@@ -96,3 +96,8 @@ def test_other_cases_headings_and_line_breaks(found):
 def test_line_breaks_do_not_lose_windows(found):
     got = found([around(" | ".join(ITEM.upper().split())), around(ITEM.replace(" ", "\n"))], [ITEM])
     assert sorted(got) == [(0, 0), (1, 0)] and all(r.coverage >= 0.95 for r in got.values())
+
+
+def test_different_values_may_become_equal(found):
+    got = found([around(ITEM.replace("300", "7").replace("4 hours", "7 hours")), around(ITEM.replace("120", "85", 1))], [ITEM])
+    assert sorted(got) == [(0, 0)] and got[0, 0].reparameterised
