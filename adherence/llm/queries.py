@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, functions as F
 
 from adherence.llm import (
-    bpe, common, decontaminate, exact_dedup, language_id, passages, quality, secret_scan, secret_sql, sharding, simhash, token_counts,
+    bpe, common, decontaminate, exact_dedup, language_id, passages, pieces, quality, secret_scan, secret_sql, sharding, simhash, token_counts,
 )
 
 QUERIES = {}
@@ -111,3 +111,11 @@ def op10_secret_scan(spark, sf_dir):
 
 
 ORACLE["op10_secret_scan"] = secret_sql.SQL
+
+
+@query
+def op13_sentencepiece(spark, sf_dir):
+    import public_tokenizers as vocabularies
+
+    docs, model = table(spark, sf_dir, "documents"), vocabularies.path("piece_bpe_32k.model")
+    return pieces.piece_digests(pieces.encode_pieces(docs, model))
