@@ -3,7 +3,8 @@
 from pyspark.sql import DataFrame, functions as F
 
 from adherence.llm import (
-    bpe, common, decontaminate, exact_dedup, language_id, passages, pieces, quality, secret_scan, secret_sql, sharding, simhash, token_counts,
+    bpe, common, decontaminate, exact_dedup, language_id, passages, pieces, quality, secret_scan, secret_sql, sharding, simhash, spelling,
+    spelling_sql, token_counts,
 )
 
 QUERIES = {}
@@ -113,6 +114,16 @@ def op10_secret_scan(spark, sf_dir):
 ORACLE["op10_secret_scan"] = secret_sql.SQL
 
 
+@query
+def op12_spelling_variants(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    words = spelling.word_counts(docs, change=spelling.without_one)
+    return spelling.variant_groups(common.written(words, "words"), min_length=spelling.MIN_LENGTH)
+
+
+ORACLE["op12_spelling_variants"] = spelling_sql.SQL
+
+
 @query
 def op13_sentencepiece(spark, sf_dir):
     import public_tokenizers as vocabularies
