@@ -3,7 +3,7 @@
 SQL = """
 WITH RECURSIVE crc_table AS (
   SELECT list(c ORDER BY b) AS entry FROM (
-    SELECT b, list_reduce(list_prepend(b, range(8)), (c, _) ->
+    SELECT b, list_reduce(list_prepend(b, range(8)), lambda c, b:
       CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) AS c
     FROM range(256) bytes(b))
 ), runs AS (
@@ -12,8 +12,8 @@ WITH RECURSIVE crc_table AS (
   FROM documents
 ), hashed AS (
   SELECT run, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(
-      range(octet_length(encode(key))), k -> ('0x' || substr(hex(encode(key)), 2 * k + 1, 2))::BIGINT)),
-    (c, byte) -> xor(c // 256, entry[xor(c % 256, byte) + 1]))) AS h
+      range(octet_length(encode(key))), lambda k: ('0x' || substr(hex(encode(key)), 2 * k + 1, 2))::BIGINT)),
+    lambda c, byte: xor(c // 256, entry[xor(c % 256, byte) + 1]))) AS h
   FROM (SELECT run, coalesce(doc_id::VARCHAR, '') || ':' || run AS key FROM runs WHERE length(run) >= 7), crc_table
 ), words AS (
   SELECT word, count(*) AS n
@@ -22,10 +22,10 @@ WITH RECURSIVE crc_table AS (
   WHERE length(word) >= 7
   GROUP BY word HAVING count(*) >= 2
 ), less AS (
-  SELECT word, n, at, substr(word, 1, at - 1) || substr(word, at + 1) AS rest
-  FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS at FROM words)
+  SELECT word, n, place, substr(word, 1, place - 1) || substr(word, place + 1) AS rest
+  FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS place FROM words)
 ), near AS (
-  SELECT a.word, b.word AS near, b.n AS near_n FROM less a JOIN less b ON a.rest = b.rest AND a.at = b.at AND a.word <> b.word
+  SELECT a.word, b.word AS near, b.n AS near_n FROM less a JOIN less b ON a.rest = b.rest AND a.place = b.place AND a.word <> b.word
   UNION
   SELECT a.word, b.word, b.n FROM less a JOIN words b ON a.rest = b.word
   UNION
