@@ -20,20 +20,19 @@ byte pieces, or the unknown piece where the model has none.
 """
 
 import heapq
-import itertools
+import re
 import struct
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-import regex
 import sentencepiece
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from adherence.llm.common import keyed_texts, schema
 
-#: Stretches kept with their ids in a worker, the longest kept, and pairs kept.
-KEPT_STRETCHES = 200_000
+#: Stretches kept with their ids in a worker (and as many older ones), the longest kept, and pairs kept.
+KEPT_STRETCHES = 150_000
 KEPT_LENGTH = 64
 KEPT_PAIRS = 1_000_000
 
@@ -70,18 +69,37 @@ def merged(text: str, rank: dict) -> tuple[list[str], list[tuple[int, str, str]]
     return [p for p in parts if p is not None], made
 
 
+class _Followers(dict):
+    """Whether a piece may stand after a certain one: looked up or tested."""
+
+    def __init__(self, table, prior):
+        super().__init__()
+        self.table, self.prior = table, prior
+
+    def __missing__(self, piece):
+        may = self[piece] = self.table.follows(self.prior, piece)
+        return may
+
+
 class PrefixTable:
-    """The encoder of one vocabulary: {piece: score}."""
-
-    def __init__(self, scores: dict):
-        order = {score: k for k, score in enumerate(sorted(set(scores.values()), reverse=True))}
-        self.rank = {piece: order[score] for piece, score in scores.items()}
-        self.automaton = ahocorasick.Automaton()
-        for piece in scores:
-            self.automaton.add_word(piece, (len(piece), piece))
-        if scores:
+    """The encoder of one vocabulary: {id: (piece, score)}."""
+
+    def __init__(self, vocabulary: dict):
+        order = {score: k for k, score in enumerate(sorted({score for _, score in vocabulary.values()}, reverse=True))}
+        self.rank = {piece: order[score] for piece, score in vocabulary.values()}
+        self.start = max(vocabulary, default=-1) + 1  # stands before a text and for a character outside the vocabulary
+        self.names, self.sizes = [""] * self.start, [1] * (self.start + 1)
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+        for k, (piece, _) in vocabulary.items():
+            self.names[k], self.sizes[k] = piece, len(piece)
+            self.automaton.add_word(piece, k)
+        if vocabulary:
             self.automaton.make_automaton()
-        self.histories, self.pairs = {}, {}
+        self.histories = {}
+        self._forget()
+
+    def _forget(self):
+        self.followers, self.n_kept = [_Followers(self, k) for k in range(self.start + 1)], 0
 
     def history(self, piece: str):
         """(rank of its last merge, left part, right part, whether its merges come in the
@@ -95,8 +113,6 @@ class PrefixTable:
 
     def compatible(self, a: str, b: str) -> bool:
         """Whether merging the text of both leaves just them."""
-        if self.history(b) is None:
-            return False
         if not (self.history(a)[3] and self.history(b)[3]):
             return merged(a + b, self.rank)[0] == [a, b]
         # Until: the merge after which the two border parts are no longer neighbours. At the
@@ -116,47 +132,49 @@ class PrefixTable:
             else:
                 until, b = formed_b, inner_b
 
-    def pieces(self, text: str) -> list[str]:
-        """The encoding of a text; characters outside the vocabulary stay as they are."""
-        if not self.rank.keys() >= set(text):
-            stretches = itertools.groupby(text, self.rank.__contains__)
-            return [p for inside, s in stretches for p in (self.pieces("".join(s)) if inside else s)]
-        last, pairs = [None] * (len(text) + 1), self.pairs
-        for end, (size, found) in self.automaton.iter(text):
-            end += 1
-            if last[end] is None:
-                if prior := last[end - size]:
-                    fits = pairs.get((prior, found))
-                    if fits is None:
-                        if len(pairs) >= KEPT_PAIRS:
-                            pairs.clear()
-                        fits = pairs[prior, found] = self.compatible(prior, found)
-                else:
-                    fits = self.history(found) is not None
-                if fits:
-                    last[end] = found
-        backwards, end = [], len(text)
-        while end:
-            backwards.append(last[end])
-            end -= len(last[end])
-        return backwards[::-1]
+    def follows(self, prior: int, piece: int) -> bool:
+        """Whether a piece may stand after another one, or at the start."""
+        self.n_kept += 1
+        if self.history(self.names[piece]) is None:
+            return False
+        return prior == self.start or self.compatible(self.names[prior], self.names[piece])
+
+    def ids(self, text: str) -> list[int]:
+        """The encoding of a text; a character outside the vocabulary is -1 - its code point."""
+        if self.n_kept >= KEPT_PAIRS:
+            self._forget()
+        start, sizes, followers = self.start, self.sizes, self.followers
+        last = [start] * (len(text) + 1)  # by the place of the prefix's last character; at -1 the empty one
+        if start:
+            for end, piece in self.automaton.iter(text):
+                if last[end] == start and followers[last[end - sizes[piece]]][piece]:
+                    last[end] = piece
+        backwards, end = [], len(text) - 1
+        while end >= 0:
+            piece = last[end]
+            backwards.append(piece if piece != start else -1 - ord(text[end]))
+            end -= sizes[piece]
+        backwards.reverse()
+        return backwards
 
 
 class Coder(dict):
-    """One model file: stretches of normalised text to ids (little-endian, unsigned 32-bit)."""
+    """One model file: stretches of normalised text to ids (little-endian, unsigned 32-bit).
+    The table is bounded: when it is full it becomes the older one, which is asked once more."""
 
     def __init__(self, model_file: str):
         super().__init__()
+        self.older = {}
         self.model = m = sentencepiece.SentencePieceProcessor(model_file=model_file)
-        self.ids = {m.id_to_piece(k): k for k in range(m.get_piece_size())
-                    if not (m.is_control(k) or m.is_unknown(k) or m.is_byte(k))}
-        if any(m.is_unused(k) for k in self.ids.values()):
+        every = range(m.get_piece_size())
+        if any(map(m.is_unused, every)):
             raise ValueError("a vocabulary with unused pieces is not supported")
-        self.table = PrefixTable({piece: m.get_score(k) for piece, k in self.ids.items()})
-        bytes_ = {m.id_to_piece(k): k for k in range(m.get_piece_size()) if m.is_byte(k)}
+        known = [k for k in every if not (m.is_control(k) or m.is_unknown(k) or m.is_byte(k))]
+        self.table = PrefixTable({k: (m.id_to_piece(k), m.get_score(k)) for k in known})
+        bytes_ = {m.id_to_piece(k): k for k in every if m.is_byte(k)}
         self.of_byte = [bytes_[f"<0x{b:02X}>"] for b in range(256)] if bytes_ else None
-        cuts = not any(MARK in piece.lstrip(MARK) for piece in self.ids)
-        self.stretches = regex.compile(f"{MARK}*+[^{MARK}]*+(?<=.)" if cuts else "(?s:.+)", regex.S).findall
+        cuts = not any(MARK in piece.lstrip(MARK) for piece in self.table.rank)
+        self.stretches = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+" if cuts else "(?s:.+)").findall
         self.first = np.array([m.bos_id()], "<u4").tobytes()
         self.last = np.array([m.eos_id()], "<u4").tobytes()
 
@@ -166,15 +184,15 @@ class Coder(dict):
         return [self.of_byte[b] for b in character.encode("utf-8", "surrogatepass")]
 
     def __missing__(self, stretch):
-        ids, known = [], self.ids
-        for piece in self.table.pieces(stretch):
-            if piece in known:
-                ids.append(known[piece])
-            else:
-                ids += self._of_unknown(piece)
-        packed = struct.pack(f"<{len(ids)}I", *ids)
+        packed = self.older.get(stretch)
+        if packed is None:
+            ids = self.table.ids(stretch)
+            if min(ids) < 0:
+                ids = [k for i in ids for k in ([i] if i >= 0 else self._of_unknown(chr(-1 - i)))]
+            packed = struct.pack(f"<{len(ids)}I", *ids)
         if len(stretch) <= KEPT_LENGTH:
             if len(self) >= KEPT_STRETCHES:
+                self.older = dict(self)
                 self.clear()
             self[stretch] = packed
         return packed
