@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, functions as F
 
 from adherence.llm import (
-    bpe, common, decontaminate, exact_dedup, language_id, passages, pieces, quality, secret_scan, secret_sql, sharding, simhash, spelling,
+    bpe, common, decontaminate, exact_dedup, language_id, negatives, negatives_sql, passages, pieces, quality, secret_scan, secret_sql, sharding, simhash, spelling,
     spelling_sql, token_counts,
 )
 
@@ -114,6 +114,16 @@ def op10_secret_scan(spark, sf_dir):
 ORACLE["op10_secret_scan"] = secret_sql.SQL
 
 
+@query
+def op11_hard_negatives(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings")
+    label = F.when(vectors.vec_id % 7 == 0, (vectors.label + 1) % 10).otherwise(vectors.label)
+    return negatives.hard_negatives(vectors.withColumn("label", label), negatives.every_hundredth)
+
+
+ORACLE["op11_hard_negatives"] = negatives_sql.SQL
+
+
 @query
 def op12_spelling_variants(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
