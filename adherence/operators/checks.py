@@ -60,6 +60,7 @@ class Instruction:
     language: Column | None = None
     languages: tuple = ()
     keyword_pool: tuple = tuple(DEFAULT_KEYWORD_POOL)
+    sentences: object = None
 
     def arg(self, name):
         return self.args[name]
@@ -355,6 +356,10 @@ def _json_task(i):
     return t.let(t.json_body(i.text), lambda b: F.when(t.may_be_json(b), task("json", b)))
 
 
+def _sentence_count(i):
+    return t.sentence_count(i.text) if i.sentences is None else i.sentences.count(i.text)
+
+
 CHANGE = r"(?d)\*.*\*"
 
 
@@ -445,7 +450,7 @@ _CHECKS = [
           lambda i: _language(i) if i.language is not None else F.lit(False),
           problem=_needs_language(_wanted_language), defaulted=_unset(null=("language",))),
     Check("length_constraints:number_sentences", ("num_sentences", "relation"),
-          lambda i: i.compare(t.sentence_count(i.text), i.number("num_sentences", 1, 20), i.relation()),
+          lambda i: i.compare(_sentence_count(i), i.number("num_sentences", 1, 20), i.relation()),
           problem=_bad_relation(), defaulted=_relation_and("num_sentences")),
     Check("length_constraints:number_paragraphs", ("num_paragraphs",), _paragraphs,
           defaulted=_unset("num_paragraphs")),

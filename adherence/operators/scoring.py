@@ -33,6 +33,7 @@ class ScoringOptions:
     keyword_pool: tuple = tuple(DEFAULT_KEYWORD_POOL)
     on_error: str = "mark"  # or "fail"
     language_model: object = None  # operators.language.LanguageModel
+    sentence_model: object = None  # operators.sentences.SentenceModel; fixed abbreviations without one
     _columns: dict = field(default_factory=dict, repr=False, compare=False)
 
     def columns(self, name, build):
@@ -109,7 +110,7 @@ def _view(x, options, outcome=None) -> Instruction:
         text=F.col("response"), args=x["args"], raw=F.when(x["args"].isNotNull(), x["raw"]), row_id=row_id, outcome=outcome,
         language=None if options.language_model is None else F.col("_language"),
         languages=() if options.language_model is None else tuple(options.language_model.names),
-        keyword_pool=tuple(options.keyword_pool),
+        keyword_pool=tuple(options.keyword_pool), sentences=options.sentence_model,
     )
 
 

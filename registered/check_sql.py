@@ -151,6 +151,64 @@ def sentence_count(x):
     return f"CASE WHEN {strip(x)} = '' THEN 0 ELSE {count(t, '[.?!]+' + CLOSERS + ws + '+')} + 1 END"
 
 
+# Characters around a word, and those before the first one of a sentence.
+AROUND = "\"'“”‘’()[]{}«»,;:*_<>-"
+OPENING = "[\"'“”‘’(\\[{«*_<-]*"
+TYPE = "\\p{L}(?:[\\p{L}.]*\\p{L})?"
+INITIALS = "^(?:\\p{L}[.])*\\p{L}$"
+
+
+def _log_odds(k, n, p):
+    return f"(CASE WHEN {k} > 0 THEN {k} * ln({p}) ELSE 0 END + CASE WHEN {n} > {k} THEN ({n} - {k}) * ln(1 - {p}) ELSE 0 END)"
+
+
+def sentence_ctes(source):
+    """CTEs abbreviation(word) and starter(word): log-likelihood ratios of the token counts
+    of `source`, a statement with a column v."""
+    tokens = f"list_filter(regexp_split_to_array({strip('v')}, {lit('[' + SPACES + ']+')}), lambda w: w <> '')"
+    core = lambda x: f"trim({x}, {lit(AROUND)})"
+    stopped = lambda x: f"regexp_matches({x}, '(^|[^.])[.]$')"
+    kind = lambda x: (f"CASE WHEN regexp_matches(CASE WHEN {stopped(x)} THEN left({x}, length({x}) - 1) ELSE {x} END, {lit('^' + TYPE + '$')}) "
+                      f"THEN lower(CASE WHEN {stopped(x)} THEN left({x}, length({x}) - 1) ELSE {x} END) END")
+    return f"""sent_list AS MATERIALIZED (SELECT {tokens} AS w FROM ({source}) src),
+sent_pair AS MATERIALIZED (SELECT {core('token')} AS core, {core('before')} AS prior,
+    lower(regexp_extract(token, {lit('^' + OPENING + '([' + chr(92) + 'p{L}' + chr(92) + 'p{N}]+)')}, 1)) AS word
+  FROM (SELECT unnest(w) AS token, unnest(list_concat([''], w[1:len(w) - 1])) AS before FROM sent_list WHERE len(w) > 0)),
+sent_type AS (SELECT {kind('core')} AS word, count(*)::DOUBLE AS n, sum({stopped('core')}::INT)::DOUBLE AS k FROM sent_pair GROUP BY 1),
+sent_all AS (SELECT sum(n) AS tokens, sum(k) AS stops FROM sent_type),
+abbreviation AS MATERIALIZED (SELECT word FROM (
+    SELECT word, -2 * ({_log_odds('k', 'n', '(stops / tokens)')} - {_log_odds('k', 'n', '0.99::DOUBLE')}) * exp(-letters) * (inner_stops + 1)
+      * pow(letters, k - n) AS score
+    FROM (SELECT *, length(word) - length(replace(word, '.', '')) AS inner_stops, length(replace(word, '.', ''))::DOUBLE AS letters
+      FROM sent_type, sent_all WHERE word IS NOT NULL AND k > 0)) WHERE score >= 0.3),
+sent_start AS (SELECT word, count(*)::DOUBLE AS n, sum(starts::INT)::DOUBLE AS k FROM (
+    SELECT word, regexp_matches(prior, '[.?!]$') AND NOT regexp_matches(prior, '[.][.]$') AND NOT coalesce({stopped('prior')}
+      AND (kind IN (SELECT word FROM abbreviation) OR regexp_matches(kind, {lit(INITIALS)})), FALSE) AS starts
+    FROM (SELECT *, {kind('prior')} AS kind FROM sent_pair)) GROUP BY word),
+sent_total AS (SELECT sum(n) AS tokens, sum(k) AS starts FROM sent_start),
+starter AS MATERIALIZED (SELECT word FROM (
+    SELECT word, n / tokens AS p, k / starts AS p1, (n - k) / greatest(tokens - starts, 1) AS p2,
+      -2 * ({_log_odds('k', 'starts', 'p')} + {_log_odds('(n - k)', '(tokens - starts)', 'p')}
+        - {_log_odds('k', 'starts', 'p1')} - {_log_odds('(n - k)', '(tokens - starts)', 'p2')}) AS score
+    FROM sent_start, sent_total WHERE word <> '' AND k > 0) WHERE p1 > p AND score >= 30)"""
+
+
+def learned_sentence_count(x):
+    """Sentences of x, token by token, with the words of sentence_ctes."""
+    s = strip(x)
+    short = f"regexp_extract(w[i], {lit('(?:^|[^' + chr(92) + 'p{L}' + chr(92) + 'p{N}.])(' + TYPE + ')[.]$')}, 1)"
+    after = f"regexp_extract(w[i + 1], {lit('^' + OPENING + '([' + chr(92) + 'p{L}' + chr(92) + 'p{N}]*)')}, 1)"
+    opens = f"(regexp_matches({after}, '^{chr(92)}p{{Lu}}') AND list_contains(known[1].starters, lower({after})))"
+    within = (f"({short} <> '' AND (regexp_matches({short}, {lit(INITIALS)}) OR (list_contains(known[1].abbreviations, lower({short})) AND NOT {opens}))) "
+              f"OR (regexp_matches(w[i], '[.][.]$') AND NOT regexp_matches(w[i + 1], '^{chr(92)}p{{Lu}}'))")
+    ends = f"regexp_matches(w[i], {lit('[.?!]' + CLOSERS + '$')})"
+    on = lambda e: e.replace("w[", "r.w[").replace("known[", "r.known[")
+    ends_, within_ = on(ends), on(within)
+    known = ("[{'abbreviations': (SELECT coalesce(list(word), []) FROM abbreviation), 'starters': (SELECT coalesce(list(word), []) FROM starter)}]")
+    return (f"CASE WHEN {s} = '' THEN 0 ELSE 1 + list_transform([{{'w': regexp_split_to_array({s}, {lit('[' + SPACES + ']+')}), 'known': {known}}}], "
+            f"lambda r: list_sum(list_transform(range(1, len(r.w)), lambda i: CASE WHEN ({ends_}) AND NOT ({within_}) THEN 1 ELSE 0 END)))[1] END")
+
+
 # Token rules one by one: (pattern, replacement); the last ones need spaces around.
 TOKEN_RULES = [
     (r'(^|[ (\[{<])"', "$1 `` "),

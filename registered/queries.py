@@ -11,6 +11,7 @@ from adherence.operators.checks import DEFAULT_KEYWORD_POOL, LANGUAGE_CHECKS, LA
 from adherence.operators.generate import generate_responses
 from adherence.operators.language import LanguageModel
 from adherence.operators.scoring import ScoringOptions
+from adherence.operators.sentences import ABBREVIATION_SCORE, SentenceModel, abbreviation_scores
 from adherence.schemas import MMLU_DOCUMENT, RESPONSES_DOCUMENT, RESULT_DOCUMENT, TRAINING_METADATA
 from adherence.session import checkpoint_dir
 from adherence.sources import documents as docs, sinks
@@ -64,6 +65,11 @@ def language_model(spark, sf):
     return kept(spark, sf, "language", lambda: LanguageModel.fit(table(spark, sf, "documents")))
 
 
+def sentence_model(spark, sf):
+    """Learned from the texts whose sentences are counted."""
+    return kept(spark, sf, "sentences", lambda: SentenceModel.fit(responses(spark, sf), "response"))
+
+
 def options(spark, sf):
     return kept(spark, sf, "options", lambda: ScoringOptions(language_model=language_model(spark, sf)))
 
@@ -75,11 +81,15 @@ def scored(spark, sf, shift=0):
 # --- the checks ----------------------------------------------------------------
 
 
+SENTENCE_CHECK = "length_constraints:number_sentences"
+
+
 def check_query(inst_id):
     def run(spark, sf):
         model = language_model(spark, sf) if inst_id in LANGUAGE_CHECKS else None
         chosen = kept(spark, sf, inst_id, lambda: ScoringOptions(
-            registry=Registry([replace(default_registry()[inst_id], enabled=True)]), language_model=model))
+            registry=Registry([replace(default_registry()[inst_id], enabled=True)]), language_model=model,
+            sentence_model=sentence_model(spark, sf) if inst_id == SENTENCE_CHECK else None))
         rows = sql(spark, sf, fixture.check_samples_sql(inst_id, "spark")).drop("lang")
         outcomes = scoring.scores_long(scoring.score_samples(rows, chosen))
         return outcomes.select(
@@ -260,11 +270,23 @@ def _(spark, sf):
     r = F.col("response")
     return responses(spark, sf).select(
         "doc_id", t.word_count(r).cast("bigint").alias("n_words"),
-        t.sentence_count(r).cast("bigint").alias("n_sentences"),
+        sentence_model(spark, sf).count(r).cast("bigint").alias("n_sentences"),
         t.is_upper(r).alias("is_upper"), t.is_lower(r).alias("is_lower"),
     )
 
 
+@query("sentence_model")
+def _(spark, sf):
+    """Abbreviations and sentence starters learned from the documents."""
+    return SentenceModel.fit(table(spark, sf, "documents")).table(spark)
+
+
+@query("abbreviation_scores")
+def _(spark, sf):
+    rows = abbreviation_scores(responses(spark, sf), "response")
+    return rows.select("word", "n", "n_stop", (F.col("score") >= ABBREVIATION_SCORE).alias("abbreviation"))
+
+
 @query("text_tokens")
 def _(spark, sf):
     return responses(spark, sf).select("doc_id", F.array_join(t.word_tokens(F.col("response")), " ").alias("tokens"))
