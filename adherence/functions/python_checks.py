@@ -52,6 +52,15 @@ def decide_tasks(tasks: pd.Series) -> pd.Series:
     return tasks.map(lambda row: None if row is None else [_outcome(t) for t in row])
 
 
+WANTED = "struct<op:string,patterns:array<string>,flags:string,lower:boolean>"
+
+
+def wanted(op, patterns, flags="", lower=False) -> Column:
+    """What a check asks of caller-supplied patterns; `lower`: of the text in lower case."""
+    return F.struct(
+        F.lit(op).alias("op"), patterns.alias("patterns"), F.lit(flags).alias("flags"), F.lit(lower).alias("lower"))
+
+
 def no_task() -> Column:
     return F.lit(None).cast(TASK)
 
@@ -63,3 +72,13 @@ def task(op, text, patterns=None, flags="") -> Column:
         (F.lit(None).cast("array<string>") if patterns is None else patterns).alias("patterns"),
         F.lit(flags).alias("flags"),
     )
+
+
+def task_of(asked, text) -> Column:
+    """The same as a task for Python, with the text; null where nothing is asked."""
+    return F.when(
+        asked.isNotNull() & text.isNotNull(),
+        F.struct(
+            asked["op"].alias("op"), F.when(asked["lower"], F.lower(text)).otherwise(text).alias("text"),
+            asked["patterns"].alias("patterns"), asked["flags"].alias("flags")),
+    )

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from adherence.functions import text as t
 from adherence.functions.draws import draw_between, draw_from, sample_words
-from adherence.functions.python_checks import no_task, task
+from adherence.functions.python_checks import task, wanted
 
 # Fixed values of the checks.
 RELATIONS = ["less than", "at least"]
@@ -108,6 +108,7 @@ class Check:
     problem: Callable[[Instruction], Column] | None = None
     defaulted: Callable[[Instruction], Column] | None = None
     task: Callable[[Instruction], Column] | None = None
+    patterns: Callable[[Instruction], Column] | None = None
     enabled: bool = True
     arg_types: dict = field(default_factory=dict)
 
@@ -122,7 +123,7 @@ class Check:
         ]
         if self.problem is not None:
             problems.append(self.problem(inst))
-        if self.task is not None and inst.outcome is not None:
+        if (self.task is not None or self.patterns is not None) and inst.outcome is not None:
             problems.append(inst.outcome["error"])
         return F.coalesce(*problems) if problems else F.lit(None).cast("string")
 
@@ -258,7 +259,7 @@ def _ending(i):
     return F.endswith(text, F.lower(t.strip(phrase)))
 
 
-# Keyword checks: native for plain words, Python's own engine for the rest.
+# Keyword checks: native for plain words; other patterns are translated or go to Python's own engine.
 IGNORE_CASE = "(?iud)"
 
 
@@ -272,9 +273,9 @@ def _existence(i):
     return F.when(i.n.isNotNull(), i.n == F.size(keywords)).otherwise(native)
 
 
-def _existence_task(i):
+def _existence_patterns(i):
     given = i.arg("keywords")
-    return F.when(_any_pattern(given), task("found", i.text, given, "i"))
+    return F.when(_any_pattern(given), wanted("found", given, "i"))
 
 
 def _forbidden(i):
@@ -284,10 +285,10 @@ def _forbidden(i):
     return F.when(i.n.isNotNull(), i.n == 0).otherwise(native)
 
 
-def _forbidden_task(i):
+def _forbidden_patterns(i):
     given = i.arg("forbidden_words")
     patterns = F.transform(given, lambda w: F.concat(F.lit(r"\b"), w, F.lit(r"\b")))
-    return F.when(_any_pattern(given), task("found", i.text, patterns, "i"))
+    return F.when(_any_pattern(given), wanted("found", patterns, "i"))
 
 
 def _no_keyword(i):
@@ -302,9 +303,9 @@ def _frequency(i):
     )
 
 
-def _frequency_task(i):
+def _frequency_patterns(i):
     given = t.strip(i.arg("keyword"))
-    return F.when(~t.is_plain(given), task("count", i.text, F.array(given), "i"))
+    return F.when(~t.is_plain(given), wanted("count", F.array(given), "i"))
 
 
 def _postscript(i):
@@ -318,12 +319,12 @@ def _postscript(i):
     )
 
 
-def _postscript_task(i):
+def _postscript_patterns(i):
     marker = t.strip(i.arg("postscript_marker"))
     pattern = F.concat(F.lit(r"\s*"), F.lower(marker), F.lit(".*$"))
     return F.when(
         ~t.is_plain(marker) & ~marker.isin(POSTSCRIPT_MARKERS),
-        task("count", F.lower(i.text), F.array(pattern), "m"),
+        wanted("count", F.array(pattern), "m", lower=True),
     )
 
 
@@ -334,10 +335,10 @@ def _sections(i):
     return F.coalesce(i.n, native.cast("bigint")) >= i.number("num_sections", 1, 5)
 
 
-def _sections_task(i):
+def _sections_patterns(i):
     given = t.strip(i.arg("section_spliter"))
     pattern = F.concat(F.lit(r"\s?"), given, F.lit(r"\s?\d+\s?"))
-    return F.when(~t.is_plain(given), task("splits", i.text, F.array(pattern)))
+    return F.when(~t.is_plain(given), wanted("splits", F.array(pattern)))
 
 
 def _start(i):
@@ -346,10 +347,10 @@ def _start(i):
     return F.when(i.n.isNotNull(), i.n > 0).otherwise(native)
 
 
-def _start_task(i):
+def _start_patterns(i):
     given = t.strip(i.arg("starter"))
     pattern = F.concat(F.lit(r"^\s*"), given, F.lit(".*$"))
-    return F.when(~t.is_plain(given), task("found", i.text, F.array(pattern), "m"))
+    return F.when(~t.is_plain(given), wanted("found", F.array(pattern), "m"))
 
 
 def _json_task(i):
@@ -436,12 +437,12 @@ def _relation_and(*numbers, **kw):
 
 _CHECKS = [
     Check("keywords:existence", ("keywords",), _existence,
-          defaulted=_unset(empty=("keywords",)), task=_existence_task),
+          defaulted=_unset(empty=("keywords",)), patterns=_existence_patterns),
     Check("keywords:frequency", ("keyword", "frequency", "relation"), _frequency,
-          problem=_bad_relation(), task=_frequency_task,
+          problem=_bad_relation(), patterns=_frequency_patterns,
           defaulted=lambda i: _no_keyword(i) | _relation_and("frequency")(i)),
     Check("keywords:forbidden_words", ("forbidden_words",), _forbidden,
-          defaulted=_unset(empty=("forbidden_words",)), task=_forbidden_task),
+          defaulted=_unset(empty=("forbidden_words",)), patterns=_forbidden_patterns),
     Check("keywords:letter_frequency", ("letter", "let_frequency", "let_relation"),
           lambda i: i.compare(t.letter_count(i.text, _letter(i)),
                               i.number("let_frequency", 1, 10), i.relation("let_relation")),
@@ -466,7 +467,7 @@ _CHECKS = [
           _counted(lambda c: t.count_matches(c, r"(?d)\[.*?\]"), "num_placeholders", 1, 4),
           defaulted=_unset("num_placeholders")),
     Check("detectable_content:postscript", ("postscript_marker",), _postscript,
-          defaulted=_unset(null=("postscript_marker",)), task=_postscript_task),
+          defaulted=_unset(null=("postscript_marker",)), patterns=_postscript_patterns),
     Check("detectable_format:number_bullet_lists", ("num_bullets",),
           lambda i: _bullets(i.text) == i.number("num_bullets", 1, 5),
           defaulted=_unset("num_bullets")),
@@ -475,7 +476,7 @@ _CHECKS = [
     Check("detectable_format:number_highlighted_sections", ("num_highlights",),
           _counted(_highlights, "num_highlights", 1, 4), defaulted=_unset("num_highlights")),
     Check("detectable_format:multiple_sections", ("section_spliter", "num_sections"), _sections,
-          defaulted=_unset("num_sections", null=("section_spliter",)), task=_sections_task),
+          defaulted=_unset("num_sections", null=("section_spliter",)), patterns=_sections_patterns),
     Check("detectable_format:json_format", (), lambda i: i.n == 1, task=_json_task),
     Check("detectable_format:title", (), _title),
     Check("combination:two_responses", (), _two_responses),
@@ -502,7 +503,7 @@ _CHECKS = [
     Check("startend:quotation", (), _quotation),
     # complete checks that are off unless asked for
     Check("multi-turn:constrained_start", ("starter",), _start, enabled=False,
-          defaulted=_unset(null=("starter",)), task=_start_task),
+          defaulted=_unset(null=("starter",)), patterns=_start_patterns),
     Check("detectable_format:rephrase", ("original_message",), _rephrase, enabled=False,
           problem=_rephrase_problem),
     Check("keywords:key_sentences", ("key_sentences", "num_sentences"), _key_sentences,

@@ -12,7 +12,8 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from adherence.functions.python_checks import decide_tasks, no_task
+from adherence.functions import text as t
+from adherence.functions.python_checks import WANTED, decide_tasks, no_task, task_of
 from adherence.operators.checks import (
     DEFAULT_KEYWORD_POOL,
     LANGUAGE_CHECKS,
@@ -20,6 +21,7 @@ from adherence.operators.checks import (
     Registry,
     default_registry,
 )
+from adherence.operators.translation import OUTCOMES, Translations, native_outcomes
 from adherence.schemas import args_ddl
 
 END_OF_ARGS = "\u241fend of arguments"
@@ -32,6 +34,7 @@ class ScoringOptions:
     seed: int = 42
     keyword_pool: tuple = tuple(DEFAULT_KEYWORD_POOL)
     on_error: str = "mark"  # or "fail"
+    translations: Translations | None = None  # of the samples' patterns, from translation.translated
     language_model: object = None  # operators.language.LanguageModel
     sentence_model: object = None  # operators.sentences.SentenceModel; fixed abbreviations without one
     _columns: dict = field(default_factory=dict, repr=False, compare=False)
@@ -94,14 +97,14 @@ def _instructions(options):
     )
 
 
-def _dispatch(inst_id, checks, branch, otherwise):
+def dispatch(inst_id, checks, branch, otherwise):
     out = None
     for check in checks:
         out = (F if out is None else out).when(inst_id == check.inst_id, branch(check))
     return otherwise if out is None else out.otherwise(otherwise)
 
 
-def _view(x, options, outcome=None) -> Instruction:
+def view(x, options, outcome=None) -> Instruction:
     row_id = F.concat_ws(
         "|", F.lit(str(options.seed)), F.col("run_file"),
         F.col("sample_pos").cast("string"), x["inst_pos"].cast("string"),
@@ -137,13 +140,24 @@ def _fixed_verdict(known, error):
 
 
 def _tasks(options):
-    tasked = [c for c in options.registry.enabled() if c.task is not None]
+    """What goes to Python: texts that may be JSON, and patterns without a translation."""
+    translations = options.translations
+    python_patterns = translations is None or translations.refused
+    tasked = [c for c in options.registry.enabled() if c.task is not None or c.patterns is not None and python_patterns]
     if not tasked:
         return None
 
-    def needed(x):
-        inst = _view(x, options)
-        return _dispatch(x["inst_id"], tasked, lambda c: c.task(inst), no_task())
+    def asked(check, inst, i):
+        if check.task is not None:
+            return check.task(inst)
+        todo = check.patterns(inst)
+        if translations is not None:
+            todo = F.when(F.get("_translated", i)["refused"], todo)
+        return t.let(todo, lambda w: task_of(w, inst.text))
+
+    def needed(x, i):
+        inst = view(x, options)
+        return dispatch(x["inst_id"], tasked, lambda c: asked(c, inst, i), no_task())
 
     return F.transform("_instructions", needed)
 
@@ -152,11 +166,11 @@ def _scores(options):
     checks = options.registry.enabled()
 
     def scored(x, i):
-        inst = _view(x, options, F.get("_outcomes", i))
+        inst = view(x, options, F.get("_outcomes", i))
         return F.when(
             F.col("response").isNull(), _fixed_verdict(True, "TypeError: response is null")
         ).otherwise(
-            _dispatch(x["inst_id"], checks, lambda c: _verdict(c, inst), _fixed_verdict(False, None))
+            dispatch(x["inst_id"], checks, lambda c: _verdict(c, inst), _fixed_verdict(False, None))
         )
 
     pairs = F.arrays_zip(
@@ -197,13 +211,19 @@ def score_samples(samples: DataFrame, options: ScoringOptions | None = None, kee
         needed = F.exists("_instructions", lambda x: x["inst_id"].isin(LANGUAGE_CHECKS))
         rows = options.language_model.detect(rows, F.when(needed, F.col("response")), "_language")
 
+    outcomes = []
+    if options.translations is not None:
+        rows = options.translations.joined(rows)
+        outcomes.append(native_outcomes("_translated", F.col("response")))
     tasks = options.columns("tasks", _tasks)
     if tasks is not None:
         some = F.exists("_tasks", lambda x: x.isNotNull())
         rows = rows.withColumn("_tasks", tasks)
-        rows = rows.withColumn("_outcomes", decide_tasks(F.when(some, F.col("_tasks"))))
-    else:
-        rows = rows.withColumn("_outcomes", F.lit(None).cast("array<struct<n:bigint,error:string>>"))
+        outcomes.append(decide_tasks(F.when(some, F.col("_tasks"))))
+    if len(outcomes) == 2:
+        rows = rows.withColumn("_decided", outcomes[1])
+        outcomes = [F.transform("_instructions", lambda x, i: F.coalesce(F.get(outcomes[0], i), F.get("_decided", i)))]
+    rows = rows.withColumn("_outcomes", outcomes[0] if outcomes else F.lit(None).cast(OUTCOMES))
 
     scores = options.columns("scores", _scores)
     if options.on_error == "fail":
@@ -271,8 +291,8 @@ def _descriptions(options):
     checks = [c for c in options.registry.enabled() if c.describe is not None]
 
     def described(x):
-        inst = _view(x, options)
-        text = _dispatch(
+        inst = view(x, options)
+        text = dispatch(
             x["inst_id"], checks, lambda c: c.describe(inst), F.lit(None).cast("string")
         )
         return F.struct(

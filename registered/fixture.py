@@ -209,6 +209,31 @@ def check_samples_sql(inst_id, dialect, shift=0):
   FROM ({responses_sql(dialect, shift)}) r"""
 
 
+# Caller-supplied patterns with classes, groups and look-around: (id, arguments, the same question for the other engine).
+PATTERN_CASES = [
+    ("keywords:existence", '{"keywords": ["th[aeiou]", "(?:an|on) "]}', "regexp_matches(v, '(?i)th[aeiou]') AND regexp_matches(v, '(?i)(an|on) ')"),
+    ("keywords:existence", '{"keywords": ["(?<=[aeiou])n(?=d)"]}', "regexp_matches(v, '(?i)[aeiou]nd')"),
+    ("keywords:frequency", '{"keyword": "(ing|ion)", "frequency": 5, "relation": "at least"}', "len(regexp_extract_all(v, '(?i)(ing|ion)')) >= 5"),
+    ("keywords:frequency", '{"keyword": "t(?!h)", "frequency": 20, "relation": "less than"}',
+     "len(regexp_extract_all(v, '(?i)t')) - len(regexp_extract_all(v, '(?i)th')) < 20"),
+    ("keywords:forbidden_words", '{"forbidden_words": ["wh[ae]n?|zz+"]}', "NOT regexp_matches(v, '(?i)((^|[^\\p{L}\\p{N}_])wh[ae]n?|zz+([^\\p{L}\\p{N}_]|$))')"),
+    ("detectable_format:multiple_sections", '{"section_spliter": "(Section|SECTION)", "num_sections": 4}',
+     "2 * len(regexp_extract_all(v, '(Section|SECTION)[ \\t\\n]?[0-9]+')) >= 4"),
+    ("detectable_content:postscript", '{"postscript_marker": "p[.]s[.]? than(k|x)"}', "regexp_matches(lower(v), 'p[.]s[.]? than(k|x)')"),
+    ("multi-turn:constrained_start", '{"starter": "(My|Your) answer"}', "regexp_matches(v, '(?m)^[ \\t\\n]*(My|Your) answer')"),
+    ("keywords:existence", '{"keywords": ["(broken"]}', "FALSE"),
+]
+
+
+def pattern_samples_sql(dialect):
+    """One pattern check a response, by its id."""
+    array = (lambda x: f"array({x})") if dialect == "spark" else (lambda x: f"[{x}]")
+    case = lambda k: "CASE doc_id % {} {} END".format(
+        len(PATTERN_CASES), " ".join(f"WHEN {n} THEN '{c[k]}'" for n, c in enumerate(PATTERN_CASES)))
+    return f"""SELECT source AS run_file, doc_id AS sample_pos, doc_id AS key, '' AS prompt, response, lang,
+    {array(case(0))} AS instruction_id_list, {array(case(1))} AS kwargs FROM ({responses_sql(dialect)}) r"""
+
+
 def runs_sql(dialect):
     """One scored run per source, its measures taken from the documents."""
     string = "STRING" if dialect == "spark" else "VARCHAR"

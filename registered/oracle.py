@@ -362,3 +362,8 @@ SEGMENTS = f"""SELECT *, CAST(sum(CASE WHEN {_RESET} THEN 1 ELSE 0 END) OVER (PA
 ORACLE["history_segments"] = f"SELECT conv_id, turn, role, segment FROM ({SEGMENTS}) s"
 ORACLE["active_history"] = f"""SELECT conv_id, turn, role, text FROM (SELECT *, max(segment) OVER (PARTITION BY conv_id) AS last FROM ({SEGMENTS}) s) x
 WHERE (segment = last AND NOT {_RESET}) OR role = 'system'"""
+
+_PATTERNS = f"SELECT sample_pos, instruction_id_list[1] AS inst_id, response AS v FROM ({f.pattern_samples_sql('duckdb')}) s"
+ORACLE["pattern_scores"] = f"""SELECT sample_pos, inst_id, CASE sample_pos % {len(f.PATTERN_CASES)} {' '.join(
+    f'WHEN {n} THEN {case[2]}' for n, case in enumerate(f.PATTERN_CASES))} END AS strict,
+  sample_pos % {len(f.PATTERN_CASES)} = {len(f.PATTERN_CASES) - 1} AS failed FROM ({_PATTERNS}) p"""

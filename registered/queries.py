@@ -6,7 +6,7 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from adherence.functions import draws, text as t
-from adherence.operators import batching, chat, compare, conflicts, runs, scoring
+from adherence.operators import batching, chat, compare, conflicts, runs, scoring, translation
 from adherence.operators.checks import DEFAULT_KEYWORD_POOL, LANGUAGE_CHECKS, LANGUAGE_NAMES, Registry, default_registry
 from adherence.operators.generate import generate_responses
 from adherence.operators.language import LanguageModel
@@ -211,6 +211,17 @@ def _(spark, sf):
     )
 
 
+@query("pattern_scores")
+def _(spark, sf):
+    """Checks whose patterns have classes, groups and look-around, scored without Python."""
+    rows = sql(spark, sf, fixture.pattern_samples_sql("spark")).drop("lang")
+    ids = dict.fromkeys(c[0] for c in fixture.PATTERN_CASES)
+    plain = ScoringOptions(registry=Registry([replace(default_registry()[i], enabled=True) for i in ids]))
+    chosen = replace(plain, translations=translation.translated(rows, plain), _columns={})
+    outcomes = scoring.scores_long(scoring.score_samples(rows, chosen))
+    return outcomes.select("sample_pos", "inst_id", "strict", F.col("error").isNotNull().alias("failed"))
+
+
 LOOSE_CHECK = "custom:short"
 
 
