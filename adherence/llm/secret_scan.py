@@ -2,8 +2,8 @@
 
 Candidates are found per row with SQL's regular expressions; their positions come
 from the lengths of the pieces between the matches. Hashes of the candidates' values
-are aggregated over the corpus by distinct repositories and owners: what many owners
-hold is a copied example, what one owner holds looks live. Three base kinds are
+are aggregated over the corpus by distinct owners, and by distinct repositories where the
+rows name theirs: what many hold is a copied example, what one owner holds looks live. Three base kinds are
 always reported; opaque runs (long, with letters and digits, no base value) are
 added where the frequency says that one owner holds them.
 
@@ -26,7 +26,7 @@ KINDS = ("assign", "access", "hex", "opaque")
 #: An opaque run; an assignment before it takes its characters.
 OPAQUE_LENGTH = 20
 OPAQUE = ASSIGN + r"|([A-Za-z0-9+/_-]{%d,})" % OPAQUE_LENGTH
-#: A value with at least so many distinct owners, or repositories, is a copied example.
+#: A value with at least so many distinct owners, or named repositories, is a copied example.
 COPIED_OWNERS = 3
 COPIED_REPOSITORIES = 10
 #: Matches whose lengths are added up at once.
@@ -101,23 +101,23 @@ def scan(docs: DataFrame, id_col="doc_id", text_col="text", owner_col="source",
     """One row per input row: doc_id, base and added spans (start, kind, end, hash), and
     how many of the base spans are live-looking and how many copied.
 
-    A row's repository is the row's id unless a column is named. Null texts count as
-    empty; a null owner or repository is one of its own. Rows that repeat an id each
-    get a row, and count once for frequencies. Other columns are not read; an empty
-    table gives no rows."""
+    Without a repository column only distinct owners decide, so copies of one owner's
+    document never make its secret an example. Null texts count as empty; a null owner or
+    repository is one of its own. Rows that repeat an id each get a row. Other columns are
+    not read; an empty table gives no rows."""
     text = F.coalesce(docs[text_col], F.lit(""))
     found = written(docs.select(
         F.monotonically_increasing_id().alias("row"), docs[id_col].alias("doc_id"),
         F.coalesce(docs[owner_col].cast("string"), F.lit("\0")).alias("owner"),
-        F.coalesce(docs[repository_col or id_col].cast("string"), F.lit("\0")).alias("repository"),
+        *([F.coalesce(docs[repository_col].cast("string"), F.lit("\0")).alias("repository")] if repository_col else []),
         hashed(base_spans(text)).alias("base"), hashed(opaque_spans(text)).alias("runs"),
     ), "secret-spans")
-    candidates = found.select("row", "owner", "repository", F.explode(F.concat("base", "runs")).alias("c"))
-    frequency = written(
-        candidates.groupBy(F.col("c.hash").alias("hash")).agg(
-            F.count_distinct("repository").alias("repositories"), F.count_distinct("owner").alias("owners"))
-        .select("hash", ((F.col("owners") >= copied_owners) | (F.col("repositories") >= copied_repositories)).alias("copied")),
-        "secret-frequency")
+    holders = [c for c in ("owner", "repository") if c in found.columns]
+    limits = dict(owner=copied_owners, repository=copied_repositories)
+    candidates = found.select("row", *holders, F.explode(F.concat("base", "runs")).alias("c"))
+    counts = candidates.groupBy(F.col("c.hash").alias("hash")).agg(*[F.count_distinct(h).alias(h) for h in holders])
+    copied = F.greatest(*[F.col(h) >= limits[h] for h in holders], F.lit(False))
+    frequency = written(counts.select("hash", copied.alias("copied")), "secret-frequency")
     judged = candidates.select("row", "c.*").join(frequency, "hash")
     opaque = F.col("kind") == KINDS.index("opaque")
     per_row = judged.groupBy("row").agg(

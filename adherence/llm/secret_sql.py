@@ -28,7 +28,7 @@ c AS (
     regexp_matches(v, '[0-9]') AND regexp_matches(v, '[A-Za-z]')
     AND NOT regexp_matches(v, '[0-9a-f]{{32}}') AND NOT regexp_matches(v, 'AKIA[A-Z0-9]{{12}}')))
 ),
-f AS (SELECT v, count(DISTINCT source) >= 3 OR count(DISTINCT doc_id) >= 10 AS copied FROM c GROUP BY v),
+f AS (SELECT v, count(DISTINCT coalesce(source, chr(1))) >= 3 AS copied FROM c GROUP BY v),
 j AS (SELECT c.*, f.copied FROM c JOIN f USING (v))
 SELECT d.doc_id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
   sha256(coalesce(string_agg({_SPAN}, ',' ORDER BY b, kind) FILTER (kind < 3), '')) AS base_sha256,

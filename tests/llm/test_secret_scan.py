@@ -12,8 +12,8 @@ RAW = {
 }
 
 
-def brute(rows, owners_limit=3, repositories_limit=10):
-    """rows: (id, text, owner). The contract's columns."""
+def brute(rows, owners_limit=3, repositories_limit=10, named=False):
+    """rows: (id, text, owner). The contract's columns. named: the ids name repositories."""
     opaque = re.compile(RAW[0][0].pattern + r"|([A-Za-z0-9+/_-]{20,})", re.A)
     owners, repositories, found = defaultdict(set), defaultdict(set), []
     for doc, text, owner in rows:
@@ -27,7 +27,7 @@ def brute(rows, owners_limit=3, repositories_limit=10):
         for *_, value in base + runs:
             owners[value].add(owner)
             repositories[value].add(doc)
-    copied = {v for v in owners if len(owners[v]) >= owners_limit or len(repositories[v]) >= repositories_limit}
+    copied = {v for v in owners if len(owners[v]) >= owners_limit or named and len(repositories[v]) >= repositories_limit}
     names = secret_scan.KINDS
     text_of = lambda spans: ",".join(f"{names[k]}:{s}:{e}" for s, k, e, _ in spans)
     return sorted(((
@@ -63,6 +63,17 @@ def test_many_matches_and_copied_values(spark):
     check(spark, rows)
 
 
+def test_only_owners_decide_without_repositories(spark):
+    """A key that one owner holds in many documents looks live; named repositories count."""
+    rows = [(k, f"leaked QWERTYqwerty1234567890{'' if k % 2 else ' token=livelive99'}", "one") for k in range(30)]
+    check(spark, rows)
+    assert all("opaque" in r[5] and r[7] == 0 for r in brute(rows))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = secret_scan.digests(secret_scan.scan(docs, repository_col="doc_id"))
+    assert sorted((tuple(r) for r in got.collect()), key=repr) == brute(rows, named=True)
+    assert all("opaque" not in r[5] for r in brute(rows, named=True))
+
+
 def test_random_texts(spark):
     rng = random.Random(8)
     parts = ["password", "Secret", "api_key", "APIKEY", "token", "=", ":", " ", "  ", '"', "'", "AKIA", "ABCDEFGH12345678",
