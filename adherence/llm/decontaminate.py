@@ -2,10 +2,11 @@
 
 Words lose case and surrounding punctuation; numbers, names and units become typed
 placeholders, whose own values are kept as slots. Windows of eight canonical words
-are hash-joined between documents and benchmark items and compared in full. The
-matches of one (document, item, offset) must map slots consistently: the same value
-of the item always to the same value of the document; different values may become
-equal. So a question with other numbers or names is caught.
+are hash-joined between documents and benchmark items and compared in full. Within
+one (document, item, offset), a value of the item that stands for several values of the
+document is in conflict: windows that hold it are dropped, unless all their slots are
+the item's own. Different values may become equal. So a question with other numbers or
+names is caught, and one with some of its numbers changed by its verbatim rest.
 
 Capitals and line breaks leave open what is a name, so each window also goes by its
 other readings: with a sentence start at a line break, without names, and by its own
@@ -14,7 +15,7 @@ words; an item's first word also as one inside a sentence.
 A window in which placeholders outnumber the words says little, so it is joined by
 its own words instead. An item shorter than a window is one window.
 
-A pair (document, item) is reported if the consistent windows cover at least
+A pair (document, item) is reported if the windows that are left cover at least
 `coverage` of the item's windows, or `run` words of it in a row.
 """
 
@@ -328,29 +329,24 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col="doc_id", text_co
         F.col("id").alias("item"), F.col("pos").alias("item_pos"), "length", "hash", "canonical",
         F.col("slots").alias("item_slots"), F.col("reading").alias("item_reading"), "windows", "words")
     matches = found.join(item_windows, ["hash", "length", "canonical"])
-    # Per offset: the item's positions, and its slots with what stands there in the document. Both
-    # are bounded by the item's length.
+    # Per offset: the item's windows with their slots and what stands there in the document,
+    # bounded by the item's length.
     slots = F.arrays_zip(F.col("item_slots").alias("i"), F.col("doc_slots").alias("d"))
+    window = F.struct(F.col("item_pos").alias("pos"), slots.alias("slots"))
     as_read = (F.col("doc_reading") == 0) & (F.col("item_reading") == 0)
-
-    def consistent(slots):
-        return F.size(slots) == F.size(F.array_distinct(F.col(f"{slots}.i")))
-
     offsets = matches.groupBy("doc", "item", (F.col("doc_pos") - F.col("item_pos")).alias("offset")).agg(
-        F.collect_set("item_pos").alias("all_positions"), F.collect_set(F.when(as_read, F.col("item_pos"))).alias("own_positions"),
-        F.array_distinct(F.flatten(F.collect_set(slots))).alias("all_slots"),
-        F.array_distinct(F.flatten(F.collect_set(F.when(as_read, slots)))).alias("own_slots"),
+        F.collect_set(window).alias("all"), F.collect_set(F.when(as_read, window)).alias("own"),
         F.max("windows").alias("windows"), F.max("length").alias("length"),
     )
-    # Other readings add windows; where their slots do not fit, the windows as they are still count.
-    offsets = offsets.withColumn("fits", consistent("all_slots")).select(
-        "doc", "item", "windows", "length",
-        F.when(F.col("fits"), F.col("all_positions")).otherwise(F.col("own_positions")).alias("positions"),
-        F.when(F.col("fits"), F.col("all_slots")).otherwise(F.col("own_slots")).alias("slots"))
-    pairs = offsets.where(consistent("slots") & (F.size("positions") > 0)).groupBy("doc", "item").agg(
-        F.array_sort(F.array_distinct(F.flatten(F.collect_set("positions")))).alias("positions"),
-        F.max("windows").alias("windows_total"), F.max("length").alias("length"),
-        F.max(F.exists("slots", lambda s: s["i"] != s["d"])).alias("reparameterised"),
+    # Other readings add windows; where their slots are in conflict with the windows as they
+    # are, these still count by themselves.
+    for name in ("all", "own"):
+        offsets = _without_conflicts(offsets, name)
+    pairs = offsets.select("doc", "item", "windows", "length", F.concat("all", "own").alias("kept")).where(F.size("kept") > 0)
+    changed = F.exists("kept", lambda w: F.exists(w["slots"], lambda s: s["i"] != s["d"]))
+    pairs = pairs.groupBy("doc", "item").agg(
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.transform("kept", lambda w: w["pos"]))))).alias("positions"),
+        F.max("windows").alias("windows_total"), F.max("length").alias("length"), F.max(changed).alias("reparameterised"),
     )
     longest = F.expr(
         "aggregate(positions, named_struct('last', -2, 'len', 0, 'best', 0),"
@@ -365,6 +361,18 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col="doc_id", text_co
     return pairs.where((F.col("coverage") >= coverage) | (F.col("words_in_a_row") >= run))
 
 
+def _without_conflicts(offsets: DataFrame, name) -> DataFrame:
+    """The windows of column `name` whose slots are the item's own, or hold no value that
+    stands for several."""
+    slots = F.array_sort(F.array_distinct(F.flatten(F.transform(name, lambda w: w["slots"]))))
+    sorted_ = offsets.withColumn("_slots", slots)
+    twice = F.filter("_slots", lambda s, k: s["i"] == F.get("_slots", k + 1)["i"])
+    found = sorted_.withColumn("_conflicts", F.array_distinct(F.transform(twice, lambda s: s["i"])))
+    kept = F.filter(name, lambda w: F.forall(w["slots"], lambda s: s["i"] == s["d"])
+                    | ~F.exists(w["slots"], lambda s: F.array_contains("_conflicts", s["i"])))
+    return found.withColumn(name, kept).drop("_slots", "_conflicts")
+
+
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col="doc_id", **options) -> DataFrame:
     """The rows of docs that match no benchmark item, all columns as they came."""
     bad = contaminated(docs, benchmark, id_col=id_col, **options).select(F.col("doc_id").alias("bad_id")).distinct()
