@@ -63,20 +63,20 @@ def conversation_text(turns: DataFrame, use_chat=True, template=TEMPLATE,
     A conversation longer than `turns_per_part` turns comes in several numbered
     parts whose texts follow each other, so no group is ever larger than that.
     Joining the parts in order (with a blank line between them when `use_chat`
-    is off) gives the whole text.
+    is off) gives the whole text. Turns without a conversation are one of their own;
+    those without a number come first. Messages without a role or text are left out.
     """
-    part = F.floor(F.col("turn") / turns_per_part)
-    first = turns.groupBy("conv_id").agg(F.min("turn").alias("_first"))
+    part = F.coalesce(F.floor(F.col("turn") / turns_per_part), F.lit(0))
+    first = turns.groupBy(F.col("conv_id").alias("_conv")).agg(F.min(part).alias("_first"))
     grouped = turns.groupBy("conv_id", part.alias("part")).agg(
         F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("messages"),
-        F.min("turn").alias("_from"),
     )
     if not use_chat:
         text = F.array_join(F.transform("messages", lambda m: m["text"]), "\n\n")
         return grouped.select("conv_id", "part", text.alias("text"))
     body = F.array_join(F.transform("messages", lambda m: template.message(m["role"], m["text"])), "")
-    begin = F.when(F.col("_from") == F.col("_first"), F.lit(template.begin)).otherwise(F.lit(""))
-    return grouped.join(first, "conv_id").select(
+    begin = F.when(F.col("part") == F.col("_first"), F.lit(template.begin)).otherwise(F.lit(""))
+    return grouped.join(first, F.col("conv_id").eqNullSafe(F.col("_conv"))).select(
         "conv_id", "part", F.concat(begin, body).alias("text")
     )
 
@@ -95,21 +95,25 @@ def trim_history(turns: DataFrame, keep_last=KEEP_LAST, budget=MAX_SEQ_LENGTH -
     """A conversation over the token budget keeps the system message that opens it and
     its last messages; others stay as they are. `budget=None` trims every conversation.
 
-    Rows are ranked, never made distinct: rows that share a turn number all count. One
-    aggregation gives the tokens, one join brings them to the rows, and the ranks use
-    that join's partitioning.
+    Rows are ranked, never made distinct: rows that share a turn number all count. What is
+    kept of a long conversation is a bounded top-k, cut down in each task before anything
+    moves; only conversations within the budget keep all their rows.
     """
     ties = ["role", "text"]
     newest = Window.partitionBy("conv_id").orderBy(F.desc("turn"), *[F.desc(c) for c in ties])
     oldest = Window.partitionBy("conv_id").orderBy("turn", *ties)
-    rows, stays = turns, F.lit(False)
+    size = turns.groupBy(F.col("conv_id").alias("_conv")).agg(
+        F.count("*").alias("_rows"), F.sum(token_count(F.col("text"))).alias("_tokens"))
+    within = F.coalesce(F.col("_tokens") <= budget, F.lit(True)) if budget is not None else F.lit(False)
+    same = F.col("conv_id").eqNullSafe(F.col("_conv"))
+    last = turns.withColumn("_down", F.row_number().over(newest)).where(F.col("_down") <= keep_last)
+    first = turns.withColumn("_up", F.row_number().over(oldest)).where(F.col("_up") <= 1).where(F.col("role") == "system")
+    kept = last.select(*turns.columns)
     if budget is not None:
-        size = turns.groupBy("conv_id").agg(F.sum(token_count(F.col("text"))).alias("_tokens"))
-        rows = turns.join(size, turns.conv_id.eqNullSafe(size.conv_id)).drop(size.conv_id)
-        stays = F.coalesce(F.col("_tokens") <= budget, F.lit(True))
-    ranked = rows.withColumn("_down", F.row_number().over(newest)).withColumn("_up", F.row_number().over(oldest))
-    opens = (F.col("_up") == 1) & (F.col("role") == "system")
-    return ranked.where(stays | (F.col("_down") <= keep_last) | opens).select(*turns.columns)
+        kept = kept.join(size.where(~within), same, "left_semi").unionByName(turns.join(size.where(within), same, "left_semi"))
+    # In a conversation of no more rows than are kept, the opening one is among them already.
+    long_ = size.where(~within & (F.col("_rows") > keep_last))
+    return kept.unionByName(first.select(*turns.columns).join(long_, same, "left_semi"))
 
 
 def running_total(rows: DataFrame, key, order, value: Column, out, block=TURNS_PER_PART) -> DataFrame:
@@ -117,6 +121,7 @@ def running_total(rows: DataFrame, key, order, value: Column, out, block=TURNS_P
 
     Taken in two steps: within blocks of `order`, and over the totals of the
     blocks that have any. A key with very many rows is thus spread over many tasks.
+    Rows without a key are one key, those without an order come first.
     """
     blocked = rows.withColumn("_block", F.floor(F.col(order) / block)).withColumn("_value", value)
     within = Window.partitionBy(key, "_block").orderBy(order).rowsBetween(
@@ -124,13 +129,14 @@ def running_total(rows: DataFrame, key, order, value: Column, out, block=TURNS_P
     )
     before = Window.partitionBy(key).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     totals = blocked.groupBy(key, "_block").agg(F.sum("_value").alias("_sum")).select(
-        key, "_block", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before")
+        F.col(key).alias("_key"), F.col("_block").alias("_at"), F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before")
     )
+    same = F.col(key).eqNullSafe(F.col("_key")) & F.col("_block").eqNullSafe(F.col("_at"))
     return (
         blocked.withColumn("_within", F.sum("_value").over(within))
-        .join(totals, [key, "_block"])
+        .join(totals, same)
         .withColumn(out, F.col("_before") + F.col("_within"))
-        .drop("_block", "_value", "_within", "_before")
+        .drop("_block", "_value", "_within", "_before", "_key", "_at")
     )
 
 

@@ -252,10 +252,17 @@ def runs_sql(dialect):
     FROM documents GROUP BY source) g"""
 
 
+def odd_turns_sql():
+    """Conversations some of which have lost their id (together they are one, numbered on), others a turn's number."""
+    return """SELECT CASE WHEN conv_id % 11 <> 3 THEN conv_id END AS conv_id,
+    CASE WHEN conv_id % 11 = 3 THEN conv_id * 1000 + turn WHEN turn > 0 OR conv_id % 7 <> 2 OR conv_id % 5 = 2 THEN turn END AS turn,
+    role, text FROM conversations"""
+
+
 def turns_sql():
-    """Conversations in which some user turns reset the history."""
-    return """SELECT conv_id, turn, role,
-    CASE WHEN role = 'user' AND (conv_id + turn) % 5 = 2 THEN ' Clear ' ELSE text END AS text FROM conversations"""
+    """The same; some user turns reset the history."""
+    return f"""SELECT conv_id, turn, role,
+    CASE WHEN role = 'user' AND (conv_id + turn) % 5 = 2 THEN ' Clear ' ELSE text END AS text FROM ({odd_turns_sql()}) o"""
 
 
 def instructions_sql():

@@ -348,17 +348,18 @@ FROM (SELECT item_id, CAST((row_number() OVER (ORDER BY item_id) - 1) // 8 AS BI
 WINDOW b AS (PARTITION BY batch_id)"""
 ORACLE["generated_responses"] = f"SELECT item_id, {strip(f'''('  You said: ' || {_CHAT} || chr(10))''')} AS response FROM benchmark"
 
-ORACLE["conversation_text"] = f"""SELECT conv_id, CAST(0 AS BIGINT) AS part, '<|begin_of_text|>' || string_agg({_message('role', 'text')}, '' ORDER BY turn) AS text
-FROM conversations GROUP BY conv_id"""
-ORACLE["conversation_plain_text"] = """SELECT conv_id, CAST(0 AS BIGINT) AS part, string_agg(text, chr(10) || chr(10) ORDER BY turn) AS text
-FROM conversations GROUP BY conv_id"""
+_PARTS = f"SELECT *, coalesce(CAST(floor(turn / 1024) AS BIGINT), 0) AS part FROM ({f.odd_turns_sql()}) t"
+ORACLE["conversation_text"] = f"""SELECT conv_id, part, CASE WHEN part = min(part) OVER (PARTITION BY conv_id) THEN '<|begin_of_text|>' ELSE '' END || text AS text
+FROM (SELECT conv_id, part, string_agg({_message('role', 'text')}, '' ORDER BY turn NULLS FIRST) AS text FROM ({_PARTS}) p GROUP BY conv_id, part) x"""
+ORACLE["conversation_plain_text"] = f"""SELECT conv_id, part, string_agg(text, chr(10) || chr(10) ORDER BY turn NULLS FIRST) AS text
+FROM ({_PARTS}) p GROUP BY conv_id, part"""
 _RANKED = f"""SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS up, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS down,
   sum({_NTOK}) OVER (PARTITION BY conv_id) AS tokens FROM conversations"""
 ORACLE["trimmed_history"] = f"SELECT conv_id, turn, role, text FROM ({_RANKED}) r WHERE down <= 4 OR (up = 1 AND role = 'system')"
 ORACLE["trimmed_history_over_budget"] = f"""SELECT conv_id, turn, role, text FROM ({_RANKED}) r
 WHERE tokens <= 300 OR down <= 4 OR (up = 1 AND role = 'system')"""
 _RESET = f"(role = 'user' AND lower({strip('text')}) = 'clear')"
-SEGMENTS = f"""SELECT *, CAST(sum(CASE WHEN {_RESET} THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn) AS BIGINT) AS segment FROM ({TURNS}) t"""
+SEGMENTS = f"""SELECT *, CAST(sum(CASE WHEN {_RESET} THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS BIGINT) AS segment FROM ({TURNS}) t"""
 ORACLE["history_segments"] = f"SELECT conv_id, turn, role, segment FROM ({SEGMENTS}) s"
 ORACLE["active_history"] = f"""SELECT conv_id, turn, role, text FROM (SELECT *, max(segment) OVER (PARTITION BY conv_id) AS last FROM ({SEGMENTS}) s) x
 WHERE (segment = last AND NOT {_RESET}) OR role = 'system'"""

@@ -609,12 +609,12 @@ def _(spark, sf):
 
 @query("conversation_text")
 def conversation_text(spark, sf):
-    return chat.conversation_text(table(spark, sf, "conversations"))
+    return chat.conversation_text(sql(spark, sf, fixture.odd_turns_sql(), "conversations"))
 
 
 @query("conversation_plain_text")
 def _(spark, sf):
-    return chat.conversation_text(table(spark, sf, "conversations"), use_chat=False)
+    return chat.conversation_text(sql(spark, sf, fixture.odd_turns_sql(), "conversations"), use_chat=False)
 
 
 @query("trimmed_history")
