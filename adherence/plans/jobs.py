@@ -37,10 +37,9 @@ def compare_responses_job(spark: SparkSession, path1, path2, out=None, options=N
     Each is scored once, and the outcomes are written."""
     scored, names = [], []
     for n, path in enumerate((path1, path2), 1):
-        found = documents.read_responses(spark, path)
+        found, samples = documents.read_runs(spark, path)
         name = found.agg(F.min("display_name")).first()[0]
         names.append(name if name is not None else f"model{n}")
-        samples = documents.laid_out(documents.samples_of(found), "samples")
         scored.append(score_job(spark, samples, out and f"{out.rstrip('/')}/model{n}", options).outcomes)
     registry = (options or scoring.ScoringOptions()).registry
     return compare_job(*scored, *names, use_strict, [c.inst_id for c in registry])

@@ -13,6 +13,7 @@ from adherence import schemas
 from adherence.operators.batching import first_rows
 from adherence.operators.runs import display_name
 from adherence.session import checkpoint_dir
+from adherence.sources import json_documents
 
 CORRUPT = "_corrupt_record"
 
@@ -52,6 +53,24 @@ def read_responses(spark: SparkSession, path) -> DataFrame:
     return named(well_formed(_read_json(spark, path, schemas.RESPONSES_DOCUMENT)))
 
 
+def read_runs(spark: SparkSession, path, bytes_per_range=json_documents.BYTES_PER_RANGE):
+    """(runs, samples) of the responses documents under a path, of any size: a document is
+    read in byte ranges by many tasks, and is one run.
+
+    runs: file, display_name, config, metadata; samples: run_file, sample_pos and the fields
+    of a sample. Malformed documents, also those with one malformed sample, are in neither."""
+    heads, elements = json_documents.read_documents(spark, path, "samples", bytes_per_range)
+    options = {"columnNameOfCorruptRecord": CORRUPT, "allowSingleQuotes": "false"}
+    header = f"{schemas.RESPONSES_DOCUMENT}, `{CORRUPT}` string"
+    runs = heads.select("path", "file", F.from_json("head", header, options).alias("d")).select("path", "file", "d.*")
+    sample = f"{schemas.SAMPLE[:-1]},`{CORRUPT}`:string>"
+    samples = elements.select("path", "pos", F.from_json("element", sample, options).alias("s"))
+    broken = samples.where(F.col(f"s.{CORRUPT}").isNotNull()).select("path").distinct()
+    runs = well_formed(runs).drop("samples").join(broken, "path", "left_anti")
+    kept = samples.join(runs.select("path", "file"), "path")
+    return named(runs.drop("path")), kept.select(F.col("file").alias("run_file"), F.col("pos").alias("sample_pos"), "s.*").drop(CORRUPT)
+
+
 def named(documents: DataFrame) -> DataFrame:
     return documents.withColumn("display_name", display_name())
 

@@ -3,6 +3,7 @@
 from pyspark.sql import DataFrame, functions as F
 
 from adherence.operators.runs import document_name, flat_metrics
+from adherence.sources import json_documents
 
 BYTES_PER_DOCUMENT = 64 << 20
 RUN_KEYS = ["run_name", "precision", "timestamp"]
@@ -36,7 +37,38 @@ def responses_documents(samples: DataFrame, bytes_per_document=BYTES_PER_DOCUMEN
     )
 
 
-def result_documents(accuracies: DataFrame, runs: DataFrame, timestamp, scoring_seconds, scored=None) -> DataFrame:
+def _json(struct):
+    return F.to_json(struct, {"ignoreNullFields": "false"})
+
+
+def write_responses(samples: DataFrame, path, runs: DataFrame | None = None) -> None:
+    """Samples (with `config` and `metadata` structs) as files, one document a run whatever
+    its size, its samples streamed in their order. `runs` (config, metadata) adds runs
+    without samples. Rows without a run name are left out."""
+    name = document_name("metadata.run_name", "config.precision", "metadata.timestamp")
+    header = ["config", "metadata"]
+    heads = samples.select(name.alias("document"), *header)
+    if runs is not None:
+        heads = heads.unionByName(runs.select(name.alias("document"), *header))
+    heads = heads.dropDuplicates(["document"]).select("document", _json(F.struct(*header)).alias("head"))
+    sample = F.struct("key", "prompt", "response", "instruction_id_list", "kwargs")
+    elements = samples.select(name.alias("document"), F.col("sample_pos").alias("pos"), _json(sample).alias("element"))
+    json_documents.write_documents(heads, elements, path, "samples")
+
+
+def write_results(documents: DataFrame, scored: DataFrame, path) -> None:
+    """Result documents (result_documents' rows, with their run_file) as files, each with the
+    scored samples of its run, streamed in their order."""
+    fields = [c for c in documents.columns if c not in ("document", "run_file")]
+    heads = documents.select("document", _json(F.struct(*fields)).alias("head"))
+    rows = scored_sample_rows(scored)
+    sample = F.struct(*[c for c in rows.columns if c not in {"run_file", "sample_pos"}])
+    elements = rows.select("run_file", F.col("sample_pos").alias("pos"), _json(sample).alias("element"))
+    elements = elements.join(documents.select("document", "run_file"), "run_file")
+    json_documents.write_documents(heads, elements, path, "scored_samples")
+
+
+def result_documents(accuracies: DataFrame, runs: DataFrame, timestamp, scoring_seconds, scored=None, keep_run=False) -> DataFrame:
     """One nested result per run. `accuracies` has a row per run_file, `runs` the
     run's `config` and `metadata` next to run_file; a run without samples scores 0.
     With `scored` (samples kept with their texts) each holds its scored samples."""
@@ -50,6 +82,7 @@ def result_documents(accuracies: DataFrame, runs: DataFrame, timestamp, scoring_
         joined = joined.join(samples_by_run(scored), "run_file", "left")
         inside = ["scored_samples"]
     return joined.select(
+        *(["run_file"] if keep_run else []),
         document_name("metadata.run_name", "config.precision", timestamp).alias("document"),
         F.struct(
             F.col("config.model_name"), F.col("config.lora_path"), F.col("config.precision"),

@@ -368,3 +368,18 @@ _PATTERNS = f"SELECT sample_pos, instruction_id_list[1] AS inst_id, response AS
 ORACLE["pattern_scores"] = f"""SELECT sample_pos, inst_id, CASE sample_pos % {len(f.PATTERN_CASES)} {' '.join(
     f'WHEN {n} THEN {case[2]}' for n, case in enumerate(f.PATTERN_CASES))} END AS strict,
   sample_pos % {len(f.PATTERN_CASES)} = {len(f.PATTERN_CASES) - 1} AS failed FROM ({_PATTERNS}) p"""
+
+# Samples after the round trip carry their document's name as their run.
+ORACLE["accuracy_after_round_trip"] = f"""WITH pairs AS (SELECT s.run_file, s.sample_pos, {DROPPED} AS dropped,
+    list_transform(instruction_id_list[1:least(len(instruction_id_list), len(kwargs))], lambda i: i = 'punctuation:no_comma' AND NOT contains(response, ',')) AS marks
+  FROM ({SAMPLES}) s),
+runs AS (SELECT {DOCUMENT} AS run_file, count(*) AS num_samples, CAST(sum(len(marks)) AS BIGINT) AS num_instructions,
+    CAST(sum(len(list_filter(marks, lambda m: m))) AS BIGINT) AS passed, count(*) FILTER (len(list_filter(marks, lambda m: NOT m)) = 0) AS prompts,
+    CAST(sum(dropped) AS BIGINT) AS dropped_instructions FROM pairs p JOIN ({HEADERS}) h ON h.source = p.run_file GROUP BY 1)
+SELECT run_file, num_samples, num_instructions, passed AS inst_strict_pass, passed AS inst_loose_pass, prompts AS prompt_strict_pass,
+  prompts AS prompt_loose_pass, dropped_instructions, coalesce(passed / nullif(num_instructions, 0)::DOUBLE, 0) AS inst_level_strict_acc,
+  coalesce(passed / nullif(num_instructions, 0)::DOUBLE, 0) AS inst_level_loose_acc, prompts / num_samples::DOUBLE AS prompt_level_strict_acc,
+  prompts / num_samples::DOUBLE AS prompt_level_loose_acc FROM runs"""
+ORACLE["result_round_trip"] = f"""WITH {OUTCOMES}
+SELECT {_DOC} AS file, count(*) FILTER (passed) / count(*)::DOUBLE AS accuracy, count(*) AS n, count(*) FILTER (passed) AS passed
+FROM ({HEADERS}) h JOIN ({PROMPTS}) p ON p.run_file = h.source GROUP BY 1"""

@@ -14,7 +14,7 @@ from adherence.operators.scoring import ScoringOptions
 from adherence.operators.sentences import ABBREVIATION_SCORE, SentenceModel, abbreviation_scores
 from adherence.schemas import MMLU_DOCUMENT, RESPONSES_DOCUMENT, RESULT_DOCUMENT, TRAINING_METADATA
 from adherence.session import checkpoint_dir
-from adherence.sources import documents as docs, sinks
+from adherence.sources import documents as docs, json_documents, sinks
 from registered import fixture
 
 QUERIES = {}
@@ -375,16 +375,50 @@ def scratch(spark, label):
     return f"{checkpoint_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+def round_trip(spark, sf):
+    """Responses documents written as files, one a run, and read again in small byte ranges."""
+    path = scratch(spark, "responses")
+    sinks.write_responses(samples(spark, sf).join(run_headers(spark, sf), "run_file"), path)
+    return docs.read_runs(spark, path, bytes_per_range=100_000)
+
+
 @query("responses_round_trip")
 def _(spark, sf):
-    """Responses documents written as files and read again."""
-    path = scratch(spark, "responses")
-    rows = samples(spark, sf).join(run_headers(spark, sf), "run_file")
-    sinks.write_documents(sinks.responses_documents(rows), path)
-    found = docs.read_responses(spark, path)
-    return found.select("file", "display_name", F.explode("samples").alias("s")).select(
-        "file", "display_name", "s.key", "s.prompt", "s.response",
-        F.array_join("s.instruction_id_list", ",").alias("ids"), F.array_join("s.kwargs", ",").alias("kwargs"))
+    found, rows = round_trip(spark, sf)
+    return rows.join(found.select(F.col("file").alias("run_file"), "display_name"), "run_file").select(
+        F.col("run_file").alias("file"), "display_name", "key", "prompt", "response",
+        F.array_join("instruction_id_list", ",").alias("ids"), F.array_join("kwargs", ",").alias("kwargs"))
+
+
+@query("accuracy_after_round_trip")
+def _(spark, sf):
+    """A run is one run again: accuracies of what was written and read."""
+    _, rows = round_trip(spark, sf)
+    scored_rows = scoring.score_samples(rows, ScoringOptions(registry=position_free_registry()))
+    return scoring.accuracy(scored_rows)
+
+
+def position_free_registry():
+    """A check without drawn arguments, which would depend on the run's name."""
+    return Registry([replace(default_registry()["punctuation:no_comma"], enabled=True)])
+
+
+@query("result_round_trip")
+def _(spark, sf):
+    """Result documents with their scored samples, written as files and read again."""
+    path = scratch(spark, "results")
+    rows = kept(spark, sf, "scored with texts", lambda: docs.laid_out(
+        scoring.score_samples(samples(spark, sf), options(spark, sf), keep=("response",)), "scored"))
+    built = sinks.result_documents(
+        scoring.accuracy(rows), run_headers(spark, sf), F.lit("20260201_000000"), F.lit(0.5), keep_run=True)
+    sinks.write_results(built, rows, path)
+    heads, elements = json_documents.read_documents(spark, path, "scored_samples", bytes_per_range=100_000)
+    found = docs.scored_results(docs.parse_documents(heads.select("file", "head"), RESULT_DOCUMENT, "head"))
+    marks = F.from_json("element", "key bigint, scores struct<strict:array<boolean>>")
+    passed = elements.select("path", marks.alias("s")).select(
+        F.element_at(F.split("path", "/"), -1).alias("file"), "s.key", F.forall("s.scores.strict", lambda b: b).alias("passed"))
+    return found.select("file", F.col("results.ifeval.prompt_level_strict_acc").alias("accuracy")).join(
+        passed.groupBy("file").agg(F.count("key").alias("n"), F.count_if("passed").alias("passed")), "file")
 
 
 @query("read_instructions")
