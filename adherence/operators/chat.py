@@ -95,25 +95,27 @@ def trim_history(turns: DataFrame, keep_last=KEEP_LAST, budget=MAX_SEQ_LENGTH -
     """A conversation over the token budget keeps the system message that opens it and
     its last messages; others stay as they are. `budget=None` trims every conversation.
 
-    Rows are ranked, never made distinct: rows that share a turn number all count. What is
-    kept of a long conversation is a bounded top-k, cut down in each task before anything
-    moves; only conversations within the budget keep all their rows.
+    Rows are ranked, never made distinct: rows that share a turn number all count. The
+    ranks are taken in two steps, within blocks of turns and over what the blocks keep, so
+    that no task sorts a very long conversation.
     """
     ties = ["role", "text"]
-    newest = Window.partitionBy("conv_id").orderBy(F.desc("turn"), *[F.desc(c) for c in ties])
-    oldest = Window.partitionBy("conv_id").orderBy("turn", *ties)
-    size = turns.groupBy(F.col("conv_id").alias("_conv")).agg(
-        F.count("*").alias("_rows"), F.sum(token_count(F.col("text"))).alias("_tokens"))
-    within = F.coalesce(F.col("_tokens") <= budget, F.lit(True)) if budget is not None else F.lit(False)
-    same = F.col("conv_id").eqNullSafe(F.col("_conv"))
-    last = turns.withColumn("_down", F.row_number().over(newest)).where(F.col("_down") <= keep_last)
-    first = turns.withColumn("_up", F.row_number().over(oldest)).where(F.col("_up") <= 1).where(F.col("role") == "system")
-    kept = last.select(*turns.columns)
+
+    def ranked(rows, *keys):
+        newest = Window.partitionBy(*keys).orderBy(F.desc("turn"), *[F.desc(c) for c in ties])
+        oldest = Window.partitionBy(*keys).orderBy("turn", *ties)
+        return rows.withColumn("_down", F.row_number().over(newest)).withColumn("_up", F.row_number().over(oldest))
+
+    rows = turns.withColumn("_stays", F.lit(False))
     if budget is not None:
-        kept = kept.join(size.where(~within), same, "left_semi").unionByName(turns.join(size.where(within), same, "left_semi"))
-    # In a conversation of no more rows than are kept, the opening one is among them already.
-    long_ = size.where(~within & (F.col("_rows") > keep_last))
-    return kept.unionByName(first.select(*turns.columns).join(long_, same, "left_semi"))
+        size = turns.groupBy(F.col("conv_id").alias("_conv")).agg(F.sum(token_count(F.col("text"))).alias("_tokens"))
+        stays = F.coalesce(F.col("_tokens") <= budget, F.lit(True))
+        rows = turns.join(size, F.col("conv_id").eqNullSafe(F.col("_conv"))).withColumn("_stays", stays)
+    last = F.col("_stays") | (F.col("_down") <= keep_last)
+    block = F.coalesce(F.floor(F.col("turn") / TURNS_PER_PART), F.lit(-1))
+    ends = ranked(rows.withColumn("_block", block), "conv_id", "_block").where(last | (F.col("_up") == 1))
+    opens = (F.col("_up") == 1) & (F.col("role") == "system")
+    return ranked(ends, "conv_id").where(last | opens).select(*turns.columns)
 
 
 def running_total(rows: DataFrame, key, order, value: Column, out, block=TURNS_PER_PART) -> DataFrame:

@@ -51,12 +51,11 @@ def test_trimming_against_a_plain_version(spark):
             assert got == plain_trim(rows, keep_last, budget), (budget, keep_last)
 
 
-def test_a_long_conversation_is_cut_down_before_it_moves(spark):
-    """One conversation with a third of all rows: each task sends at most k of its rows."""
+def test_a_long_conversation_is_ranked_in_blocks(spark):
+    """One conversation with a third of all rows: no window holds more than a block of it."""
     long = spark.range(200_000).selectExpr("0L as conv_id", "id as turn", "'user' as role", "'a b c' as text")
     others = spark.range(400_000).selectExpr("1 + id % 9000 as conv_id", "id as turn", "'user' as role", "'a b c' as text")
-    turns = long.union(others)
-    trimmed = chat.trim_history(turns, keep_last=3, budget=None)
+    trimmed = chat.trim_history(long.union(others), keep_last=3, budget=None)
     assert trimmed.where("conv_id = 0").count() == 3 and trimmed.count() == 3 * 9001
-    plan = trimmed._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("WindowGroupLimit") >= 4 and "Partial" in plan
+    plan = trimmed._jdf.queryExecution().optimizedPlan().toString()
+    assert "_block" in plan and chat.TURNS_PER_PART == 1024
