@@ -6,9 +6,9 @@ the mean of its chunks' values, and a logistic layer makes them one probability.
 A filter is a table per tap, indexed by the byte, so a convolution is a few table
 look-ups and sums.
 
-The fit runs on a bounded sample of labelled rows (ROWS, and CHUNKS chunks of each,
-spread over the whole text); scoring runs in Spark tasks over every chunk of every
-text, in blocks of bounded size.
+The fit runs on a bounded sample of labelled rows (about ROWS of them, fewer where their
+texts are long: about BYTES), each learned from as a whole; scoring runs in Spark tasks
+over every chunk of every text, in blocks of bounded size.
 """
 
 from dataclasses import dataclass
@@ -23,9 +23,9 @@ TAPS = 6
 FILTERS = 16
 CHUNK = 512
 OVERLAP = 64
-#: Labelled rows that the fit reads, in expectation, by a hash of the id; and chunks of each.
+#: Labelled rows that the fit reads, in expectation, by a hash of the id; and bytes of their texts.
 ROWS = 4_000
-CHUNKS = 12
+BYTES = 24_000_000
 EPOCHS = 14
 BATCH = 64
 RATE = 0.01
@@ -149,41 +149,32 @@ def train(texts: list[np.ndarray], labels: np.ndarray, epochs=EPOCHS, seed=7) ->
     return model
 
 
-def _sampled_chunks(batches):
-    """Up to CHUNKS chunks of each text, spread over all of it."""
-    for batch in batches:
-        packed = []
-        for value in batch.column("text"):
-            chunks = chunks_of(value.as_py())
-            take = np.unique(np.linspace(0, len(chunks) - 1, min(CHUNKS, len(chunks))).astype(int))
-            packed.append(np.ascontiguousarray(chunks[take], "<u2").tobytes())
-        yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(packed, pa.binary())], names=["label", "chunks"])
-
-
 def fit(docs: DataFrame, labels: DataFrame, label_col="quality", id_col="doc_id", text_col="text",
-        rows=ROWS, epochs=EPOCHS) -> QualityModel:
+        rows=ROWS, size=BYTES, epochs=EPOCHS) -> QualityModel:
     """A model from the rows of docs that labels (id_col, label_col) names. Null labels
     do not count, an id labelled more than once has the mean of its labels, rounded.
-    About `rows` labelled rows are read, by a hash of the id. Without labels the model
-    says one half of everything."""
+    About `rows` labelled rows are read, by a hash of the id, and fewer where their texts
+    have more than `size` bytes together; their texts are read whole. Without labels the
+    model says one half of everything."""
     known = (
         labels.select(labels[id_col].alias("id"), labels[label_col].alias("label")).where("label is not null and id is not null")
         .groupBy("id").agg(F.round(F.avg("label")).cast("int").alias("label"))
     )
+    known = written(known, "quality-known")
+    texts = docs.select(docs[id_col].alias("id"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
     share = min(1.0, rows / max(1, known.count()))
     draw = F.pmod(F.xxhash64("id", F.lit("quality")), F.lit(1 << 40)) / float(1 << 40)
     # About `rows` rows of two numbers.
-    chosen = F.broadcast(written(known.where(draw < share), "quality-labels"))
-    texts = docs.select(docs[id_col].alias("id"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
-    sample = texts.join(chosen, "id").select("label", "text").mapInArrow(_sampled_chunks, "label int, chunks binary")
-    found = sample.collect()  # at most rows * CHUNKS * CHUNK values
+    chosen = written(known.where(draw < share), "quality-labels")
+    labelled = written(texts.join(F.broadcast(chosen), "id").select("id", "label", "text"), "quality-texts")
+    bytes_ = labelled.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    found = labelled.where(draw < share * min(1.0, size / max(1, bytes_))).select("label", "text").collect()
     if not found:
         model = start_model(np.random.default_rng(0))
         model.weights[:] = 0
         return model
-    found.sort(key=lambda r: (r["label"], bytes(r["chunks"])))  # the same fit whatever the order of tasks
-    chunks = [np.frombuffer(r["chunks"], "<u2").reshape(-1, CHUNK) for r in found]
-    return train(chunks, np.array([r["label"] for r in found], np.float64), epochs)
+    found.sort(key=lambda r: (r.label, r.text))  # the same fit whatever the order of tasks
+    return train([chunks_of(r.text) for r in found], np.array([r.label for r in found], np.float64), epochs)
 
 
 def score_column(model: QualityModel, spark, text):

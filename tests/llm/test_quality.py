@@ -1,4 +1,5 @@
 import os
+import random
 
 import numpy as np
 import pytest
@@ -57,3 +58,25 @@ def test_held_out_accuracy(spark):
     scores, ones = np.array([r.score for r in rows]), np.array([r.quality for r in rows]) == 1
     area = np.mean(scores[ones][:, None] > scores[~ones][None, :])
     assert right >= 0.9 and area >= 0.95
+
+
+def test_learned_from_whole_texts(spark):
+    """What tells the labels apart stands far behind in long texts."""
+    rng = random.Random(9)
+    filler = lambda: " ".join(rng.choices(["aa", "bb", "cc", "dd"], k=2_500))
+    rows = [(k, filler() + (" zq" * 40 if k % 2 else " vw" * 40) + " " + filler(), k % 2) for k in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, quality int")
+    model = quality.fit(docs.drop("quality"), docs.drop("text"))
+    assert sum((model.score(t) >= 0.5) == bool(y) for _, t, y in rows) >= 57
+
+
+def test_fewer_rows_where_texts_are_long(spark):
+    docs = spark.createDataFrame([(k, "x" * 10_000, k % 2) for k in range(100)], "doc_id long, text string, quality int")
+    seen = []
+    real = quality.train
+    try:
+        quality.train = lambda texts, labels, epochs: seen.append(len(texts)) or real(texts[:2], labels[:2], 1)
+        quality.fit(docs.drop("quality"), docs.drop("text"), size=200_000)
+    finally:
+        quality.train = real
+    assert 5 <= seen[0] <= 40
