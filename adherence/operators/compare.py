@@ -2,7 +2,7 @@
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from adherence.operators.scoring import unnest
+from adherence.operators.scoring import score_samples, unnest
 
 # Fixed values of the comparison.
 TIE_BELOW = 0.001
@@ -68,6 +68,19 @@ def compare_models(scored1: DataFrame, scored2: DataFrame, use_strict=True) -> D
     return compare_stats(level_stats(type_stats(sides, ("side",)), ("side",)), use_strict)
 
 
+def scored_sides(samples1: DataFrame, samples2: DataFrame, options=None) -> DataFrame:
+    """The scores of two models' samples next to their `side`, 1 or 2: one table is scored
+    once, so there is one scoring plan, not one a model."""
+    both = samples1.withColumn("side", F.lit(1)).unionByName(samples2.withColumn("side", F.lit(2)))
+    return score_samples(both, options, keep=("side",)).select("side", "scores")
+
+
+def compare_samples(samples1: DataFrame, samples2: DataFrame, options=None, use_strict=True) -> DataFrame:
+    """compare_models straight from the samples (of the same columns)."""
+    levels = level_stats(type_stats(scored_sides(samples1, samples2, options), ("side",)), ("side",))
+    return compare_stats(levels, use_strict)
+
+
 def compare_stats(levels: DataFrame, use_strict=True, with_stats=False) -> DataFrame:
     """Comparison rows out of level statistics by `side`; with_stats keeps both sides' counts."""
     passed = F.col("strict_pass" if use_strict else "loose_pass")

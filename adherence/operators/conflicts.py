@@ -29,7 +29,7 @@ DECLARED = {
     "change_case:english_lowercase": ["change_case:english_capital"],
     "startend:quotation": ["detectable_format:title"],
 }
-# These conflict with everything registered but the ones listed.
+# These conflict with everything registered but the ones listed.
 DECLARED_ALL_BUT = {
     "detectable_format:constrained_response": [],
     "detectable_format:json_format": ["keywords:forbidden_words", "keywords:existence"],

@@ -110,7 +110,13 @@ def in_time_order(results: DataFrame) -> DataFrame:
 
 
 def read_mmlu(spark: SparkSession, folder) -> DataFrame:
-    return well_formed(_read_json(spark, f"{folder.rstrip('/')}/mmlu*.json", schemas.MMLU_DOCUMENT))
+    """Results of the multiple-choice task: files named mmlu..., or folders of one document each."""
+    return well_formed(_read_json(spark, f"{folder.rstrip('/')}/{{mmlu*,document=mmlu*}}.json", schemas.MMLU_DOCUMENT))
+
+
+def read_comparisons(spark: SparkSession, path, ddl) -> DataFrame:
+    """Comparison documents under a path, with the fields that `ddl` names."""
+    return well_formed(_read_json(spark, path, ddl))
 
 
 def read_training_metadata(spark: SparkSession, path) -> DataFrame:

@@ -161,3 +161,24 @@ TEMPLATES = {'language:response_language': 'Your ENTIRE response should be in {l
  'change_case:capital_word_frequency': 'In your response, words with all capital letters should appear '
                                        '{capital_relation} {capital_frequency} times.',
  'startend:quotation': 'Wrap your entire response with double quotation marks.'}
+
+# Conflicting instructions, besides each one's with itself.
+CONFLICTS = {
+    "language:response_language": [
+        "detectable_format:multiple_sections", "keywords:existence", "keywords:frequency", "keywords:forbidden_words",
+        "startend:end_checker", "change_case:english_capital", "change_case:english_lowercase"],
+    "length_constraints:number_paragraphs": ["length_constraints:nth_paragraph_first_word", "length_constraints:number_sentences"],
+    "length_constraints:nth_paragraph_first_word": ["length_constraints:number_paragraphs"],
+    "detectable_format:multiple_sections": ["language:response_language", "detectable_format:number_highlighted_sections"],
+    "change_case:capital_word_frequency": ["change_case:english_lowercase", "change_case:english_capital"],
+    "change_case:english_lowercase": ["change_case:english_capital"],
+    "startend:quotation": ["detectable_format:title"],
+}
+# These conflict with every instruction but the ones listed.
+CONFLICTS_ALL_BUT = {
+    "detectable_format:constrained_response": [],
+    "detectable_format:json_format": ["keywords:forbidden_words", "keywords:existence"],
+    "combination:two_responses": [
+        "keywords:forbidden_words", "keywords:existence", "language:response_language", "detectable_format:title", "punctuation:no_comma"],
+    "combination:repeat_prompt": ["keywords:existence", "detectable_format:title", "punctuation:no_comma"],
+}

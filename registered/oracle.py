@@ -2,7 +2,6 @@
 
 import re
 
-from adherence.operators import conflicts as _conflicts
 from registered import check_sql as c
 from registered import expected as k
 from registered import fixture as f
@@ -176,8 +175,11 @@ ORACLE["loose_comparison"] = f"""SELECT level, CASE WHEN level <> 'overall' THEN
 FROM (SELECT count(*) FILTER (loose) AS p, count(*) AS t FROM ({_SHORT(0)})) x, (SELECT count(*) FILTER (loose) AS p, count(*) AS t FROM ({_SHORT(5)})) y,
   (VALUES ('type', ''), ('category', ' wins'), ('overall', '')) l(level, w)"""
 
-_DECLARED = ", ".join(f"('{a}', '{b}')" for a, b in _conflicts.declared_pairs())
-_IDS = ", ".join(f"('{i}')" for i in _conflicts.REGISTERED)
+_ALL = f.INSTRUCTION_IDS[:-1]
+_DECLARED = ", ".join(f"('{a}', '{b}')" for a, b in [
+    *((a, b) for a, others in k.CONFLICTS.items() for b in others),
+    *((a, b) for a, spared in k.CONFLICTS_ALL_BUT.items() for b in _ALL if b not in spared)])
+_IDS = ", ".join(f"('{i}')" for i in _ALL)
 ORACLE["conflicting_pairs"] = f"""WITH d(a, b) AS (VALUES {_DECLARED}),
 closed AS (SELECT a, b FROM d UNION SELECT b, a FROM d UNION SELECT i, i FROM (VALUES {_IDS}) t(i)),
 e AS (SELECT sample_pos, unnest(instruction_id_list) AS id, generate_subscripts(instruction_id_list, 1) AS pos FROM ({SAMPLES}) s)
@@ -383,3 +385,11 @@ SELECT run_file, num_samples, num_instructions, passed AS inst_strict_pass, pass
 ORACLE["result_round_trip"] = f"""WITH {OUTCOMES}
 SELECT {_DOC} AS file, count(*) FILTER (passed) / count(*)::DOUBLE AS accuracy, count(*) AS n, count(*) FILTER (passed) AS passed
 FROM ({HEADERS}) h JOIN ({PROMPTS}) p ON p.run_file = h.source GROUP BY 1"""
+ORACLE["results_folder"] = ORACLE["load_results"]
+ORACLE["mmlu_folder"] = ORACLE["mmlu_rows"]
+ORACLE["comparison_round_trip"] = f"""WITH {BOTH}
+SELECT 'first vs second.json' AS file, 'first' AS name1, 'second' AS name2, (SELECT count(*) FILTER (strict) / count(*)::DOUBLE FROM o) AS overall1,
+  (SELECT count(*) FILTER (strict) / count(*)::DOUBLE FROM b) AS overall2,
+  (SELECT count(DISTINCT inst_id) FROM o WHERE {_KNOWN}) AS n_types,
+  (SELECT string_agg(concat_ws('|', instruction_type, model1_count, model2_count, winner), ',' ORDER BY instruction_type)
+   FROM ({COMPARISON}) c WHERE level = 'type' AND instruction_type <> 'unknown:thing') AS compared"""

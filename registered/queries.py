@@ -180,21 +180,23 @@ def _(spark, sf):
     return compare.level_stats(compare.type_stats(scored(spark, sf)))
 
 
+def compared(spark, sf):
+    return compare.compare_samples(samples(spark, sf), samples(spark, sf, 5), options(spark, sf))
+
+
 @query("model_comparison")
 def model_comparison(spark, sf):
-    rows = compare.compare_models(scored(spark, sf), scored(spark, sf, 5))
-    return compare.sorted_comparison(rows)
+    return compare.sorted_comparison(compared(spark, sf))
 
 
 @query("comparison_wins")
 def _(spark, sf):
-    return compare.wins(compare.compare_models(scored(spark, sf), scored(spark, sf, 5)))
+    return compare.wins(compared(spark, sf))
 
 
 @query("comparison_document")
 def _(spark, sf):
-    sides = scored(spark, sf).select(F.lit(1).alias("side"), "scores").unionByName(
-        scored(spark, sf, 5).select(F.lit(2).alias("side"), "scores"))
+    sides = compare.scored_sides(samples(spark, sf), samples(spark, sf, 5), options(spark, sf))
     levels = compare.level_stats(compare.type_stats(sides, ("side",)), ("side",))
     rows = compare.compare_stats(levels, with_stats=True)
     doc = compare.comparison_document(rows, "first", "second", [c.inst_id for c in default_registry()])
@@ -222,6 +224,28 @@ def _(spark, sf):
     return outcomes.select("sample_pos", "inst_id", "strict", F.col("error").isNotNull().alias("failed"))
 
 
+COMPARISON_DOCUMENT = (
+    "model1 struct<name:string,overall:double,by_type:map<string,struct<total:bigint>>>, model2 struct<name:string,overall:double>, "
+    "comparison array<struct<instruction_type:string,model1_count:string,model2_count:string,winner:string>>")
+
+
+@query("comparison_round_trip")
+def _(spark, sf):
+    """The comparison document written as a file and read again."""
+    sides = compare.scored_sides(samples(spark, sf), samples(spark, sf, 5), options(spark, sf))
+    levels = compare.level_stats(compare.type_stats(sides, ("side",)), ("side",))
+    doc = compare.comparison_document(
+        compare.compare_stats(levels, with_stats=True), "first", "second", [c.inst_id for c in default_registry()])
+    path = scratch(spark, "comparison")
+    sinks.write_documents(doc.withColumn("document", F.lit("first vs second.json")), path)
+    found = docs.read_comparisons(spark, path, COMPARISON_DOCUMENT)
+    rows = F.transform(F.array_sort("comparison"), lambda c: F.concat_ws(
+        "|", c["instruction_type"], c["model1_count"], c["model2_count"], c["winner"]))
+    return found.select(
+        "file", F.col("model1.name").alias("name1"), F.col("model2.name").alias("name2"), F.col("model1.overall").alias("overall1"),
+        F.col("model2.overall").alias("overall2"), F.size("model1.by_type").cast("bigint").alias("n_types"), F.array_join(rows, ",").alias("compared"))
+
+
 LOOSE_CHECK = "custom:short"
 
 
@@ -498,6 +522,23 @@ def _(spark, sf):
         F.col("config.num_samples").alias("num_samples"), runs.model_type().alias("model_type"))
 
 
+def text_files(texts, path):
+    """Each text as a file of its own, named after it; malformed ones as they are."""
+    texts.select(F.col("file").alias("document"), "value").write.option("maxRecordsPerFile", 1).partitionBy("document").text(path)
+
+
+@query("results_folder")
+def _(spark, sf):
+    """A folder of result files, some of them cut short, and files of other kinds beside them."""
+    path = scratch(spark, "results")
+    other = run_rows(spark, sf).select(F.concat("source", F.lit("_other.json")).alias("file"), F.lit('{"results": {"other": 1}}').alias("value"))
+    text_files(result_texts(spark, sf).unionByName(other), path)
+    rows = docs.in_time_order(docs.read_results(spark, path))
+    return rows.select(
+        "file", F.col("metadata.run_name").alias("run_name"), F.col("metadata.timestamp").alias("timestamp"),
+        F.col("config.num_samples").alias("num_samples"), runs.model_type().alias("model_type"))
+
+
 @query("run_configs")
 def _(spark, sf):
     return runs.run_configs(results(spark, sf)).select(
@@ -547,8 +588,7 @@ def _(spark, sf):
                         "results.ifeval.*")
 
 
-@query("mmlu_rows")
-def _(spark, sf):
+def mmlu_texts(spark, sf):
     rows = run_rows(spark, sf)
     task = F.struct(F.col("prompt_strict").alias("acc_norm,none"))
     doc = F.struct(
@@ -559,8 +599,23 @@ def _(spark, sf):
         F.when(F.col("n") % 4 != 2, F.col("model_name")).alias("model_name"),
         F.col("generation_seconds").cast("string").alias("total_evaluation_time_seconds"),
     )
-    texts = rows.select(F.concat(F.lit("mmlu_"), "source", F.lit("_results_2026.json")).alias("file"), F.to_json(doc).alias("value"))
-    return runs.mmlu_rows(docs.well_formed(docs.parse_documents(texts, MMLU_DOCUMENT)))
+    return rows.select(F.concat(F.lit("mmlu_"), "source", F.lit("_results_2026.json")).alias("file"), F.to_json(doc).alias("value"))
+
+
+@query("mmlu_rows")
+def _(spark, sf):
+    return runs.mmlu_rows(docs.well_formed(docs.parse_documents(mmlu_texts(spark, sf), MMLU_DOCUMENT)))
+
+
+@query("mmlu_folder")
+def _(spark, sf):
+    """A folder of result files of the multiple-choice task, with malformed ones and others beside them."""
+    path = scratch(spark, "mmlu")
+    texts = mmlu_texts(spark, sf)
+    broken = texts.select(F.concat(F.lit("mmlu_cut_"), "file").alias("file"), F.left("value", F.length("value") - 5).alias("value"))
+    others = texts.select(F.concat(F.lit("other_"), "file").alias("file"), "value")
+    text_files(texts.unionByName(broken).unionByName(others), path)
+    return runs.mmlu_rows(docs.read_mmlu(spark, path))
 
 
 def training_runs(spark, sf):
