@@ -15,20 +15,23 @@ def first_rows(rows: DataFrame, n, order) -> DataFrame:
 
 def with_position(rows: DataFrame, order, out="position", rows_per_block=None) -> DataFrame:
     """Number the rows 0, 1, ... by an `order` column of any sortable type, nulls first;
-    equal keys are numbered in some order.
+    equal keys are numbered by a digest of their row, equal rows in some order.
 
-    The rows are range-partitioned once, sorted, and written to the shared folder with
-    their place in their partition; a partition's count (one number each) moves it up
-    by those before. `rows_per_block` asks for partitions of about that size, else
-    Spark's own number stands; the result does not depend on it.
+    The rows are range-partitioned once by key and digest, so that a key that many rows
+    share is split too, sorted, and written to the shared folder with their place in their
+    partition; a partition's count (one number each) moves it up by those before.
+    `rows_per_block` asks for partitions of about that size, else Spark's own number stands;
+    the numbers of different rows do not depend on it.
     """
-    key = F.col(order).asc_nulls_first()
-    dealt = rows.repartitionByRange(key)
+    hashable = [f.name for f in rows.schema.fields if "map<" not in f.dataType.simpleString()]
+    tied = rows.withColumn("_tie", F.xxhash64(*hashable)).withColumn("_row", F.xxhash64(F.monotonically_increasing_id()))
+    keys = [F.col(order).asc_nulls_first(), F.col("_tie"), F.col("_row")]
+    dealt = tied.repartitionByRange(*keys)
     if rows_per_block:
-        dealt = rows.repartitionByRange(max(1, math.ceil(rows.count() / rows_per_block)), key)
+        dealt = tied.repartitionByRange(max(1, math.ceil(rows.count() / rows_per_block)), *keys)
     # the id holds the partition in its upper bits, the place in the partition below
     placed = written(
-        dealt.sortWithinPartitions(key).withColumn("_at", F.monotonically_increasing_id())
+        dealt.sortWithinPartitions(*keys).drop("_tie", "_row").withColumn("_at", F.monotonically_increasing_id())
         .withColumn("_block", F.shiftright("_at", 33)).withColumn("_n", F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))),
         "positions",
     )
