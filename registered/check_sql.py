@@ -57,9 +57,15 @@ def one_of(name, options):
 
 
 def sampled(name, n):
-    pool = "[" + ", ".join(lit(w) for w in k.DEFAULT_KEYWORD_POOL) + "]"
-    keyed = f"list_sort(list_transform({pool}, lambda w: md5(rid || '|{name}|' || w) || w))"
-    return f"list_transform(list_slice({keyed}, 1, {n}), lambda w: substr(w, 33))"
+    """Different words by index: the j-th draw is of all but the last n - j, and gives way to the last of those if taken."""
+    pool, size = f"[{', '.join(lit(w) for w in k.DEFAULT_KEYWORD_POOL)}]", len(k.DEFAULT_KEYWORD_POOL)
+    chosen = "CAST([] AS BIGINT[])"
+    for j in range(n):
+        top = f"({size} - {n} + {j})"
+        t = draw(f"{name}|{j}", f"{top} + 1")
+        chosen = (f"list_transform([{{'c': {chosen}, 't': {t}}}], "
+                  f"lambda s: list_append(s.c, CASE WHEN list_contains(s.c, s.t) THEN {top} ELSE s.t END))[1]")
+    return f"list_transform({chosen}, lambda i: ({pool})[i + 1])"
 
 
 def unset(name):
