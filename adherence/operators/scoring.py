@@ -321,6 +321,11 @@ def accuracy(scored: DataFrame, by=("run_file",)) -> DataFrame:
         F.count_if("prompt_loose_pass").alias("prompt_loose_pass"),
         F.sum("dropped_instructions").alias("dropped_instructions"),
     )
+    return with_rates(counts)
+
+
+def with_rates(counts: DataFrame) -> DataFrame:
+    """Accuracies next to the counts they come from."""
     return counts.withColumns(
         {
             "inst_level_strict_acc": _ratio(F.col("inst_strict_pass"), F.col("num_instructions")),

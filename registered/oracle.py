@@ -393,3 +393,4 @@ SELECT 'first vs second.json' AS file, 'first' AS name1, 'second' AS name2, (SEL
   (SELECT count(DISTINCT inst_id) FROM o WHERE {_KNOWN}) AS n_types,
   (SELECT string_agg(concat_ws('|', instruction_type, model1_count, model2_count, winner), ',' ORDER BY instruction_type)
    FROM ({COMPARISON}) c WHERE level = 'type' AND instruction_type <> 'unknown:thing') AS compared"""
+ORACLE["streamed_accuracy"] = ORACLE["accuracy_by_run"]

@@ -15,6 +15,7 @@ from adherence.operators.sentences import ABBREVIATION_SCORE, SentenceModel, abb
 from adherence.schemas import MMLU_DOCUMENT, RESPONSES_DOCUMENT, RESULT_DOCUMENT, TRAINING_METADATA
 from adherence.session import checkpoint_dir
 from adherence.sources import documents as docs, json_documents, sinks
+from adherence.streaming import corrections
 from registered import fixture
 
 QUERIES = {}
@@ -160,6 +161,23 @@ def accuracy_by_run(spark, sf):
     return scoring.accuracy(scored(spark, sf))
 
 
+@query("streamed_accuracy")
+def _(spark, sf):
+    """Every sample is streamed; a third of them is sent again with another response, and what
+    comes after that with an older time counts no more. Equal to the batch roll-up."""
+    path, first, second = scratch(spark, "stream"), samples(spark, sf, 5), samples(spark, sf)
+    third = F.col("sample_pos") % 3 == 0
+    at = lambda rows, minute: rows.withColumn("sent_at", F.lit(f"2026-01-01 00:{minute:02d}:00").cast("timestamp"))
+    sent = [at(first.where(third), 10).unionByName(at(second.where(~third), 10)), at(second.where(third), 20), at(first.where(third), 15)]
+    for rows in sent:
+        rows.coalesce(4).write.mode("append").parquet(f"{path}/sent")
+    schema = spark.read.parquet(f"{path}/sent").schema
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 4).parquet(f"{path}/sent")
+    rows = corrections.differences(stream, options=options(spark, sf))
+    corrections.write_differences(rows, f"{path}/out", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return corrections.accuracy(spark, f"{path}/out")
+
+
 @query("sample_outcomes")
 def _(spark, sf):
     rows = scoring.sample_outcomes(scored(spark, sf))
