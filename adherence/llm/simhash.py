@@ -195,8 +195,8 @@ def simhash_components(docs: DataFrame, shingle=3, max_distance=MAX_DISTANCE, id
 
 def drop_near_copies(docs: DataFrame, shingle=3, max_distance=MAX_DISTANCE, id_col="doc_id", text_col="text") -> DataFrame:
     """The rows of docs that stay: of each component the document with the smallest
-    id, all columns as they came. Rows without an id stay where their component has
-    no id at all."""
+    id, all columns as they came. Rows that repeat that id with the same fingerprint all
+    stay, equal ones too. Rows without an id stay where their component has no id at all."""
     _check(max_distance)
     row = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"))
     marked = written(row.withColumn("fp", fingerprint_column(F.col("row")[text_col], shingle)), "simhash-rows")

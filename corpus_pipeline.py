@@ -10,31 +10,39 @@ from adherence.llm import common, decontaminate, exact_dedup, language_id, queri
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a learned language; those that are rejected go."""
+    """Documents in a learned language; those that are rejected go. Null and empty texts, and
+    those without a letter, are in no language and go; null and repeated ids stay as they are;
+    without a labelled row only texts without a letter go; an empty table stays empty.
+    All columns stay."""
     common.bounded_batches(spark)
     return language_id.keep_identified(docs, queries.fitted_languages(docs))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts."""
+    """One document of each group of equal texts: the longest as written, then the smallest id.
+    Null texts count as empty and are equal to each other; of rows that repeat an id and a
+    text one stays; an empty table stays empty. All columns stay."""
     common.bounded_batches(spark)
     return exact_dedup.drop_copies(docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
+    """One document of each group of near copies, the one with the smallest id; rows that repeat
+    that id and fingerprint all stay. Null and empty texts are near each other; an empty table
+    stays empty. All columns stay."""
     common.bounded_batches(spark)
     return simhash.drop_near_copies(docs, shingle=3, max_distance=2)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item. Null and empty texts hold none; an id whose rows
+    together hold an item goes with all of them; without items all stay. All columns stay."""
     common.bounded_batches(spark)
     return decontaminate.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of what stayed."""
+    """Token counts and digests of what stayed, a row for each row; null texts count as empty."""
     common.bounded_batches(spark)
     return queries.token_rows(docs)
 

@@ -58,3 +58,25 @@ def test_stages_keep_the_columns_and_take_empty_tables(spark, tmp_path):
         assert stage(spark, docs, str(tmp_path)).columns == docs.columns, name
         assert stage(spark, docs, str(tmp_path)).count() == 0
     assert corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).count() == 0
+
+
+def test_stages_with_nulls_repeats_long_texts_and_clashing_names(spark, tmp_path):
+    """Columns that the operators use inside; each stage's rows by its docstring."""
+    rng = random.Random(3)
+    sentence = lambda n: " ".join(rng.choices(WORDS, k=n))
+    one, two, item, long = sentence(40), sentence(40), sentence(20), sentence(20_000)
+    spark.createDataFrame([(1, item), (None, None)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    rows = [(1, one), (1, one), (2, one + "  "), (None, two), (4, None), (5, ""), (6, long), (7, f"{two} {item}"), (8, sentence(40))]
+    kind = "doc_id long, text string, lang string, row string, judged int, fp string, digest string, part int, component_id long, keep_id long"
+    docs = spark.createDataFrame([(*r, "en", "x", 1, "y", "z", 2, 3, 4) for r in rows], kind)
+    stages = dict(corpus_pipeline.STAGES)
+    kept = {}
+    for name in list(stages)[:-1]:
+        out = stages[name](spark, docs, str(tmp_path))
+        assert out.columns == docs.columns
+        kept[name] = sorted((r.doc_id for r in out.collect()), key=repr)
+    assert set(kept["language_id"]) >= {1, 2, None, 6, 8} and not {4, 5} & set(kept["language_id"])
+    assert kept["exact_dedup"] == sorted([2, None, 4, 6, 7, 8], key=repr)
+    assert kept["simhash_near_dedup"] == sorted([1, 1, None, 4, 6, 7, 8], key=repr)
+    assert kept["benchmark_decontamination"] == sorted([1, 1, 2, None, 4, 5, 6, 8], key=repr)
+    assert len(stages["byte_bpe"](spark, docs, str(tmp_path)).collect()) == len(rows)
