@@ -12,7 +12,11 @@ from __future__ import annotations
 from pyspark.ml.classification import NaiveBayes, NaiveBayesModel
 from pyspark.ml.feature import CountVectorizerModel, StringIndexerModel
 from pyspark.ml.linalg import Vectors
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+
+from adherence.functions import language_samples
+
+_DEFAULT = {}
 
 # Addresses say nothing about the language around them.
 ADDRESS = r"https?://[-_.?&~;+=/#0-9A-Za-z]+|[-_.0-9A-Za-z]+@[-_0-9A-Za-z]+[-_.0-9A-Za-z]+"
@@ -71,6 +75,16 @@ class LanguageModel:
             bayes,
         )
 
+    @classmethod
+    def default(cls, spark: SparkSession) -> "LanguageModel":
+        """A model of the languages a check may ask for, fitted once per session on a little
+        text of each (functions/language_samples.py). It tells scripts apart, and languages of
+        one script in texts of a few sentences; a model of the caller's own is better."""
+        key = spark.sparkContext.applicationId
+        if key not in _DEFAULT:
+            _DEFAULT[key] = cls.fit(spark.createDataFrame(language_samples.rows(), "lang string, text string").coalesce(1))
+        return _DEFAULT[key]
+
     @property
     def names(self) -> list:
         """The languages the model knows."""

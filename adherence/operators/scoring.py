@@ -21,6 +21,7 @@ from adherence.operators.checks import (
     Registry,
     default_registry,
 )
+from adherence.operators.language import LanguageModel
 from adherence.operators.translation import OUTCOMES, Translations, native_outcomes
 from adherence.schemas import args_ddl
 
@@ -35,10 +36,17 @@ class ScoringOptions:
     keyword_pool: tuple = tuple(DEFAULT_KEYWORD_POOL)
     on_error: str = "mark"  # or "fail"
     translations: Translations | None = None  # of the samples' patterns, from translation.translated
-    language_model: object = None  # operators.language.LanguageModel
+    language_model: object = None  # operators.language.LanguageModel; None: its default where a check needs one, False: none
     sentence_model: object = None  # operators.sentences.SentenceModel; fixed abbreviations without one
     _columns: dict = field(default_factory=dict, repr=False, compare=False)
 
+    def language(self):
+        """The language model that the enabled checks use, if any."""
+        needed = any(c.inst_id in LANGUAGE_CHECKS for c in self.registry.enabled())
+        if self.language_model is None and needed:
+            return LanguageModel.default(SparkSession.active())
+        return self.language_model or None
+
     def columns(self, name, build):
         """Column trees are built once per options and session; they refer to
         input columns by name only."""
@@ -104,15 +112,15 @@ def dispatch(inst_id, checks, branch, otherwise):
     return otherwise if out is None else out.otherwise(otherwise)
 
 
-def view(x, options, outcome=None) -> Instruction:
+def view(x, options, outcome=None, language=None) -> Instruction:
     row_id = F.concat_ws(
         "|", F.lit(str(options.seed)), F.col("run_file"),
         F.col("sample_pos").cast("string"), x["inst_pos"].cast("string"),
     )
     return Instruction(
         text=F.col("response"), args=x["args"], raw=F.when(x["args"].isNotNull(), x["raw"]), row_id=row_id, outcome=outcome,
-        language=None if options.language_model is None else F.col("_language"),
-        languages=() if options.language_model is None else tuple(options.language_model.names),
+        language=None if language is None else F.col("_language"),
+        languages=() if language is None else tuple(language.names),
         keyword_pool=tuple(options.keyword_pool), sentences=options.sentence_model,
     )
 
@@ -163,10 +171,10 @@ def _tasks(options):
 
 
 def _scores(options):
-    checks = options.registry.enabled()
+    checks, language = options.registry.enabled(), options.language()
 
     def scored(x, i):
-        inst = view(x, options, F.get("_outcomes", i))
+        inst = view(x, options, F.get("_outcomes", i), language)
         return F.when(
             F.col("response").isNull(), _fixed_verdict(True, "TypeError: response is null")
         ).otherwise(
@@ -207,9 +215,10 @@ def score_samples(samples: DataFrame, options: ScoringOptions | None = None, kee
     options = options or _DEFAULT
     rows = with_instructions(samples, options)
 
-    if options.language_model is not None:
+    language = options.language()
+    if language is not None:
         needed = F.exists("_instructions", lambda x: x["inst_id"].isin(LANGUAGE_CHECKS))
-        rows = options.language_model.detect(rows, F.when(needed, F.col("response")), "_language")
+        rows = language.detect(rows, F.when(needed, F.col("response")), "_language")
 
     outcomes = []
     if options.translations is not None:
