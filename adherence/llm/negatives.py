@@ -224,11 +224,9 @@ def hard_negatives(vectors: DataFrame, is_anchor, id_col="vec_id", vector_col="e
     # Numbers count from 0 within each partition that wrote anchors, so a remainder makes even groups.
     place = F.col("number").bitwiseAND((1 << 33) - 1)
     for g in range(groups):
-        found = _group_negatives(rows, anchors.where(place % groups == g), positives, negatives, low, high, out)
         paths.append(f"{folder}/{g}")
-        found.write.parquet(paths[-1])
-    result = spark.read.schema(_result_schema()).parquet(*paths) if paths else spark.createDataFrame([], _result_schema())
-    return result
+        _write_group(rows, anchors.where(place % groups == g), positives, negatives, low, high, out, paths[-1])
+    return spark.read.schema(_result_schema()).parquet(*paths) if paths else spark.createDataFrame([], _result_schema())
 
 
 def _result_schema():
@@ -237,8 +235,9 @@ def _result_schema():
     return schema(**{name: kinds.get(name, T.LongType()) for name in names})
 
 
-def _group_negatives(rows, anchors, positives, negatives, low, high, out):
-    """One group of anchors against all rows: positives first, then the windows they set."""
+def _write_group(rows, anchors, positives, negatives, low, high, out, path):
+    """One group of anchors against all rows: positives first, then the windows they set.
+    What the tasks were given goes when the group's rows are written."""
     context = rows.sparkSession.sparkContext
     group = AnchorGroup(anchors.toArrow())
     sent = context.broadcast(group)
@@ -246,9 +245,11 @@ def _group_negatives(rows, anchors, positives, negatives, low, high, out):
     group.with_positives(_first(near, ["number"], positives).select("number", "rank", "score", "id").toArrow(), positives)
     again = context.broadcast(group)
     found = rows.mapInArrow(lambda batches: again.value.negatives(batches, negatives, low, high), out)
-    return _first(found, ["number", "slot"], negatives).select(
+    _first(found, ["number", "slot"], negatives).select(
         "anchor_id", "positive_id", F.col("rank").cast("int").alias("rank"), F.col("id").alias("negative_id"),
-        "positive_score", F.col("score").alias("negative_score"))
+        "positive_score", F.col("score").alias("negative_score")).write.parquet(path)
+    sent.unpersist()
+    again.unpersist()
 
 
 def every_hundredth(key: Column) -> Column:
