@@ -204,21 +204,20 @@ def chart_rows(results: DataFrame) -> DataFrame:
 
 def with_training_metadata(results: DataFrame, training: DataFrame) -> DataFrame:
     """Attach training metadata by base model and precision, under the names the
-    run tables read. Runs without any keep nulls."""
-    mapped = training.groupBy("base_model", "precision").agg(
-        F.max_by(
-            F.struct(
-                F.col("samples").alias("dataset_samples"),
-                F.lit(None).cast("double").alias("epochs"),
-                F.lit(None).cast("double").alias("learning_rate"),
-                F.col("runtime_s").alias("training_time_seconds"),
-                F.col("loss").alias("training_loss"),
-                F.col("peak_gpu_gb").alias("peak_gpu_memory_gb"),
-                F.try_divide("samples", "runtime_s").alias("training_samples_per_second"),
-            ),
-            "timestamp",
-        ).alias("training_metadata")
+    run tables read: of several the newest, of equal times the one with the larger
+    values. Runs without any keep nulls."""
+    found = F.struct(
+        F.col("samples").alias("dataset_samples"),
+        F.lit(None).cast("double").alias("epochs"),
+        F.lit(None).cast("double").alias("learning_rate"),
+        F.col("runtime_s").alias("training_time_seconds"),
+        F.col("loss").alias("training_loss"),
+        F.col("peak_gpu_gb").alias("peak_gpu_memory_gb"),
+        F.try_divide("samples", "runtime_s").alias("training_samples_per_second"),
     )
+    newest = F.max(F.struct(F.col("timestamp").alias("at"), found.alias("found")))
+    mapped = training.groupBy("base_model", "precision").agg(newest.alias("_newest")).select(
+        "base_model", "precision", F.col("_newest.found").alias("training_metadata"))
     runs = results.drop("training_metadata")
     return runs.join(
         mapped,

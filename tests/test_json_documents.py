@@ -62,10 +62,10 @@ def test_scan_from_any_place():
             assert (outside, within)[int(inside)] == truth[-1][1] - depth and (quotes + inside) % 2 == 0
 
 
-@pytest.mark.parametrize("size,indent", [(7, None), (64, 2), (1 << 20, None)])
+@pytest.mark.parametrize("size,indent", [(31, None), (200, 2), (1 << 20, None)])
 def test_read_against_the_json_module(spark, tmp_path, size, indent):
     rng, expected = random.Random(size), {}
-    for k, n in enumerate([0, 1, 2 if size < 10 else 40]):
+    for k, n in enumerate([0, 1, 3 if size < 100 else 25]):
         doc = document(rng, n)
         (tmp_path / f"d{k}.json").write_text(json.dumps(doc, indent=indent, ensure_ascii=bool(k)), encoding="utf-8")
         expected[f"d{k}.json"] = doc
@@ -83,7 +83,7 @@ def test_malformed_documents_are_left_out(spark, tmp_path):
            "array": good.replace('"samples": [', '"samples": [[], '), "head": good.replace('"metadata":', '"metadata"')}
     for name, content in {**bad, "good": good, "nosamples": '{"config": {"model_name": "m"}}'}.items():
         (tmp_path / f"{name}.json").write_text(content)
-    runs, samples = docs.read_runs(spark, str(tmp_path), bytes_per_range=50)
+    runs, samples = docs.read_runs(spark, str(tmp_path), bytes_per_range=120)
     assert sorted(r.file for r in runs.collect()) == ["good.json", "nosamples.json"]
     assert sorted((r.run_file, r.sample_pos) for r in samples.collect()) == [("good.json", 0), ("good.json", 1)]
     runs, samples = docs.read_runs(spark, str(tmp_path / "missing"))
@@ -99,7 +99,7 @@ def run_rows(spark, rows):
 def test_one_run_stays_one_run(spark, tmp_path):
     """Any size, any order of the rows; writing again replaces; a run without samples has its document."""
     rng = random.Random(5)
-    rows = [("big" if k % 3 else f"run{k % 2}", k, k, text(rng), text(rng), ["punctuation:no_comma"], [text(rng)]) for k in range(600)]
+    rows = [("big" if k % 3 else f"run{k % 2}", k, k, text(rng), text(rng), ["punctuation:no_comma"], [text(rng)]) for k in range(300)]
     samples = run_rows(spark, rows).repartition(5)
     for _ in range(2):
         sinks.write_responses(samples, str(tmp_path / "out"), run_rows(spark, [("none", 0, 0, "", "", [], [])]).select("config", "metadata"))
@@ -107,7 +107,7 @@ def test_one_run_stays_one_run(spark, tmp_path):
     for name in ("big", "run0", "none"):
         doc = json.loads((tmp_path / "out" / f"{name}_fp16_t.json").read_text())
         assert [s["key"] for s in doc["samples"]] == [r[1] for r in sorted(rows) if r[0] == name] and doc["config"]["lora_path"] is None
-    runs, again = docs.read_runs(spark, str(tmp_path / "out"), bytes_per_range=900)
+    runs, again = docs.read_runs(spark, str(tmp_path / "out"), bytes_per_range=4_000)
     assert runs.count() == 4
     registry = Registry([default_registry()["punctuation:no_comma"]])
     accuracy = lambda s: sorted((r.run_file.split("_")[0], r.num_samples, r.inst_strict_pass) for r in scoring.accuracy(
