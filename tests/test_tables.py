@@ -317,7 +317,7 @@ def test_language_checks(make_samples, language, tmp_path):
     unknown = make_samples(("le chat", [("language:response_language", '{"language": "fi"}')]))
     verdict = scoring.score_samples(unknown, ScoringOptions(language_model=language)).first().scores[0]
     assert not verdict.strict and "not in the model: fi" in verdict.error
-    without = scoring.score_samples(rows).first().scores[0]
+    without = scoring.score_samples(rows, ScoringOptions(language_model=False)).first().scores[0]
     assert without.error and not without.strict
 
 
