@@ -66,9 +66,11 @@ def abbreviation_scores(texts: DataFrame, text_col="text") -> DataFrame:
     """word, n, n_stop, score of every word that a full stop follows somewhere: how much
     better a share of STOP_SHARE explains its full stops than the share of all tokens,
     less for long words, more for inner stops, less for each occurrence without one."""
-    tokens = texts.select(F.explode(_words(F.col(text_col))).alias("token")).select(_core(F.col("token")).alias("core"))
-    typed = tokens.select(_type(F.col("core")).alias("word"), _stopped(F.col("core")).cast("long").alias("stop"))
-    counts = typed.groupBy("word").agg(F.count("*").alias("n"), F.sum("stop").alias("n_stop"))
+    # Counted as they stand first, so that patterns meet distinct tokens only.
+    tokens = texts.select(F.explode(_words(F.col(text_col))).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+    cores = tokens.select(_core(F.col("token")).alias("core"), "n")
+    typed = cores.select(_type(F.col("core")).alias("word"), F.when(_stopped(F.col("core")), F.col("n")).otherwise(0).alias("stop"), "n")
+    counts = typed.groupBy("word").agg(F.sum("n").alias("n"), F.sum("stop").alias("n_stop"))
     total = counts.agg(F.sum("n").alias("tokens"), F.sum("n_stop").alias("stops"))
     k, n = F.col("n_stop").cast("double"), F.col("n").cast("double")
     ratio = -2 * (_log_odds(k, n, F.col("stops") / F.col("tokens")) - _log_odds(k, n, F.lit(STOP_SHARE)))
@@ -90,8 +92,11 @@ def starter_scores(texts: DataFrame, abbreviations, text_col="text") -> DataFram
     kind = _type(core)
     short = F.coalesce(kind.isin(list(abbreviations)) | t.matches(kind, INITIALS), F.lit(False)) & _stopped(core)
     ended = F.coalesce(t.matches(core, r"[.?!]\z") & ~short & ~t.matches(core, r"[.]{2}\z"), F.lit(False))
-    rows = neighbours.select(_first_word(F.col("x.token")).alias("word"), ended.cast("long").alias("start"))
-    counts = rows.groupBy("word").agg(F.count("*").alias("n"), F.sum("start").alias("n_start"))
+    marked = F.contains(F.col("x.before"), F.lit(".")) | F.contains(F.col("x.before"), F.lit("?")) | F.contains(F.col("x.before"), F.lit("!"))
+    rows = neighbours.select(F.col("x.token").alias("token"), F.when(marked, ended).otherwise(False).alias("start"))
+    rows = rows.groupBy("token", "start").agg(F.count("*").alias("n"))
+    rows = rows.select(_first_word(F.col("token")).alias("word"), F.when(F.col("start"), F.col("n")).otherwise(0).alias("start"), "n")
+    counts = rows.groupBy("word").agg(F.sum("n").alias("n"), F.sum("start").alias("n_start"))
     total = counts.agg(F.sum("n").alias("tokens"), F.sum("n_start").alias("starts"))
     n, k = F.col("n").cast("double"), F.col("n_start").cast("double")
     tokens, starts = F.col("tokens").cast("double"), F.col("starts").cast("double")
