@@ -14,6 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from adherence.functions import text as t
+from adherence.session import written
 
 # The thresholds of the method and its share of full stops after an abbreviation.
 ABBREVIATION_SCORE = 0.3
@@ -71,6 +72,7 @@ def abbreviation_scores(texts: DataFrame, text_col="text") -> DataFrame:
     cores = tokens.select(_core(F.col("token")).alias("core"), "n")
     typed = cores.select(_type(F.col("core")).alias("word"), F.when(_stopped(F.col("core")), F.col("n")).otherwise(0).alias("stop"), "n")
     counts = typed.groupBy("word").agg(F.sum("n").alias("n"), F.sum("stop").alias("n_stop"))
+    counts = written(counts, "word-counts")  # a row a word, read twice
     total = counts.agg(F.sum("n").alias("tokens"), F.sum("n_stop").alias("stops"))
     k, n = F.col("n_stop").cast("double"), F.col("n").cast("double")
     ratio = -2 * (_log_odds(k, n, F.col("stops") / F.col("tokens")) - _log_odds(k, n, F.lit(STOP_SHARE)))
@@ -97,6 +99,7 @@ def starter_scores(texts: DataFrame, abbreviations, text_col="text") -> DataFram
     rows = rows.groupBy("token", "start").agg(F.count("*").alias("n"))
     rows = rows.select(_first_word(F.col("token")).alias("word"), F.when(F.col("start"), F.col("n")).otherwise(0).alias("start"), "n")
     counts = rows.groupBy("word").agg(F.sum("n").alias("n"), F.sum("start").alias("n_start"))
+    counts = written(counts, "start-counts")
     total = counts.agg(F.sum("n").alias("tokens"), F.sum("n_start").alias("starts"))
     n, k = F.col("n").cast("double"), F.col("n_start").cast("double")
     tokens, starts = F.col("tokens").cast("double"), F.col("starts").cast("double")
