@@ -32,8 +32,11 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 FORMAT = "json_documents"
 BYTES_PER_RANGE = 4 << 20
-#: Bytes read at once where an element goes on behind its range.
-STEP = 1 << 20
+#: Bytes of ranges that a task reads one after another, and the tasks that small inputs have at least.
+BYTES_PER_TASK = 8 << 20
+LEAST_TASKS = 32
+#: Bytes read at first, and at most at once, where an element goes on behind its range.
+FIRST_STEP, STEP = 8 << 10, 1 << 20
 
 
 def _file_system(path: str):
@@ -254,10 +257,11 @@ def _elements(batches):
 def _whole(file, begun: bytes, at: int, last: int) -> bytes:
     """An element that goes on behind its range."""
     parts, scan = [begun], Scan(begun, 0)
-    depth, inside, tail = int(scan.depth[-1]), int(scan.inside[-1]), begun
+    depth, inside, tail, step = int(scan.depth[-1]), int(scan.inside[-1]), begun, FIRST_STEP
     while at < last:
         file.seek(at)
-        more = file.read(min(STEP, last - at))
+        more = file.read(min(step, last - at))
+        step = min(2 * step, STEP)
         slashes = len(tail) - len(tail.rstrip(b"\\"))
         scan = Scan(more, slashes, inside, depth)
         ends = np.flatnonzero(~scan.inside & (scan.depth == 0))
@@ -292,6 +296,11 @@ def files(spark: SparkSession, path) -> DataFrame:
         return spark.createDataFrame([], "path string, length long")
 
 
+def _tasks(n_ranges: int, n_bytes: int) -> int:
+    """Tasks grow with the bytes, not with the ranges, which may be small."""
+    return max(1, min(n_ranges, max(LEAST_TASKS, n_bytes // BYTES_PER_TASK), 100_000))
+
+
 def read_documents(spark: SparkSession, path, array, bytes_per_range=BYTES_PER_RANGE) -> tuple[DataFrame, DataFrame]:
     """(heads, elements) of the JSON documents under a path.
 
@@ -303,8 +312,8 @@ def read_documents(spark: SparkSession, path, array, bytes_per_range=BYTES_PER_R
     step = F.lit(bytes_per_range).cast("long")
     ranges = found.where(F.col("length") > 0).select("path", "length", F.explode(F.sequence(F.lit(0).cast("long"), F.col("length") - 1, step)).alias("start"))
     ranges = ranges.withColumn("end", F.least(F.col("start") + step, F.col("length")))
-    n_ranges = ranges.count()
-    spread = max(1, min(n_ranges, 100_000))
+    n_ranges, n_bytes = ranges.agg(F.count("*"), F.coalesce(F.sum(F.col("end") - F.col("start")), F.lit(0))).first()
+    spread = _tasks(n_ranges, n_bytes)
     ranges = ranges.select("path", "start", "end", "length").repartition(spread, "path", "start")
     summaries = written(ranges.mapInArrow(_summaries, "path string, start long, end long, length long, quotes int, outside long, within long"), "ranges")
     before = Window.partitionBy("path").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)

@@ -1,5 +1,6 @@
 """Documents of any size: written as one file a run, read in byte ranges by many tasks."""
 
+import io
 import json
 import os
 import random
@@ -136,3 +137,34 @@ def test_elements_without_a_head_fail_and_leave_nothing(spark, tmp_path):
     jd.write_documents(heads, elements.where("document = 'a'"), str(tmp_path / "out"), "samples")
     assert json.loads((tmp_path / "out" / "a").read_text()) == {"samples": [{}]}
     assert np.all([f == "a" for f in os.listdir(tmp_path / "out")])
+
+
+def test_small_ranges_do_not_make_small_tasks(spark, tmp_path):
+    doc = document(random.Random(7), 200)
+    (tmp_path / "d.json").write_text(json.dumps(doc))
+    size = os.path.getsize(tmp_path / "d.json")
+    _, elements = jd.read_documents(spark, str(tmp_path), "samples", bytes_per_range=100)
+    assert size > 100 * 3 * jd.LEAST_TASKS
+    written = {os.path.dirname(f) for f in elements.inputFiles() if "/elements-" in f}
+    files = [f for f in elements.inputFiles() if os.path.dirname(f) in written]
+    assert len(written) == 1 and len(set(files)) <= jd.LEAST_TASKS
+    assert [json.loads(r.element)["key"] for r in elements.orderBy("pos").collect()] == list(range(200))
+    assert jd._tasks(120_000, 12 << 30) == (12 << 30) // jd.BYTES_PER_TASK and jd._tasks(3, 12 << 30) == 3
+
+
+class CountedFile(io.BytesIO):
+    n = 0
+
+    def read(self, size=-1):
+        data = super().read(size)
+        self.n += len(data)
+        return data
+
+
+@pytest.mark.parametrize("length", [10, 20_000, 3_000_000])
+def test_little_is_read_behind_a_range(length):
+    element = json.dumps({"key": 1, "response": 'r"\\{' * (length // 4)}).encode()
+    file = CountedFile(b"[" + b", ".join([element] * 2 + [b"{}"] * 2_000_000) + b"]")
+    begun, last = len(element) // 3, file.getbuffer().nbytes
+    assert jd._whole(file, element[:begun], 1 + begun, last) == element
+    assert file.n <= 3 * len(element) + 2 * jd.FIRST_STEP
