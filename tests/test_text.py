@@ -97,3 +97,21 @@ def test_json_body_takes_one_fence_off(spark):
 def test_quoted_literals(spark):
     texts = ["a", "it's", 'say "x"', "a\\b", "l\nm"]
     assert values(spark, t.quoted, texts) == [repr(x) for x in texts]
+
+
+def test_words_of_a_paragraph_are_compared_once(spark):
+    """One comparison a row, without a comparison function for the sort."""
+    from dataclasses import replace
+
+    from adherence.operators import scoring
+    from adherence.operators.checks import Registry, default_registry
+    from adherence.schemas import SAMPLES
+
+    inst_id = "detectable_content:rephrase_paragraph"
+    options = scoring.ScoringOptions(registry=Registry([replace(default_registry()[inst_id], enabled=True)]))
+    given = '{"original_paragraph": "b a b A a", "low": 3, "high": 4}'
+    rows = [("r", n, n, "", x, [inst_id], [given]) for n, x in enumerate(["a a b", "B A a a c", "a a", "a a b b a"])]
+    scored = scoring.scores_long(scoring.score_samples(spark.createDataFrame(rows, SAMPLES), options))
+    plan = scored._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("array_intersect(") == 1 and "array_sort(" not in plan
+    assert [r.strict for r in scored.orderBy("sample_pos").collect()] == [True, True, False, False]
