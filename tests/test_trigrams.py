@@ -64,3 +64,26 @@ def test_detection_is_the_model_s_own(spark):
     best = {r.n: model.names[int(r._best)] for r in model.bayes.transform(model.terms.transform(plain)).collect()}
     assert got == {**dict.fromkeys(range(9)), **best} and best[8] == "es"
     assert "regexp_extract_all" not in model.detect(texts, F.col("t"))._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_every_text_counts_however_many_there_are(spark, tmp_path):
+    """The registered queries' model of 240,000 texts of 1,000 kinds holds each kind, as often as it stands there."""
+    from registered.queries import language_model
+
+    rows = spark.range(240_000, numPartitions=4).select(
+        F.col("id").alias("doc_id"), F.expr("repeat(char(33 + id % 200) || char(33 + floor(id / 200) % 5), 2)").alias("text"),
+        F.when(F.col("id") % 1_000 < 250, "a").otherwise("b").alias("lang"))
+    rows.write.parquet(str(tmp_path / "documents.parquet"))
+    model = language_model(spark, str(tmp_path))
+    # 60,000 and 180,000 texts of two trigrams each, smoothed by one
+    texts, counts = {"a": 60_000, "b": 180_000}, {"a": Counter(), "b": Counter()}
+    for k in range(1_000):
+        for g in strings(((chr(33 + k % 200) + chr(33 + k // 200)) * 2).lower()):
+            counts["a" if k < 250 else "b"][g] += 240
+    vocabulary = {*counts["a"], *counts["b"]}
+    assert set(model.terms.vocabulary) == vocabulary
+    for y, name in enumerate(model.names):
+        assert model.bayes.pi[y] == pytest.approx(np.log((texts[name] + 1) / (240_000 + 2)))
+        total = 2 * texts[name] + len(vocabulary)
+        got = dict(zip(model.terms.vocabulary, model.bayes.theta.toArray()[y]))
+        assert got == pytest.approx({g: np.log((counts[name][g] + 1) / total) for g in vocabulary})
