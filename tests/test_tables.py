@@ -1,6 +1,7 @@
 """Comparison, runs, documents, chat, batches, generation, streaming."""
 
 import json
+import hashlib
 import os
 
 import pytest
@@ -181,6 +182,38 @@ def test_large_runs_come_in_documents_of_bounded_size(spark):
     assert [r.document for r in sinks.responses_documents(rows).collect()] == ["m_bf16_t.json"]
 
 
+def test_large_runs_result_documents_come_in_parts_and_have_one_digest(spark):
+    """No row holds much more than bytes_per_document; small runs stay whole, runs without samples stay; sparse places."""
+    rows = [("big", (k * 7919) % 1009 * 10 ** 14 - 5 * 10 ** 16, k, "r" * (k % 90)) for k in range(300)] + [("big", None, 300, None), ("small", 1, 1, "x")]
+    verdict = F.struct(F.lit(True).alias("strict"), F.lit(False).alias("loose"))
+    scored = spark.createDataFrame(rows, "run_file string, sample_pos bigint, key bigint, response string").withColumn("scores", F.array(verdict))
+    runs_ = spark.createDataFrame([("big",), ("small",), ("none",)], "run_file string").select(
+        "run_file",
+        F.struct(*[F.lit("m").alias(c) for c in ("model_name", "lora_path", "precision", "max_seq_length", "batch_size", "generation_config", "chat_template")]).alias("config"),
+        F.struct(F.col("run_file").alias("run_name"), F.lit(1).alias("num_samples"), F.lit(1.0).alias("generation_time_seconds"),
+                 F.lit(1.0).alias("gpu_memory_gb")).alias("metadata"))
+    acc = spark.createDataFrame([("big", 0.5, 0.5, 0.5, 0.5)], "run_file string, inst_level_strict_acc double, inst_level_loose_acc double, "
+                                "prompt_level_strict_acc double, prompt_level_loose_acc double")
+    built = sinks.result_documents(acc, runs_, F.lit("t"), F.lit(0.5), scored, keep_run=True, bytes_per_document=3_000)
+    found = {}
+    for r in built.orderBy("run_file", "part").collect():
+        found.setdefault(r.run_file, []).append(r)
+    assert [r.document for r in found["small"]] == ["small_m_t.json"] and [s.key for s in found["small"][0].scored_samples] == [1]
+    assert [(r.document, r.scored_samples) for r in found["none"]] == [("none_m_t.json", None)]
+    big = found["big"]
+    assert [r.document for r in big] == ["big_m_t.json"] + [f"big_m_t.{n}.json" for n in range(1, len(big))] and len(big) > 10
+    assert max(sum(100 + len(s.response or "") for s in r.scored_samples) for r in big) <= 3_200
+    in_order = [r[2] for r in sorted(rows[:301], key=lambda r: -10 ** 18 if r[1] is None else r[1])]
+    assert [s.key for r in big for s in r.scored_samples] == in_order and all(r.results.ifeval.inst_level_strict_acc == 0.5 for r in big)
+    assert [s.scores.strict for s in big[0].scored_samples][:1] == [[True]]
+    content = F.array_join(F.transform("scored_samples", lambda s: F.concat_ws("|", s["key"].cast("string"), s["response"])), "~")
+    parts = built.select("run_file", "part", "document", F.size("scored_samples").cast("bigint").alias("n"), content.alias("content"))
+    texts = {r[2]: "|".join([str(r[2]), *([] if r[3] is None else [r[3]])]) for r in rows[:301]}
+    got = {r.run_file: (r.document, r.n, r.content) for r in sinks.run_digests(parts.where("run_file <> 'none'"), "~").collect()}
+    assert got == {"big": ("big_m_t.json", 301, hashlib.md5("~".join(texts[k] for k in in_order).encode()).hexdigest()),
+                   "small": ("small_m_t.json", 1, hashlib.md5(b"1|x").hexdigest())}
+
+
 def test_comparison_job(make_samples):
     a = scoring.score_samples(make_samples(("x", [("punctuation:no_comma", "{}")])))
     b = scoring.score_samples(make_samples(("x,", [("punctuation:no_comma", "{}"), ("startend:quotation", "{}")])))
