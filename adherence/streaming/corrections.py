@@ -7,12 +7,16 @@ append-only table, which is exactly what a file sink writes once per micro-batch
 
 Responses older than the watermark are left out, and a sample's state goes when the
 watermark has passed its newest response: the state is bounded by the samples of that span.
+
+The samples of a run at neighbouring places share a block of state, a table of numbers: Python
+is called once a block and micro-batch, and handles its rows as columns.
 """
 
 from __future__ import annotations
 
 import sys
 
+import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -28,27 +32,50 @@ COUNTS = ["num_samples", "num_instructions", "inst_strict_pass", "inst_loose_pas
           "prompt_strict_pass", "prompt_loose_pass", "dropped_instructions"]
 _KINDS = ", ".join(f"{c} long" for c in COUNTS)
 DIFFERENCES = f"run_file string, sample_pos long, {_KINDS}"
-_STATE = f"sent_at long, {_KINDS}"
+#: Places of a run that share a block of state, as a power of two; a sample takes 80 bytes.
+PLACES = 12
+# A block's samples by place: place, newest time, its counts, and the watermark (ms) its state lasts to.
+_STATE = "samples binary"
+_AT, _DUE = 1, 2 + len(COUNTS)
+
+
+def _newest(rows: np.ndarray) -> np.ndarray:
+    """Of the rows of each place the greatest by time, then by counts; by place. Of equal times
+    the larger counts are the newest, whatever their order of arrival."""
+    order = np.lexsort(rows[:, _DUE - 1::-1].T)
+    rows = rows[order]
+    return rows[np.append(rows[1:, 0] != rows[:-1, 0], True)] if len(rows) else rows
 
 
 def _replaced(key, batches, state):
-    """The newest response of a sample against the one in the state."""
-    if state.hasTimedOut:
+    """The newest responses of a block's samples against those in the state."""
+    width, watermark = _DUE + 1, state.getCurrentWatermarkMs()
+    before = np.frombuffer(state.get[0], np.int64).reshape(-1, width) if state.exists else np.zeros((0, width), np.int64)
+    sent = np.zeros((0, width), np.int64)
+    if not state.hasTimedOut:
+        for rows in batches:
+            rows = rows[["sample_pos", "_at", *COUNTS]].to_numpy(np.int64)
+            # The state keeps microseconds, watermarks are milliseconds.
+            due = np.maximum(rows[:, _AT] // 1000, watermark) + 1
+            sent = _newest(np.concatenate([sent, np.column_stack([rows, due])]))
+    # What is sent takes the place of its sample's state if it is newer; a touched state lasts on.
+    touched = np.isin(before[:, 0], sent[:, 0])
+    held = before[touched]
+    held = np.column_stack([held[:, :_DUE], np.maximum(held[:, _AT] // 1000, watermark) + 1])
+    after = _newest(np.concatenate([held, sent]))
+    old = np.zeros_like(after)
+    old[np.isin(after[:, 0], held[:, 0])] = held
+    changed = (after[:, _AT:_DUE] != old[:, _AT:_DUE]).any(axis=1) | ~np.isin(after[:, 0], held[:, 0])
+    if changed.any():
+        counts = (after - old)[changed, _AT + 1:_DUE]
+        yield pd.DataFrame({"run_file": key[0], "sample_pos": after[changed, 0], **dict(zip(COUNTS, counts.T))})
+    rest = before[~touched]
+    kept = np.concatenate([rest[rest[:, _DUE] >= watermark], after])
+    if not len(kept):
         state.remove()
         return
-    newest = state.get if state.exists else None
-    before = newest
-    for rows in batches:
-        # Of equal times the larger counts are the newest, whatever their order of arrival.
-        row = max(rows[["_at", *COUNTS]].itertuples(index=False, name=None))
-        if newest is None or row > newest:
-            newest = tuple(int(x) for x in row)
-    if newest != before:
-        state.update(newest)
-        old = before[1:] if before is not None else [0] * len(COUNTS)
-        yield pd.DataFrame([[*key, *(a - b for a, b in zip(newest[1:], old))]], columns=[*KEYS, *COUNTS])
-    # The state keeps microseconds, its timeouts are milliseconds.
-    state.setTimeoutTimestamp(max(newest[0] // 1000, state.getCurrentWatermarkMs()) + 1)
+    state.update((kept[kept[:, 0].argsort()].tobytes(),))
+    state.setTimeoutTimestamp(max(int(kept[:, _DUE].min()), watermark))
 
 
 def differences(samples: DataFrame, sent_at="sent_at", late="1 hour", options=None) -> DataFrame:
@@ -63,7 +90,8 @@ def differences(samples: DataFrame, sent_at="sent_at", late="1 hour", options=No
         size("strict").alias("inst_strict_pass"), size("loose").alias("inst_loose_pass"),
         F.col("prompt_strict_pass").cast("int").alias("prompt_strict_pass"), F.col("prompt_loose_pass").cast("int").alias("prompt_loose_pass"),
         "dropped_instructions")
-    return counted.groupBy(*KEYS).applyInPandasWithState(
+    blocks = counted.withColumn("_block", F.shiftright("sample_pos", PLACES))
+    return blocks.groupBy("run_file", "_block").applyInPandasWithState(
         _replaced, DIFFERENCES, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 

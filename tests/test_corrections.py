@@ -1,7 +1,9 @@
 """Responses sent again on a stream replace the earlier ones."""
 
 import datetime
+import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -64,3 +66,59 @@ def test_equal_to_the_batch_roll_up(spark, stream):
     samples = spark.createDataFrame([(run, place, place, "p", response, ["punctuation:no_comma"], ["{}"]) for run, place, response, _ in newest.values()], SAMPLES)
     batch = scoring.accuracy(scoring.score_samples(samples, OPTIONS)).orderBy("run_file")
     assert got == [tuple(r) for r in batch.select(F.col("run_file"), "num_samples", "inst_strict_pass", "prompt_strict_pass", "inst_level_strict_acc").collect()]
+
+
+class State:
+    """A group's state as Spark hands it out, with a time out by the watermark."""
+
+    exists, timeout = False, None
+
+    def getCurrentWatermarkMs(self):
+        return self.watermark
+
+    @property
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.value, self.exists = value, True
+
+    def remove(self):
+        self.exists, self.timeout = False, None
+
+    def setTimeoutTimestamp(self, at):
+        assert at >= self.watermark
+        self.timeout = at
+
+
+@pytest.mark.parametrize("chunk", [1, 7, 1000])
+def test_a_call_handles_the_samples_of_a_block_each_by_its_own_times(chunk):
+    """Against a dictionary with one state a sample, which goes when the watermark has passed it."""
+    draw, state, one, calls = random.Random(chunk), State(), {}, 0
+    for batch in range(60):
+        watermark = max(0, batch - 6) * 1000
+        rows = [(draw.randrange(30), draw.randrange(watermark, watermark + 9000) * 1000, *(draw.randrange(3) for _ in corrections.COUNTS))
+                for _ in range(draw.choice([0, 0, 5, 60]))]
+        expected = {}
+        for place in {r[0] for r in rows}:
+            before, _ = one.get(place, (None, 0))
+            newest = max([r[1:] for r in rows if r[0] == place] + [before] * (before is not None))
+            if newest != before:
+                expected[place] = [a - b for a, b in zip(newest[1:], before[1:] if before else [0] * 7)]
+            one[place] = newest, max(newest[0] // 1000, watermark) + 1
+        one = {p: (n, due) for p, (n, due) in one.items() if due >= watermark or p in {r[0] for r in rows}}
+        state.watermark, state.hasTimedOut = watermark, not rows
+        if not rows and not (state.timeout is not None and state.timeout < watermark):
+            continue
+        calls += 1
+        parts = [pd.DataFrame(rows[k:k + chunk], columns=["sample_pos", "_at", *corrections.COUNTS]) for k in range(0, len(rows), chunk)]
+        got = [r for found in corrections._replaced(("run", 0), parts, state) for r in found.itertuples(index=False, name=None)]
+        assert {r[1]: list(r[2:]) for r in got} == expected and len(got) == len(expected) and {r[0] for r in got} <= {"run"}
+        assert state.exists == bool(one) and (not one or state.timeout == max(watermark, min(due for _, due in one.values())))
+    assert calls > 30
+
+
+def test_one_state_for_neighbouring_places(spark):
+    plan = corrections.differences(spark.createDataFrame([], f"{SAMPLES}, sent_at timestamp"), options=OPTIONS)
+    grouped = plan._jdf.queryExecution().analyzed().toString().split("FlatMapGroupsInPandasWithState")[1].split("\n")[0]
+    assert "_block#" in grouped and "[StructField(samples,BinaryType,true)]" in grouped
